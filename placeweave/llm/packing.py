@@ -30,8 +30,8 @@ PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
     """Bin and offset of each item in the given order, and the number of bins.
 
-    Ties go to the smallest gap left, then to the bin opened last at that gap. Lengths lie in
-    1..capacity; anything else is an error.
+    A new bin opens only where no open one has room. Ties go to the smallest gap left, then to
+    the bin opened last at that gap. Lengths lie in 1..capacity; anything else is an error.
     """
     if len(lengths) and (lengths.min() < 1 or lengths.max() > capacity):
         raise ValueError("a length is outside 1..capacity")
@@ -39,14 +39,13 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     at: list[list[int]] = [[] for _ in range(capacity + 1)]
     used: list[int] = []
     bins, offsets = np.empty(len(lengths), np.int64), np.empty(len(lengths), np.int64)
-    never = np.iinfo(np.int64).max
+    never = np.int64(1 << 60)
     for i, s in enumerate(lengths.tolist()):
         # Growth of the sum for a bin of gap g >= s: it leaves g and, unless full, joins g - s.
         cost = np.where(count[s:] > 0, 1 - 2 * count[s:], never)
-        cost[1:] = np.where(cost[1:] == never, never, cost[1:] + 2 * count[1 : capacity + 1 - s] + 1)
+        cost[1:] += 2 * count[1 : capacity + 1 - s] + 1
         best = int(cost.argmin())
-        new = 2 * int(count[capacity - s]) + 1 if s < capacity else 0
-        if cost[best] <= new and cost[best] != never:
+        if cost[best] < never:
             gap = s + best
             b = at[gap].pop()
             count[gap] -= 1
@@ -61,19 +60,6 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets, len(used)
 
 
-def pack(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Sum-of-squares over two arrival orders, longest first and as dealt; the one with fewer bins."""
-    first = np.argsort(-lengths, kind="stable")
-    best = None
-    for order in (first, np.arange(len(lengths))):
-        bins, offsets, n = sum_of_squares(lengths[order], capacity)
-        if best is None or n < best[2]:
-            back = np.empty(len(order), np.int64)
-            back[order] = np.arange(len(order))
-            best = bins[back], offsets[back], n
-    return best
-
-
 def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece, texts tokenised where they lie. Null text: empty, so just the end id."""
     common.bound_batches(docs.sparkSession)
@@ -103,11 +89,9 @@ def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIEC
     dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["id", "piece", "length", "ids_crc32"], kind="stable", ignore_index=True)
-        # The dealt order: a hash, the same whenever a task is repeated.
-        order = np.argsort(rows["ids_crc32"].to_numpy(), kind="stable")
-        bins, offsets, _ = pack(rows["length"].to_numpy()[order], capacity)
-        rows = rows.iloc[order]
+        # Longest first; the rest of the order only makes a repeated task give the same bins.
+        rows = rows.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        bins, offsets, _ = sum_of_squares(rows["length"].to_numpy(), capacity)
         rows["sequence_id"], rows["offset"] = (key[0] << 32) + bins, offsets
         return rows.drop(columns="shard")
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, packing, rans
+from . import common, fingerprint, packing, rans, simhash
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,4 +25,9 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.withColumnRenamed("id", "doc_id")
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_token_files": op4_token_files, "op5_packing": op5_packing}
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op10_simhash": op10_simhash}
