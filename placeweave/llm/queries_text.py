@@ -6,13 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, packing, rans, simhash
+from . import common, fingerprint, packing, pieces, rans, simhash
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(common.read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pieces.encode_documents(common.read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "token-files")
     rans.write_token_files(common.read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
@@ -30,4 +35,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op10_simhash": op10_simhash}
+QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_pieces": op2_pieces, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op10_simhash": op10_simhash}

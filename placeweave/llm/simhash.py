@@ -23,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -227,5 +227,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return marked.join(of, "fp").select("id", "fp", "component")
 
 
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
+    """docs, columns as they are, with one row of each group: that of the least id.
+
+    Only ids and fingerprints are grouped; the texts meet the list of kept ids by a join. Among rows
+    with the kept id, those of the group's own fingerprint, one stays (the least by text).
+    """
+    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, max_bits)
+    kept = found.groupBy("component").agg(F.min("id").alias("_kept")).select(F.coalesce("_kept", F.lit(common.LOWEST)).alias("_kept"))
+    rows = docs.withColumn("_kept", common.order_key(id_col)).join(kept.distinct(), "_kept", "left_semi")
+    first = F.row_number().over(Window.partitionBy("_kept").orderBy(F.col(text_col)))
+    return rows.withColumn("_n", first).filter(F.col("_n") == 1).select(*docs.columns)
+
+
 def hex_of(col: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(col)), 16, "0"))

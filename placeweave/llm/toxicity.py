@@ -1,7 +1,8 @@
 """Toxic passages by maximum-scoring segments.
 
-Each token has a log-odds score between toxic and clean labelled documents, with an informative
-Dirichlet prior from the words of both. A linear-time scan finds every maximal scoring segment of
+Each word, and each beginning of four or five letters, has a log-odds score between toxic and clean
+labelled documents (counted once a document), with an informative Dirichlet prior from the words of
+both; a token takes the score of the longest of these that is known. A linear-time scan finds every maximal scoring segment of
 a text; a segment is significant when its expected number in clean text of that length (Karlin and
 Altschul's extreme-value law, lambda and K from the clean documents) is at most `E_VALUE`. The
 evidence of a document, minus the logarithm of the probability that clean text holds such a best
@@ -21,6 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,15 @@ from .calibrate import apply_logistic, fit_logistic
 MAX_LABELLED = 20_000
 MAX_WORDS = 20_000
 PRIOR_WORDS = 1_000.0
+#: Least prior count of a word, so that a word new to one side isn't taken as certain.
+LEAST_PRIOR = 0.5
+#: A word is kept when its log-odds are this sure (in standard errors) and this large.
 MIN_Z = 3.0
+MIN_ODDS = 2.0
 #: Share of a toxic passage's tokens that are toxic words themselves, about; sets the drift between them.
 DENSITY = 0.2
 E_VALUE = 0.05
+CACHE_WORDS = 500_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -57,6 +64,25 @@ def tokens(text: str) -> list[str]:
     return TOKEN.findall(text.lower())
 
 
+def forms(word: str) -> tuple[str, ...]:
+    """The word and its beginnings, longest first."""
+    return (word, f"{word[:5]}*", f"{word[:4]}*") if len(word) > 4 else (word,)
+
+
+class _Scores(dict):
+    """Word -> score, looked up by its forms once."""
+
+    def __init__(self, known: dict[str, float]):
+        super().__init__()
+        self.known = known
+
+    def __missing__(self, word: str) -> float:
+        score = next((self.known[f] for f in forms(word) if f in self.known), 0.0)
+        if len(self) < CACHE_WORDS:
+            self[word] = score
+        return score
+
+
 def segments(positions: list[int], gains: list[float], drift: float) -> list[tuple[int, int, float]]:
     """Every maximal scoring segment (first token, last token, score) in linear time.
 
@@ -82,34 +108,39 @@ def segments(positions: list[int], gains: list[float], drift: float) -> list[tup
     return [(int(a), int(b), e - s) for a, b, s, e in found]
 
 
-def passages(text: str, model: Model) -> list[tuple[int, int, float, float]]:
-    """(first token, last token, score, expected number in clean text) of each significant passage."""
-    n, found = _scan(text, model)
-    return [(a, b, s, e) for a, b, s in found if (e := model.k * n * math.exp(-model.lam * s)) <= E_VALUE]
+class Scanner:
+    """One per worker task: a model and its word cache."""
 
+    def __init__(self, model: Model):
+        self.model, self.scores = model, _Scores(model.scores)
 
-def _scan(text: str, model: Model) -> tuple[int, list[tuple[int, int, float]]]:
-    words = tokens(text)
-    scores = model.scores
-    hits = [(i, scores[w]) for i, w in enumerate(words) if w in scores]
-    hits = [(i, s) for i, s in hits if s > 0]
-    return len(words), segments([i for i, _ in hits], [s for _, s in hits], model.drift)
+    def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
+        """Number of tokens, and every maximal segment."""
+        each = list(map(self.scores.__getitem__, tokens(text)))
+        hits = [i for i, s in enumerate(each) if s] if any(each) else []
+        return len(each), segments(hits, [each[i] for i in hits], self.model.drift)
 
+    def expected(self, n: int, score: float) -> float:
+        """How many such segments clean text of n tokens would hold."""
+        return self.model.k * n * math.exp(-min(700.0, self.model.lam * score))
 
-def evidence(text: str, model: Model) -> tuple[float, float]:
-    """Minus log p of the best segment, and the logarithm of one plus that of all significant ones."""
-    n, found = _scan(text, model)
-    if not found:
-        return 0.0, 0.0
-    best, total = 0.0, 0.0
-    for _, _, s in found:
-        x = model.lam * s - math.log(max(1e-12, model.k * n))
-        e = math.exp(-max(-50.0, min(500.0, x)))
-        bits = -math.log(max(1e-300, -math.expm1(-e)))
-        best = max(best, bits)
-        if e <= E_VALUE:
-            total += bits
-    return math.log1p(best), math.log1p(total)
+    def passages(self, text: str) -> list[tuple[int, int, float, float]]:
+        """(first token, last token, score, expected number in clean text) of each significant passage."""
+        n, found = self.segments(text)
+        return [(a, b, s, e) for a, b, s in found if (e := self.expected(n, s)) <= E_VALUE]
+
+    def evidence(self, text: str) -> tuple[float, float, int]:
+        """log(1 - log p) of the best segment, the same of all significant ones together, their number."""
+        n, found = self.segments(text)
+        best = total = 0.0
+        count = 0
+        for _, _, s in found:
+            e = self.expected(n, s)
+            bits = -math.log(max(1e-300, -math.expm1(-e)))
+            best = max(best, bits)
+            if e <= E_VALUE:
+                total, count = total + bits, count + 1
+        return math.log1p(best), math.log1p(total), count
 
 
 def karlin(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -136,7 +167,7 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
         for b in batches:
             sums: dict[str, list[int]] = {}
             for text, y in zip(b["text"], b["y"], strict=True):
-                for w in tokens(text):
+                for w in {f for w in set(tokens(text)) for f in forms(w)}:
                     sums.setdefault(w, [0, 0])[y] += 1
             yield pd.DataFrame({"word": list(sums), "clean": [v[0] for v in sums.values()], "toxic": [v[1] for v in sums.values()]})
 
@@ -146,11 +177,11 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
     drift = math.log(1 - DENSITY)
     if not n["clean"] or not n["toxic"]:
         return Model({}, drift, math.log(2), 0.1, (0.0, 0.0, -8.0 if n["clean"] or not n["toxic"] else 8.0))
-    prior = F.lit(PRIOR_WORDS) * (F.col("clean") + F.col("toxic")) / F.lit(float(n["clean"] + n["toxic"]))
+    prior = F.greatest(F.lit(LEAST_PRIOR), F.lit(PRIOR_WORDS) * (F.col("clean") + F.col("toxic")) / F.lit(float(n["clean"] + n["toxic"])))
     a, b = F.col("toxic") + prior, F.col("clean") + prior
     odds = F.log(a / (F.lit(n["toxic"] + PRIOR_WORDS) - a)) - F.log(b / (F.lit(n["clean"] + PRIOR_WORDS) - b))
     z = odds / F.sqrt(1 / a + 1 / b)
-    kept = words.select("word", "clean", odds.alias("odds"), z.alias("z")).filter(F.col("z") >= MIN_Z)
+    kept = words.select("word", "clean", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS))
     kept = kept.orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
     scores = {r["word"]: float(r["odds"]) for r in kept}
     # Clean text's own score distribution gives lambda.
@@ -159,9 +190,10 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
     model = Model(scores, drift, lam, 0.1, ())
 
     def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanner = Scanner(model)
         for b in batches:
-            both = [evidence(t, model) for t in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "best": [x for x, _ in both], "total": [x for _, x in both]})
+            found = [scanner.evidence(t) for t in b["text"]]
+            yield pd.DataFrame({"y": b["y"], "best": [x[0] for x in found], "total": [x[1] for x in found]})
 
     seen = known.mapInPandas(measure, "y int, best double, total double").toPandas()  # MAX_LABELLED rows at most
     w = fit_logistic(seen[["best", "total"]].to_numpy(), seen["y"].to_numpy().astype(float))
@@ -173,10 +205,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        w = np.array(model.weights)
+        scanner, w = Scanner(model), np.array(model.weights)
         for b in batches:
-            x = np.array([evidence(t, model) for t in b["text"]]).reshape(-1, 2)
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "score": apply_logistic(w, x), "n_passages": [len(passages(t, model)) for t in b["text"]]})
+            x = np.array([scanner.evidence(t) for t in b["text"]]).reshape(-1, 3)
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "score": apply_logistic(w, x[:, :2]), "n_passages": x[:, 2].astype(int)})
 
     plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
     return plain.mapInPandas(run, "id long, score double, n_passages int")
@@ -184,12 +216,12 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def filter_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """The rows of docs whose score is below the threshold, columns as they are."""
-    w = np.array(model.weights)
     common.bound_batches(docs.sparkSession)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner, w = Scanner(model), np.array(model.weights)
         for b in batches:
-            x = np.array([evidence(t or "", model) for t in b[text_col]]).reshape(-1, 2)
-            yield b[apply_logistic(w, x) < threshold]
+            x = np.array([scanner.evidence(t or "")[:2] for t in b.column(text_col).to_pylist()]).reshape(-1, 2)
+            yield b.filter(pa.array(apply_logistic(w, x) < threshold))
 
-    return docs.mapInPandas(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
