@@ -1,0 +1 @@
+"""placeweave: Vietnamese administrative addresses, converted by Spark plans."""

@@ -1,0 +1 @@
+"""Empty on purpose: the engine's data processing is batch only."""
