@@ -42,25 +42,33 @@ def unique_names(names: list[str | None]) -> list[str]:
     return out
 
 
+#: Bytes 0x80..0x9F as Latin-1 and as Windows-1252 read them; five of them mean nothing in the latter.
+_LATIN = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
+_WINDOWS = _LATIN.encode("latin-1").decode("cp1252")
+_UNUSED = "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in _LATIN)
+
+
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line does not decode; then Windows-1252, then Latin-1."""
-    for name in ("UTF-8", "windows-1252"):
-        broken = spark.read.option("encoding", name).csv(path, sep="\x01", quote="", schema="v string").filter(F.col("v").contains("�"))
-        if not broken.limit(1).count():
-            return name
-    return "ISO-8859-1"
+    """UTF-8 unless some line does not decode; then Windows-1252, or Latin-1 where a byte is unused there."""
+    lines = lambda name: spark.read.option("encoding", name).csv(path, sep="\x01", quote="", schema="v string")
+    if not lines("UTF-8").filter(F.col("v").contains("\ufffd")).limit(1).count():
+        return "UTF-8"
+    return "ISO-8859-1" if lines("ISO-8859-1").filter(F.col("v").rlike(f"[{_UNUSED}]")).limit(1).count() else "windows-1252"
 
 
 def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
     """Text cells as written (007 stays 007). multi_line reads quoted newlines, one task per file; without it files split."""
-    options = {"encoding": encoding_of(spark, path), "multiLine": multi_line, "escape": '"', "quote": '"'}
+    encoding = encoding_of(spark, path)
+    # Spark reads Windows-1252 as Latin-1 only; the bytes that differ are put right afterwards.
+    right = (lambda c: F.translate(c, _LATIN, _WINDOWS)) if encoding == "windows-1252" else (lambda c: c)
+    options = {"encoding": "UTF-8" if encoding == "UTF-8" else "ISO-8859-1", "multiLine": multi_line, "escape": '"', "quote": '"'}
     first = spark.read.options(**options).csv(path, header=False).limit(1).collect()
     if not first:
         raise ValueError("the file is empty")
-    names = unique_names(list(first[0]))
+    names = unique_names([None if h is None else h.translate(str.maketrans(_LATIN, _WINDOWS)) if encoding == "windows-1252" else h for h in first[0]])
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
     df = spark.read.options(**options).csv(path, header=True, schema=schema)
-    return df.select(*[F.col(f"`{n}`") for n in names], F.monotonically_increasing_id().alias(ORD))
+    return df.select(*[right(F.col(f"`{n}`")).alias(n) for n in names], F.monotonically_increasing_id().alias(ORD))
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
