@@ -35,7 +35,7 @@ def rows_of(values: str, unescape: bool = False):
     for ch in values:
         if ch == "'" and prior != "\\":
             if not quoted:
-                cell, was_quoted = [], True
+                cell, was_quoted = [*cell, "''"] if was_quoted else [], True  # doubled quotes stay
             quoted = not quoted
         elif quoted:
             cell.append(ch)
