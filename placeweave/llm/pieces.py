@@ -13,6 +13,7 @@ import os
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ PIECES, TRAINER, NORMALISER = 1, 2, 3
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 
 
@@ -172,7 +173,7 @@ class PieceCodec:
             part = new[i : i + 8192]
             for w, e in zip(part, self.plain.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 into = known if len(known) < CACHE_WORDS and len(w) <= 40 else fresh
-                into[w] = np.array(e.ids, "<u4").tobytes()
+                into[w] = array("I", e.ids).tobytes()
         if not fresh:
             return [b"".join(map(known.__getitem__, c)) for c in cut]
         return [b"".join([known[w] if w in known else fresh[w] for w in c]) for c in cut]
@@ -184,7 +185,7 @@ class PieceCodec:
         """Whether the sentencepiece library gives the same ids."""
         if self.reference is None:
             self.reference = sentencepiece.SentencePieceProcessor(model_file=self.path)
-        return [np.array(x, "<u4").tobytes() == b for x, b in zip(self.reference.encode(texts, num_threads=1), ids, strict=True)]
+        return [array("I", x).tobytes() == b for x, b in zip(self.reference.encode(texts, num_threads=1), ids, strict=True)]
 
 
 _codecs: dict[str, PieceCodec] = {}
