@@ -34,6 +34,7 @@ UNIGRAM, BPE = 1, 2
 
 CACHE_WORDS = 600_000
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_BYTE = re.compile("<0x([0-9A-Fa-f]{2})>")
 
 
 def fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -135,6 +136,11 @@ class PieceModel:
         out.decoder = decoders.Sequence(steps)
         return out
 
+    def spellings(self) -> list[bytes]:
+        """What each id stands for in a decoded text, before a leading blank is cut."""
+        named = [(p, _BYTE.fullmatch(p)) for p, _, _ in self.pieces]
+        return [bytes.fromhex(m[1]) if m else (p.replace(MARK, " ") if self.escape_spaces else p).encode() for p, m in named]
+
     def by_words(self) -> bool:
         return self.escape_spaces and not any(k == USER_DEFINED or MARK in p.lstrip(MARK) for p, _, k in self.pieces)
 
@@ -152,6 +158,7 @@ class PieceCodec:
         self.plain = Tokenizer(self.tokenizer.model)  # for text already normalised
         self.plain_map = not self.model.charsmap and not self.model.fold_spaces
         self.known: dict[str, bytes] = {}
+        self.spelled = dict(enumerate(self.model.spellings()))
         self.reference = None
 
     def normalised(self, text: str) -> str:
@@ -179,7 +186,22 @@ class PieceCodec:
         return [b"".join([known[w] if w in known else fresh[w] for w in c]) for c in cut]
 
     def decode_batch(self, ids: list[bytes]) -> list[str]:
-        return self.tokenizer.decode_batch([np.frombuffer(b, "<u4").tolist() for b in ids], skip_special_tokens=False)
+        """Texts of the ids, as the rebuilt decoder gives them.
+
+        Ids are spelled as bytes. Where these are no UTF-8, or an id is unknown, the decoder itself
+        marks what is broken. Pieces end with whole characters, so a broken run of byte pieces cannot
+        be hidden by its neighbours.
+        """
+        spell = self.spelled.__getitem__
+        out: list[str] = []
+        for each in ids:
+            numbers = array("I", each)
+            try:
+                text = b"".join(map(spell, numbers)).decode()
+                out.append(text[1:] if self.model.dummy_prefix and text[:1] == " " else text)
+            except (KeyError, UnicodeDecodeError):
+                out.append(self.tokenizer.decode(numbers.tolist(), skip_special_tokens=False))
+        return out
 
     def same_as_library(self, texts: list[str], ids: list[bytes]) -> list[bool]:
         """Whether the sentencepiece library gives the same ids."""

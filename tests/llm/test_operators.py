@@ -85,6 +85,13 @@ def test_pieces_any_text(text):
     assert own.same_as_library([text.replace("\x00", "").replace("▁", "")], ids) == [True]
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.one_of(st.integers(0, 31_999), st.integers(3, 258), st.just(40_000)), max_size=30))
+def test_pieces_any_ids(ids):
+    own = pieces.codec(public_tokenizers.path("piece_bpe_32k.model"))
+    assert own.decode_batch([np.array(ids, "<u4").tobytes()]) == [own.tokenizer.decode(ids, skip_special_tokens=False)]
+
+
 def test_unigram_model_is_rebuilt():
     model = pieces.PieceModel([("<unk>", 0.0, 2), ("▁a", -1.0, 1), ("▁", -2.0, 1), ("a", -2.0, 1), ("b", -1.5, 1), ("ab", -1.0, 1)], pieces.UNIGRAM, False, b"", True, True, True)
     assert model.rebuild().encode("a  ab ").tokens == ["▁a", "▁a", "b"]
