@@ -1,6 +1,8 @@
 """Connected components of a link table, by alternating large-star and small-star steps.
 
-Each round costs two aggregations over the links left; their lineage is cut by a written table.
+Each round costs two aggregations over the links left; their lineage is cut by written tables. A
+node with a large share of all links is then a skewed side of a plain shuffled join, which Spark
+splits at run time.
 No list of links or nodes ever reaches the driver, only counts.
 """
 
@@ -17,11 +19,11 @@ MAX_ROUNDS = 60
 def _star(links: DataFrame) -> DataFrame:
     """Large star, then small star: every node points to the least node it can see."""
     both = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    least = common.materialise(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
     # Small star: the lesser neighbours of a node, and the node, all point to the least of them.
-    down = large.filter("a > b")
-    lowest = down.groupBy("a").agg(F.min("b").alias("m"))
+    down = common.materialise(large.filter("a > b"), "down")
+    lowest = common.materialise(down.groupBy("a").agg(F.min("b").alias("m")), "lowest")
     small = down.join(lowest, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")).filter("a > b")
     return small.distinct()
 

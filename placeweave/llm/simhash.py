@@ -218,13 +218,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     ignored as component names unless a component has no other. An empty table gives no rows.
     """
     marked = common.materialise(fingerprint_documents(docs, id_col, text_col), "fingerprints")
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    distinct = common.materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = connected(link_fingerprints(distinct.select("fp"), max_bits))  # node, root; linked ones only
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp")
-    least = named.groupBy("root").agg(F.min("least").alias("component"))
+    # Both sides of a join with hot keys are written tables: Spark splits a skewed side only where
+    # the shuffle lies right below the join.
+    named = common.materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp"), "named")
+    least = common.materialise(named.groupBy("root").agg(F.min("least").alias("component")), "least")
     of = named.join(least, "root").select("fp", "component")
     of = distinct.join(of, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return marked.join(of, "fp").select("id", "fp", "component")
+    return marked.join(common.materialise(of, "components"), "fp").select("id", "fp", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
