@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def range_of(key: Column, cuts: list[int] | list[float], kind: str = "double") -> Column:
+    """How many of the ascending cuts are at or below the key, found in as many steps as their number has bits.
+
+    The cuts are one constant array, so thousands of ranges cost a row a dozen comparisons.
+    """
+    known = F.array(*map(F.lit, cuts)).cast(f"array<{kind}>")
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(known, at + s - 1) <= key.cast(kind), at + s).otherwise(at))
+
+
 def dense_numbers(df: DataFrame, ordinal: str, name: str, ranges: int | None = None) -> DataFrame:
     """df with the 1-based rank of `ordinal` (unique numbers), without a single task over all rows.
 
@@ -15,15 +25,12 @@ def dense_numbers(df: DataFrame, ordinal: str, name: str, ranges: int | None = N
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = sorted(set(df.select(F.col(ordinal).cast("double").alias("o")).approxQuantile("o", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    bucket = F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c <= F.col(ordinal).cast("double"))) if cuts else F.lit(0)
-    ranged = df.withColumn("_bucket", bucket)
-    before, total = [], 0
-    for r in ranged.groupBy("_bucket").count().orderBy("_bucket").collect():
-        before.append((F.lit(r["_bucket"]), F.lit(total)))
-        total += r["count"]
-    if not before:
-        return ranged.withColumn(name, F.lit(0).cast("long")).drop("_bucket")
-    start = F.create_map(*[x for pair in before for x in pair])[F.col("_bucket")]
+    ranged = df.withColumn("_bucket", range_of(F.col(ordinal), cuts))
+    sizes = dict(ranged.groupBy("_bucket").count().collect())  # a number for each range
+    before = [0]
+    for b in range(len(cuts)):
+        before.append(before[-1] + sizes.get(b, 0))
+    start = F.get(F.array(*map(F.lit, before)).cast("array<bigint>"), F.col("_bucket"))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(ordinal))
     return ranged.withColumn(name, (start + own).cast("long")).drop("_bucket")
 
