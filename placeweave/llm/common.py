@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import range_of
+
 LOWEST = -(2**63)
 #: Bytes of one Arrow batch to a Python worker, so that long rows don't gather there.
 ARROW_BATCH_BYTES = 16 << 20
@@ -70,13 +72,6 @@ def cut_points(df: DataFrame, key: Column, n: int) -> list[int]:
     return sorted({max(LOWEST, min(top, int(x))) for x in found or []})
 
 
-def range_of(key: Column, cuts: list[int]) -> Column:
-    """How many cut points are at or below the key: ascending ranges, numbered from 0."""
-    if not cuts:
-        return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= key))
-
-
 def in_ranges(docs: DataFrame, id_col: str, per_partition: int = 4) -> tuple[DataFrame, int]:
     """docs with `_k` (order key) and `_range`; ranges ascend with the key. Also the number of shuffle partitions.
 
@@ -85,7 +80,7 @@ def in_ranges(docs: DataFrame, id_col: str, per_partition: int = 4) -> tuple[Dat
     n = partitions(docs.sparkSession)
     keyed = docs.withColumn("_k", order_key(id_col))
     cuts = cut_points(docs, order_key(id_col), n * per_partition)
-    return keyed.withColumn("_range", range_of(F.col("_k"), cuts)), n
+    return keyed.withColumn("_range", range_of(F.col("_k"), cuts, "bigint")), n
 
 
 def whole_groups(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:

@@ -158,9 +158,8 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     if not used:
         return spark.createDataFrame([], PAIRS)
     before = {r: used[i - 1] for i, r in enumerate(used)}
-    pairs = [F.lit(x) for r in used for x in (r, F.struct(F.lit(firsts[r]).cast("long").alias("k"), F.lit(before[r]).alias("before")))]
-    edge = F.create_map(*pairs)[F.col("_range")]
-    both = F.when(F.col("_k") == edge["k"], F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("ahead")), F.struct(edge["before"].alias("r"), F.lit(1).alias("ahead"))))
+    of_range = lambda known, kind: F.get(F.array(*[F.lit(known.get(r)) for r in range(used[-1] + 1)]).cast(f"array<{kind}>"), F.col("_range"))
+    both = F.when(F.col("_k") == of_range(firsts, "bigint"), F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("ahead")), F.struct(of_range(before, "int").alias("r"), F.lit(1).alias("ahead"))))
     alone = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("ahead")))
     sent = ranged.select(F.explode(F.coalesce(both, alone)).alias("to"), "_k", "text").select("to.r", "to.ahead", "_k", "text")
     sent = sent.repartition(n, "r").sortWithinPartitions("r", "ahead", "_k", "text")
