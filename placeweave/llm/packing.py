@@ -5,7 +5,7 @@ that may be shorter. Each piece goes where the sum over residual gaps of squared
 bins becomes smallest. Gaps are at most the capacity, so a placement costs O(capacity) whatever
 the number of bins.
 
-Pieces are dealt to shards by a hash of document and piece; each shard packs its own pieces,
+Pieces are dealt to shards by a hash of document, piece and ids; each shard packs its own pieces,
 and the number of shards follows the number of pieces, so no task grows with the input.
 """
 
@@ -86,7 +86,7 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
 def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """pieces with sequence_id and offset. pieces is read twice, so it should be materialised."""
     shards = max(1, -(-pieces.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece"), F.lit(shards)).cast("int"))
+    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
 
     def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         # Longest first; the rest of the order only makes a repeated task give the same bins.
