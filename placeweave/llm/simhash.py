@@ -201,21 +201,24 @@ def link_fingerprints(fps: DataFrame, max_bits: int = 2) -> DataFrame:
 
 
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, fp (the fingerprint as a signed long). Null text: empty, fingerprint zero."""
+    """id, fp (the fingerprint as a signed long), text_hash. Null text: empty, fingerprint zero."""
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64)})
+            yield pd.DataFrame({"id": b["id"].astype("Int64"), "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64), "text_hash": b["text_hash"]})
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text")).mapInPandas(run, "id long, fp long")
+    text = common.text_of(text_col)
+    plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return plain.mapInPandas(run, "id long, fp long, text_hash long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
-    """Per row of docs: id, fp, component (least id reachable over links of at most max_bits bits).
+    """Per row of docs: id, fp, text_hash, root, component (least id reachable over links of at most max_bits bits).
 
     Rows with equal fingerprints are linked; repeated rows are kept as they are. Null ids are
-    ignored as component names unless a component has no other. An empty table gives no rows.
+    ignored as component names unless a component has no other. root, a fingerprint of the group,
+    tells such groups apart. An empty table gives no rows.
     """
     marked = common.materialise(fingerprint_documents(docs, id_col, text_col), "fingerprints")
     distinct = common.materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
@@ -224,22 +227,25 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the shuffle lies right below the join.
     named = common.materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp"), "named")
     least = common.materialise(named.groupBy("root").agg(F.min("least").alias("component")), "least")
-    of = named.join(least, "root").select("fp", "component")
-    of = distinct.join(of, "fp", "left").select("fp", F.coalesce("component", "least").alias("component"))
-    return marked.join(common.materialise(of, "components"), "fp").select("id", "fp", "component")
+    of = named.join(least, "root").select("fp", "root", "component")
+    of = distinct.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"))
+    return marked.join(common.materialise(of, "components"), "fp").select("id", "fp", "text_hash", "root", "component")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
-    """docs, columns as they are, with one row of each group: that of the least id.
+    """docs, columns as they are, with one row of each group: that of the least id (null ids last).
 
-    Only ids and fingerprints are grouped; the texts meet the list of kept ids by a join. Among rows
-    with the kept id, those of the group's own fingerprint, one stays (the least by text).
+    Rows that share an id are told apart by a hash of their text, so a group never loses its row to
+    another one's. Only ids, fingerprints and hashes are grouped; the texts meet the list of kept
+    rows by a join. Of rows with one id and one text, one stays.
     """
     found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, max_bits)
-    kept = found.groupBy("component").agg(F.min("id").alias("_kept")).select(F.coalesce("_kept", F.lit(common.LOWEST)).alias("_kept"))
-    rows = docs.withColumn("_kept", common.order_key(id_col)).join(kept.distinct(), "_kept", "left_semi")
-    first = F.row_number().over(Window.partitionBy("_kept").orderBy(F.col(text_col)))
-    return rows.withColumn("_n", first).filter(F.col("_n") == 1).select(*docs.columns)
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")).alias("kept")
+    kept = found.groupBy("root").agg(first).select(common.order_key("kept.id").alias("k"), F.col("kept.text_hash").alias("h"))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # whatever the columns are called
+    rows = docs.select(row, common.order_key(id_col).alias("k"), F.xxhash64(common.text_of(text_col)).alias("h")).join(kept, ["k", "h"], "left_semi")
+    number = F.row_number().over(Window.partitionBy("k", "h").orderBy(F.col(f"row.{text_col}")))
+    return rows.withColumn("n", number).filter(F.col("n") == 1).select("row.*")
 
 
 def hex_of(col: str) -> Column:

@@ -380,6 +380,24 @@ def test_near_duplicates(docs, empty):
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0
 
 
+def test_one_row_of_each_group_stays(spark):
+    far = ["alpha beta gamma delta", "one two three four five", "red green blue black white", "north south east west up"]
+    assert min(bin(simhash.fingerprint(a) ^ simhash.fingerprint(b)).count("1") for a, b in combinations(far, 2)) > 2
+    rows = [(None, far[0]), (None, far[0]), (None, far[1]), (5, far[2]), (5, far[3]), (3, far[3]), (None, far[2])]
+    df = spark.createDataFrame([(i, t, k, 7, "clash", "clash") for k, (i, t) in enumerate(rows)], "doc_id long, text string, k int, n int, root string, row string")
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns
+    assert sorted((r.doc_id or 0, r.text, r.n, r.row) for r in kept.collect()) == sorted([(0, far[0], 7, "clash"), (0, far[1], 7, "clash"), (5, far[2], 7, "clash"), (3, far[3], 7, "clash")])
+
+
+def test_ranges(spark):
+    cuts = [-5, 0, 3, 3 + 2**40, 2**62]
+    keys = [common.LOWEST, -6, -5, -1, 0, 2, 3, 4, 2**40 + 3, 2**62 - 1, 2**62, 2**63 - 1]
+    for n in range(len(cuts) + 1):
+        got = spark.createDataFrame([(x,) for x in keys], "k long").select("k", common.range_of(F.col("k"), cuts[:n], "bigint").alias("r")).collect()
+        assert {r.k: r.r for r in got} == {x: sum(c <= x for c in cuts[:n]) for x in keys}
+
+
 def test_components_of_a_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (7, 3), (None, 1)], "a long, b long")
     got = {r.node: r.root for r in components.connected(links).collect()}
