@@ -55,7 +55,11 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
         shingles = [b"%b %b %b" % x for x in zip(own, own[1:], own[2:], strict=False)]
     else:
         shingles = [b" ".join(own[i : i + size]) for i in range(len(own) - size + 1)]
-    h = np.array([digest(s, SEED) for s in shingles], dtype="<u8")
+    return majority(np.array([digest(s, SEED) for s in shingles], dtype="<u8"))
+
+
+def majority(h: np.ndarray) -> int:
+    """The fingerprint of shingle hashes, repeats included; zero where there are none."""
     set_bits = np.zeros(BITS, dtype=np.int64)
     for i in range(0, len(h), 1 << 16):
         part = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -239,7 +243,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ma
     another one's. Only ids, fingerprints and hashes are grouped; the texts meet the list of kept
     rows by a join. Of rows with one id and one text, one stays.
     """
-    found = near_duplicates(docs.select(id_col, text_col), id_col, text_col, max_bits)
+    return one_of_each(docs, near_duplicates(docs.select(id_col, text_col), id_col, text_col, max_bits), id_col, text_col)
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that keep_one keeps, by the groups in found (id, text_hash, root)."""
     first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")).alias("kept")
     kept = found.groupBy("root").agg(first).select(common.order_key("kept.id").alias("k"), F.col("kept.text_hash").alias("h"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # whatever the columns are called
