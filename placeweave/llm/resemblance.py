@@ -69,41 +69,72 @@ def group_keys(fps: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def pairs_in_cells(cell: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of positions within RADIUS bits in one cell; rows are sorted by cell."""
+def pairs_in_cells(cell: np.ndarray, fps: np.ndarray, five: np.ndarray, label: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of positions in one cell, within both radii and of different labels; rows are sorted by cell."""
     left, right = [], []
     at, k = np.arange(len(cell)), 1
     while len(at):
         at = at[at + k < len(cell)]
         at = at[cell[at] == cell[at + k]]
-        near = at[np.bitwise_count(fps[at] ^ fps[at + k]) <= RADIUS]
+        near = at[label[at] != label[at + k]]
+        near = near[np.bitwise_count(fps[near] ^ fps[near + k]) <= RADIUS]
+        near = near[np.bitwise_count(five[near] ^ five[near + k]) <= RADIUS_FIVE]
         left.append(near)
         right.append(near + k)
         k += 1
-    return np.concatenate(left or [np.arange(0)]), np.concatenate(right or [np.arange(0)])
+    return np.concatenate(left or [at]), np.concatenate(right or [at])
+
+
+def nearest_in_cells(cell: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each position that has others within RADIUS bits in its cell, with the nearest of them."""
+    best, other = np.full(len(cell), RADIUS + 1, dtype=np.uint8), np.full(len(cell), -1)
+    at, k = np.arange(len(cell)), 1
+    while len(at):
+        at = at[at + k < len(cell)]
+        at = at[cell[at] == cell[at + k]]
+        far = np.bitwise_count(fps[at] ^ fps[at + k])
+        for here, there in ((at, at + k), (at + k, at)):
+            nearer = far < best[here]
+            best[here[nearer]], other[here[nearer]] = far[nearer], there[nearer]
+        k += 1
+    found = np.flatnonzero(other >= 0)
+    return found, other[found]
+
+
+def _signed(x: pd.Series) -> np.ndarray:
+    return x.to_numpy().astype(np.int64)
 
 
 def candidates(fps: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (fa, fb) of the distinct fingerprints, signed longs, in column fp."""
+    """Distinct candidate pairs (fa, fb) of distinct fingerprints, signed longs.
+
+    fps has the column fp: each fingerprint and the nearest in each of its cells. With five and
+    label too: all pairs within both radii whose labels differ.
+    """
+    every = "label" in fps.columns
+    extra = ["five", "label"] if every else []
 
     def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            own = b["fp"].to_numpy().astype(np.int64)
-            for i in range(0, len(own), 4_000):
-                part = own[i : i + 4_000]
-                keys = group_keys(part.view(np.uint64))
-                yield pd.DataFrame({"cell": keys.ravel(), "fp": np.repeat(part, keys.shape[1])})
+            for i in range(0, len(b), 4_000):
+                part = b.iloc[i : i + 4_000]
+                keys = group_keys(_signed(part["fp"]).view(np.uint64))
+                yield pd.DataFrame({"cell": keys.ravel().astype(np.int32)} | {c: np.repeat(_signed(part[c]), keys.shape[1]) for c in ["fp", *extra]})
 
     def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in common.whole_groups(batches, "cell"):
-            own = whole["fp"].to_numpy().astype(np.int64)
-            i, j = pairs_in_cells(whole["cell"].to_numpy(), own.view(np.uint64))
+            cell, own = whole["cell"].to_numpy(), _signed(whole["fp"])
+            bits = own.view(np.uint64)
+            if every:
+                i, j = pairs_in_cells(cell, bits, _signed(whole["five"]).view(np.uint64), _signed(whole["label"]))
+            else:
+                i, j = nearest_in_cells(cell, bits)
             if len(i):
                 yield pd.DataFrame({"fa": np.minimum(own[i], own[j]), "fb": np.maximum(own[i], own[j])}).drop_duplicates()
 
     n = common.partitions(fps.sparkSession)
-    placed = fps.mapInPandas(place, "cell long, fp long").repartition(n, "cell").sortWithinPartitions("cell")
-    return placed.mapInPandas(search, "fa long, fb long").distinct()
+    placed = fps.mapInPandas(place, ", ".join(["cell int", "fp long", *(f"{c} long" for c in extra)]))
+    return placed.repartition(n, "cell").sortWithinPartitions("cell", "fp").mapInPandas(search, "fa long, fb long").distinct()
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -143,17 +174,31 @@ def verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, text_hash, root (one for all that chains of verified links connect)."""
+    """Per row of docs: id, text_hash, root (one for all that chains of verified links connect).
+
+    First each text is verified against the nearest in its cells, which connects most groups; then
+    all candidate pairs that are still in different groups. So no link is lost that all
+    pairs would give, and a large group costs links in proportion to its size.
+    """
     marked = common.materialise(describe(docs, id_col, text_col), "described")
     one = F.min(F.struct("text_hash", "size", "fp", "five")).alias("x")
     nodes = common.materialise(marked.groupBy("node").agg(one).select("node", "x.*"), "nodes")
-    found = common.materialise(candidates(nodes.select("fp").distinct()), "candidates")
     ends = {s: nodes.select(F.col("fp").alias(f"f{s}"), F.col("node").alias(s), F.col("text_hash").alias(f"h{s}"), F.col("size").alias(f"n{s}"), F.col("five").alias(f"v{s}")) for s in "ab"}
-    shared = nodes.groupBy("fp").count().filter("count > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
-    pairs = found.unionByName(shared).join(ends["a"], "fa").join(ends["b"], "fb").filter("fa != fb or a < b")
     alike = (F.least("na", "nb") >= (RESEMBLANCE - 1e-9) * F.greatest("na", "nb")) & (F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= RADIUS_FIVE)
-    pairs = common.materialise(pairs.filter(alike).select("a", "b", "ha", "hb"), "pairs")
-    roots = connected(common.materialise(verified(pairs, docs, text_col), "verified"))
+
+    def links(found: DataFrame) -> DataFrame:
+        pairs = found.join(ends["a"], "fa").join(ends["b"], "fb").filter("fa != fb or a < b").filter(alike)
+        return common.materialise(verified(common.materialise(pairs.select("a", "b", "ha", "hb"), "pairs"), docs, text_col), "verified")
+
+    nearest = common.materialise(candidates(nodes.select("fp").distinct()), "nearest")
+    shared = nodes.groupBy("fp").count().filter("count > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
+    first = links(nearest.unionByName(shared))
+    roots = common.materialise(connected(first), "roots")
+    # What has no candidate has none later either. A fingerprint of several texts is placed once for each.
+    open_fps = nearest.select(F.explode(F.array("fa", "fb")).alias("fp")).distinct()
+    labelled = nodes.join(open_fps, "fp").join(roots, "node", "left").select("fp", "five", F.coalesce("root", "node").alias("label"))
+    later = links(common.materialise(candidates(labelled), "later"))
+    roots = connected(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(later))
     return marked.join(roots, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
 
 
