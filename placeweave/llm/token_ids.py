@@ -43,7 +43,6 @@ class TextEncoder:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
         self.by_words = (
@@ -54,6 +53,8 @@ class TextEncoder:
             and not pre.get("add_prefix_space")
             and not any(t.get("special") is False for t in spec.get("added_tokens", []))
         )
+        added = [re.escape(t["content"]) for t in spec.get("added_tokens", []) if t["content"]]
+        self.added = re.compile("|".join(added)) if added else None
         self.model = self.tokenizer.model
         self.letters = str.maketrans(byte_letters())
         self.words = regex.compile(WORDS)
@@ -67,6 +68,8 @@ class TextEncoder:
         return [self._encode(t) for t in texts]
 
     def _encode(self, text: str) -> bytes:
+        if self.added and self.added.search(text):  # an added token cuts the text before any word does
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         head, *rest = CUT.split(text) if ODD.search(text) else text.split(" ")
         if not rest:
             return self._piece(head)

@@ -1,0 +1,18 @@
+"""op4, op5: texts that hold an added token's content get the ids of the library's default."""
+
+import numpy as np
+import public_tokenizers
+from placeweave.llm import token_ids
+from tokenizers import Tokenizer
+
+BPE = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def test_added_token_in_text():
+    own, plain = token_ids.TextEncoder(BPE), Tokenizer.from_file(BPE)
+    tokens = [t.content for t in plain.get_added_tokens_decoder().values()]
+    assert tokens
+    for token in tokens:
+        for t in [token, f"a {token} b", f"a{token}{token}b  c", f"{token[:-1]} {token}x"]:
+            assert np.frombuffer(own.encode_batch([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+            assert plain.token_to_id(token) in np.frombuffer(own.encode_batch([t])[0], "<u4").tolist()
