@@ -38,7 +38,8 @@ def byte_letters() -> dict[int, str]:
 
 class TextEncoder:
     """encode_batch(texts): for each text its ids as little-endian uint32 bytes, equal to the
-    library's own encode(text, add_special_tokens=False)."""
+    library's own encode(text, add_special_tokens=False) with encode_special_tokens set: an added
+    token's content in a text is ordinary text."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
