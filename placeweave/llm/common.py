@@ -58,6 +58,17 @@ def text_of(col: str | Column = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 
 
+def id_columns(col: str) -> list[Column]:
+    """The id for a Python worker: `id` without nulls and `no_id`. A null beside longs would make pandas round them all."""
+    own = F.col(col).cast("long")
+    return [F.coalesce(own, F.lit(0).cast("long")).alias("id"), own.isNull().alias("no_id")]
+
+
+def ids(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
+    """The exact ids of a batch that has id_columns, nulls included."""
+    return pd.arrays.IntegerArray(batch["id"].to_numpy(np.int64), batch["no_id"].to_numpy(bool))
+
+
 def order_key(col: str) -> Column:
     """Ascending order as a long; null ids come first."""
     return F.coalesce(F.col(col).cast("long"), F.lit(LOWEST))

@@ -31,7 +31,7 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(common.read(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(common.read(spark, sf_dir, "documents"), max_bits=2)
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 

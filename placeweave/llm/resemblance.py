@@ -1,13 +1,21 @@
-"""Near copies for corpus stages: SimHash candidates, verified by exact five-word resemblance.
+"""Near copies: SimHash candidates, verified by exact five-word resemblance.
 
 Texts are first made distinct by their sets of five-word shingles, so copies, also those that
-differ in case or spacing only, are one node and never a pair. SimHash fingerprints (of the
-distinct three-word shingles) propose pairs: under each of ORDERS fixed orders of the 64 bits the pivots lie in
-four groups of 16, and two fingerprints within RADIUS bits are a candidate where all coordinates of
-any one group agree. This is a search by chance, not a certain one: a pair at distance d
-shares a given group with probability C(64-d, 16) / C(64, 16), and there are 4 * ORDERS of them.
-Candidates are thinned by two bounds (sizes of the sets, distance of five-word fingerprints) and
-every survivor is verified by its own texts: a link is a Jaccard resemblance of at least 0.8.
+differ in case or spacing only, are one node and never a pair. Candidates come from SimHash: under
+each of ORDERS fixed orders of the 64 bits the pivots lie in groups of GROUP bits, and the
+coordinates of one group, sharpened by two min-wise shingles, are a cell. Without the shingles the
+number of unrelated texts in a cell would grow with the corpus; with them a cell holds texts that
+share passages. Within a cell, pairs whose fingerprints lie within the radii are joined to
+families; families are all that leaves a cell, never its pairs.
+
+Every family is then verified by its own texts, each text read once: a link is a Jaccard
+resemblance of at least 0.8 between two sets of shingles, and pairs already connected need no look.
+Large families are divided into blocks and every pair of blocks is compared, so no link within a
+family is lost and no task holds more than two blocks. The search for families goes by chance: two
+texts at distance d (bits) and resemblance r share a given cell with probability
+r^2 * C(64-d, GROUP) / C(64, GROUP), and there are 64 / GROUP * ORDERS of them.
+
+Null and empty texts are one node; repeated rows share a node; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -17,30 +25,32 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common, simhash
+from . import common
 from .components import connected
+from .shingles import BITS, SEED, hashes, majority, words_of
 
 # What a near copy is: words per shingle and least resemblance.
 WORDS = 5
 RESEMBLANCE = 0.8
+#: Words per shingle of the fingerprint that proposes pairs.
+FINGERPRINT_WORDS = 3
 #: Orders of the bits, bits of a group, and the farthest candidates in bits of either fingerprint.
-ORDERS = 32
-GROUP = 16
-RADIUS = 14
-RADIUS_FIVE = 21
-
-
-def words_of(text: str) -> list[bytes]:
-    return simhash.WORD.findall(text.encode().translate(simhash._LOWER))
+ORDERS = 8
+GROUP = 8
+RADIUS = 20
+RADIUS_FIVE = 24
+CELLS = ORDERS * (BITS // GROUP)
+#: A block of a family: texts and shingles, about. They set how the work is dealt, never what is compared.
+BLOCK_TEXTS = 2048
+BLOCK_SHINGLES = 1 << 21
 
 
 def shingles(own: list[bytes], words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of the shingles; a text of fewer words has one shingle of all."""
-    parts = zip(*(own[i:] for i in range(min(words, len(own)))), strict=False)
-    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(p), simhash.SEED) for p in parts], dtype="<u8"))
+    return np.unique(hashes(own, words))
 
 
 def resemblance(a: np.ndarray, b: np.ndarray) -> float:
@@ -53,61 +63,30 @@ def resemblance(a: np.ndarray, b: np.ndarray) -> float:
 
 def bit_orders() -> np.ndarray:
     """[order, 64]: fixed orders of the bits."""
-    rng = np.random.default_rng(simhash.SEED)
-    return np.stack([rng.permutation(simhash.BITS) for _ in range(ORDERS)]).astype(np.uint64)
+    rng = np.random.default_rng(SEED)
+    return np.stack([rng.permutation(BITS) for _ in range(ORDERS)]).astype(np.uint64)
 
 
-def group_keys(fps: np.ndarray) -> np.ndarray:
-    """int64 [fingerprint, 4 * ORDERS]: number of the group and its coordinates."""
-    out = np.empty((len(fps), ORDERS * (simhash.BITS // GROUP)), dtype=np.uint64)
-    groups = bit_orders().reshape(-1, GROUP)
-    for g, bits in enumerate(groups):
-        key = np.full(len(fps), np.uint64(g))
-        for bit in bits:
-            key = key << np.uint64(1) | (fps >> bit) & np.uint64(1)
-        out[:, g] = key
-    return out.view(np.int64)
+_GROUPS = bit_orders().reshape(CELLS, GROUP)
+_FACTORS = np.random.default_rng(SEED + 1).integers(0, 1 << 63, 2 * CELLS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_SHIFTS = np.arange(GROUP, dtype=np.uint64)
 
 
-def pairs_in_cells(cell: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of positions within RADIUS bits in one cell; rows are sorted by cell."""
-    left, right = [], []
-    at, k = np.arange(len(cell)), 1
-    while len(at):
-        at = at[at + k < len(cell)]
-        at = at[cell[at] == cell[at + k]]
-        near = at[np.bitwise_count(fps[at] ^ fps[at + k]) <= RADIUS]
-        left.append(near)
-        right.append(near + k)
-        k += 1
-    return np.concatenate(left or [np.arange(0)]), np.concatenate(right or [np.arange(0)])
-
-
-def candidates(fps: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (fa, fb) of the distinct fingerprints, signed longs, in column fp."""
-
-    def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            own = b["fp"].to_numpy().astype(np.int64)
-            for i in range(0, len(own), 4_000):
-                part = own[i : i + 4_000]
-                keys = group_keys(part.view(np.uint64))
-                yield pd.DataFrame({"cell": keys.ravel(), "fp": np.repeat(part, keys.shape[1])})
-
-    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in common.whole_groups(batches, "cell"):
-            own = whole["fp"].to_numpy().astype(np.int64)
-            i, j = pairs_in_cells(whole["cell"].to_numpy(), own.view(np.uint64))
-            if len(i):
-                yield pd.DataFrame({"fa": np.minimum(own[i], own[j]), "fb": np.maximum(own[i], own[j])}).drop_duplicates()
-
-    n = common.partitions(fps.sparkSession)
-    placed = fps.mapInPandas(place, "cell long, fp long").repartition(n, "cell").sortWithinPartitions("cell")
-    return placed.mapInPandas(search, "fa long, fb long").distinct()
+def cells_of(fp: int, own: np.ndarray) -> np.ndarray:
+    """The CELLS cell numbers of a text: coordinates of a group, and two min-wise shingles of the set."""
+    least = np.full(2 * CELLS, ~np.uint64(0))
+    for i in range(0, len(own), 4096):
+        least = np.minimum(least, (own[None, i : i + 4096] * _FACTORS[:, None]).min(axis=1))
+    bits = ((np.uint64(fp) >> _GROUPS & np.uint64(1)) << _SHIFTS).sum(axis=1, dtype=np.uint64)
+    key = (np.arange(CELLS, dtype=np.uint64) << np.uint64(GROUP)) | bits
+    for part in (least[:CELLS], least[CELLS:]):
+        key = (key ^ part ^ (part >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(32)
+    return key
 
 
 def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, node (hash of the set of shingles), size of the set, fp and five (fingerprints)."""
+    """id, text_hash, node (hash of the set of shingles), size of the set, fp and five (fingerprints), cells."""
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -116,47 +95,133 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             for text in b["text"]:
                 words = words_of(text)
                 own = shingles(words)
-                three = shingles(words, simhash.SHINGLE_WORDS)
-                rows.append((xxhash.xxh64_intdigest(own.tobytes()), len(own), simhash.majority(three), simhash.majority(own)))
-            node, size, fp, five = (np.array(x, np.uint64).view(np.int64) for x in (zip(*rows) if rows else [()] * 4))
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "text_hash": b["text_hash"], "node": node, "size": size, "fp": fp, "five": five})
+                fp = majority(shingles(words, FINGERPRINT_WORDS))
+                rows.append((xxhash.xxh64_intdigest(own.tobytes()), len(own), fp, majority(own), cells_of(fp, own).view(np.int64)))
+            node, size, fp, five = (np.array(x, np.uint64).view(np.int64) for x in (zip(*[r[:4] for r in rows], strict=True) if rows else [()] * 4))
+            yield pd.DataFrame({"id": common.ids(b), "text_hash": b["text_hash"], "node": node, "size": size, "fp": fp, "five": five, "cells": [r[4] for r in rows]})
 
     text = common.text_of(text_col)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    return plain.mapInPandas(run, "id long, text_hash long, node long, size long, fp long, five long")
+    plain = docs.select(*common.id_columns(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    return plain.mapInPandas(run, "id long, text_hash long, node long, size long, fp long, five long, cells array<long>")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, text_col: str) -> DataFrame:
-    """Of the pairs (a, b, ha, hb: nodes and hashes of a text of each), those whose texts resemble each other."""
-    wanted = pairs.select(F.col("ha").alias("h")).union(pairs.select("hb")).distinct()
-    text = common.text_of(text_col)
-    texts = docs.select(F.xxhash64(text).alias("h"), text.alias("t")).join(wanted, "h", "left_semi")
-    texts = common.materialise(texts.groupBy("h").agg(F.min("t").alias("t")), "candidate-texts")
-    left, right = texts.select(F.col("h").alias("ha"), F.col("t").alias("ta")), texts.select(F.col("h").alias("hb"), F.col("t").alias("tb"))
+def near_in_cells(cell: np.ndarray, size: np.ndarray, fp: np.ndarray, five: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect, in each cell, all pairs within the radii; rows are sorted by cell and size."""
+    root = np.arange(len(cell))
+    at, k = np.arange(len(cell)), 1
+    while len(at):
+        at = at[at + k < len(cell)]
+        # Sizes ascend: once the next one is too large, so are all after it.
+        at = at[(cell[at] == cell[at + k]) & (size[at] >= (RESEMBLANCE - 1e-9) * size[at + k])]
+        near = at[root[at] != root[at + k]]
+        near = near[np.bitwise_count(fp[near] ^ fp[near + k]) <= RADIUS]
+        near = near[np.bitwise_count(five[near] ^ five[near + k]) <= RADIUS_FIVE]
+        for i in near.tolist():
+            a, b = root[i], root[i + k]
+            if a != b:
+                lo, hi = np.searchsorted(cell, cell[i]), np.searchsorted(cell, cell[i], side="right")
+                part = root[lo:hi]
+                part[part == max(a, b)] = min(a, b)
+        k += 1
+    moved = np.flatnonzero(root != np.arange(len(cell)))
+    return list(zip(moved.tolist(), root[moved].tolist(), strict=True))
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            kept = [resemblance(shingles(words_of(x)), shingles(words_of(y))) >= RESEMBLANCE for x, y in zip(b["ta"], b["tb"], strict=True)]
-            yield b.loc[np.array(kept, dtype=bool), ["a", "b"]]
 
-    return pairs.join(left, "ha").join(right, "hb").select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+def families(nodes: DataFrame) -> DataFrame:
+    """node, root: connected candidates; nodes (node, size, fp, five, cells) without any are left out."""
+    n = common.partitions(nodes.sparkSession)
+
+    def search(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in common.whole_groups(batches, "cell"):
+            cell, size, node = (whole[c].to_numpy() for c in ("cell", "size", "node"))
+            fp, five = (whole[c].to_numpy().view(np.uint64) for c in ("fp", "five"))
+            found = near_in_cells(cell, size, fp, five)
+            if found:
+                i, j = np.array(found).T
+                yield pd.DataFrame({"a": node[i], "b": node[j]}).drop_duplicates()
+
+    placed = nodes.select(F.explode("cells").alias("cell"), "node", "size", "fp", "five")
+    links = placed.repartition(n, "cell").sortWithinPartitions("cell", "size", "node").mapInPandas(search, "a long, b long")
+    return connected(common.materialise(links, "candidates"))
+
+
+def verified_links(sizes: np.ndarray, fp: np.ndarray, five: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
+    """Links that connect all pairs of resembling sets: any two positions if side is all False, else only pairs across."""
+    order = np.argsort(sizes, kind="stable")
+    sets = [sets[k] for k in order]
+    sizes, fp, five, side = sizes[order], fp[order], five[order], side[order]
+    vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.empty(0), np.empty(0, int))
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    mark = np.zeros(len(vocabulary), dtype=bool)
+    root, across, out = np.arange(len(sets)), bool(side.any()), []
+    ends = np.searchsorted(sizes, sizes / (RESEMBLANCE - 1e-9), side="right")
+    for i, end in enumerate(ends.tolist()):
+        near = np.arange(i + 1, end)
+        near = near[(root[near] != root[i]) & (np.bitwise_count(fp[near] ^ fp[i]) <= RADIUS) & (np.bitwise_count(five[near] ^ five[i]) <= RADIUS_FIVE)]
+        if across:
+            near = near[side[near] != side[i]]
+        if not len(near):
+            continue
+        own = flat[starts[i] : starts[i + 1]]
+        mark[own] = True
+        for c in np.array_split(near, -(-int(sizes[near].sum()) // (1 << 22)) or 1):
+            width = sizes[c]
+            first = np.cumsum(width) - width
+            hits = mark[flat[np.arange(width.sum()) + np.repeat(starts[c] - first, width)]]
+            both = np.add.reduceat(hits, first, dtype=np.int64) if len(hits) else np.zeros(len(c), int)
+            union = sizes[i] + width - both
+            for j in c[(both >= RESEMBLANCE * union)].tolist():
+                if root[i] != root[j]:
+                    a, b = sorted((root[i], root[j]))
+                    root[root == b] = a
+                    out.append((int(order[i]), int(order[j])))
+        mark[own] = False
+    return out
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of docs: id, text_hash, root (one for all that chains of verified links connect)."""
+    """Per row of docs: id, text_hash, fp, root (one for all that chains of verified links connect)."""
     marked = common.materialise(describe(docs, id_col, text_col), "described")
-    one = F.min(F.struct("text_hash", "size", "fp", "five")).alias("x")
+    one = F.min(F.struct("text_hash", "size", "fp", "five", "cells")).alias("x")
     nodes = common.materialise(marked.groupBy("node").agg(one).select("node", "x.*"), "nodes")
-    found = common.materialise(candidates(nodes.select("fp").distinct()), "candidates")
-    ends = {s: nodes.select(F.col("fp").alias(f"f{s}"), F.col("node").alias(s), F.col("text_hash").alias(f"h{s}"), F.col("size").alias(f"n{s}"), F.col("five").alias(f"v{s}")) for s in "ab"}
-    shared = nodes.groupBy("fp").count().filter("count > 1").select(F.col("fp").alias("fa"), F.col("fp").alias("fb"))
-    pairs = found.unionByName(shared).join(ends["a"], "fa").join(ends["b"], "fb").filter("fa != fb or a < b")
-    alike = (F.least("na", "nb") >= (RESEMBLANCE - 1e-9) * F.greatest("na", "nb")) & (F.bit_count(F.col("va").bitwiseXOR(F.col("vb"))) <= RADIUS_FIVE)
-    pairs = common.materialise(pairs.filter(alike).select("a", "b", "ha", "hb"), "pairs")
-    roots = connected(common.materialise(verified(pairs, docs, text_col), "verified"))
-    return marked.join(roots, "node", "left").select("id", "text_hash", F.coalesce("root", "node").alias("root"))
+    members = nodes.drop("cells").join(families(nodes.filter("size > 0")).withColumnRenamed("root", "family"), "node")
+    members = common.materialise(members, "members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    dealt = common.materialise(members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family"), "dealt")
+    # Texts of members only; equal ones once.
+    text = common.text_of(text_col)
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("t")).join(dealt.select("text_hash"), "text_hash", "left_semi")
+    texts = texts.groupBy("text_hash").agg(F.min("t").alias("t"))
+    own = F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks").cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sent = dealt.select("node", "text_hash", "size", "fp", "five", "family", own.alias("own"), other.alias("other"))
+    sent = sent.select("node", "text_hash", "size", "fp", "five", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
+
+    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(words_of(t)) for t in rows["t"]]
+        sizes = np.array([len(s) for s in sets])
+        side = (rows["own"] != key[1]).to_numpy()
+        bits = [rows[c].to_numpy().view(np.uint64) for c in ("fp", "five")]
+        found = verified_links(sizes, *bits, sets, side) if key[1] == key[2] or side.any() and not side.all() else []
+        name = rows["node"].to_numpy()
+        return pd.DataFrame({"a": [name[x] for x, _ in found], "b": [name[y] for _, y in found]}, dtype="int64")
+
+    links = sent.join(texts, "text_hash").groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
+    roots = connected(common.materialise(links, "verified"))
+    return marked.join(roots, "node", "left").select("id", "text_hash", "fp", F.coalesce("root", "node").alias("root"))
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that keep_one keeps, by the groups in found (id, text_hash, root)."""
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), F.coalesce("id", F.lit(0).cast("long")).alias("k"), F.col("text_hash").alias("h"))).alias("kept")
+    kept = found.groupBy("root").agg(first).select("kept.*")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # whatever the columns are called
+    own = F.col(id_col).cast("long")
+    rows = docs.select(row, own.isNull().alias("unnamed"), F.coalesce(own, F.lit(0).cast("long")).alias("k"), F.xxhash64(common.text_of(text_col)).alias("h"))
+    number = F.row_number().over(Window.partitionBy("unnamed", "k", "h").orderBy(F.col(f"row.{text_col}")))
+    return rows.join(kept, ["unnamed", "k", "h"], "left_semi").withColumn("n", number).filter(F.col("n") == 1).select("row.*")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs, columns as they are, with one row of each group of near copies: that of the least id (null ids last)."""
-    return simhash.one_of_each(docs, near_copies(docs.select(id_col, text_col), id_col, text_col), id_col, text_col)
+    return one_of_each(docs, near_copies(docs, id_col, text_col), id_col, text_col)

@@ -16,55 +16,31 @@ on the bits still free, which bounds every cell by the number of values of its f
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, resemblance
 from .components import connected
+from .shingles import BITS, hashes, majority, words_of
 
-# Fixed values of the fingerprint: word pattern, words per shingle, hash seed, bits.
-WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+#: Words per shingle of a fingerprint.
 SHINGLE_WORDS = 3
-SEED = 42
-BITS = 64
 #: Groups of pivots, bits of each, and parts of a large cell's free bits.
 GROUPS = 4
 WIDTH = BITS // GROUPS
 PARTS = 4
 #: Distinct fingerprints in a cell beyond which it is divided again.
 CELL_LIMIT = 4096
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS) -> int:
     """A bit is 1 where more than half of the shingles' hashes (repeats included) have it set."""
-    data = text.encode().translate(_LOWER)
-    own = WORD.findall(data)
-    if not own:
-        return 0
-    size = min(words, len(own))
-    digest = xxhash.xxh64_intdigest
-    if size == 3:
-        shingles = [b"%b %b %b" % x for x in zip(own, own[1:], own[2:], strict=False)]
-    else:
-        shingles = [b" ".join(own[i : i + size]) for i in range(len(own) - size + 1)]
-    return majority(np.array([digest(s, SEED) for s in shingles], dtype="<u8"))
-
-
-def majority(h: np.ndarray) -> int:
-    """The fingerprint of shingle hashes, repeats included; zero where there are none."""
-    set_bits = np.zeros(BITS, dtype=np.int64)
-    for i in range(0, len(h), 1 << 16):
-        part = np.unpackbits(h[i : i + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_bits += part.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(set_bits * 2 > len(h), bitorder="little").view("<u8")[0])
+    return majority(hashes(words_of(text), words))
 
 
 def popcount(x: np.ndarray) -> np.ndarray:
@@ -210,50 +186,48 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64), "text_hash": b["text_hash"]})
+            yield pd.DataFrame({"id": common.ids(b), "fp": np.array([fingerprint(t) for t in b["text"]], np.uint64).view(np.int64), "text_hash": b["text_hash"]})
 
     text = common.text_of(text_col)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
+    plain = docs.select(*common.id_columns(id_col), text.alias("text"), F.xxhash64(text).alias("text_hash"))
     return plain.mapInPandas(run, "id long, fp long, text_hash long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
-    """Per row of docs: id, fp, text_hash, root, component (least id reachable over links of at most max_bits bits).
-
-    Rows with equal fingerprints are linked; repeated rows are kept as they are. Null ids are
-    ignored as component names unless a component has no other. root, a fingerprint of the group,
-    tells such groups apart. An empty table gives no rows.
-    """
+def linked_fingerprints(docs: DataFrame, id_col: str, text_col: str, max_bits: int) -> DataFrame:
+    """id, fp, text_hash, root (a fingerprint of the group) for each row; links are of at most max_bits bits."""
     marked = common.materialise(fingerprint_documents(docs, id_col, text_col), "fingerprints")
-    distinct = common.materialise(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
-    roots = connected(link_fingerprints(distinct.select("fp"), max_bits))  # node, root; linked ones only
+    distinct = common.materialise(marked.select("fp").distinct(), "distinct")
+    roots = common.materialise(connected(link_fingerprints(distinct, max_bits)), "roots")  # linked ones only
     # Both sides of a join with hot keys are written tables: Spark splits a skewed side only where
     # the shuffle lies right below the join.
-    named = common.materialise(distinct.join(roots.withColumnRenamed("node", "fp"), "fp"), "named")
-    least = common.materialise(named.groupBy("root").agg(F.min("least").alias("component")), "least")
-    of = named.join(least, "root").select("fp", "root", "component")
-    of = distinct.join(of, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component"))
-    return marked.join(common.materialise(of, "components"), "fp").select("id", "fp", "text_hash", "root", "component")
+    return marked.join(roots, marked["fp"] == roots["node"], "left").select("id", "fp", "text_hash", F.coalesce("root", "fp").alias("root"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int | None = None) -> DataFrame:
+    """Per row of docs: id, fp, text_hash, root, component (least id reachable over links).
+
+    Rows are linked where their five-word shingles have a resemblance of 0.8 or more, or, with
+    max_bits, where their fingerprints differ in at most so many bits. Repeated rows are kept as
+    they are. Null ids are ignored as component names unless a component has no other. root, one
+    for each group, tells such groups apart. An empty table gives no rows.
+    """
+    found = resemblance.near_copies(docs, id_col, text_col) if max_bits is None else linked_fingerprints(docs, id_col, text_col, max_bits)
+    found = common.materialise(found, "linked")
+    least = common.materialise(found.groupBy("root").agg(F.min("id").alias("component")), "least")
+    return found.join(least, "root").select("id", "fp", "text_hash", "root", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 2) -> DataFrame:
-    """docs, columns as they are, with one row of each group: that of the least id (null ids last).
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int | None = None) -> DataFrame:
+    """docs, columns as they are, with one row of each group of near_duplicates: that of the least id (null ids last).
 
     Rows that share an id are told apart by a hash of their text, so a group never loses its row to
     another one's. Only ids, fingerprints and hashes are grouped; the texts meet the list of kept
     rows by a join. Of rows with one id and one text, one stays.
     """
-    return one_of_each(docs, near_duplicates(docs.select(id_col, text_col), id_col, text_col, max_bits), id_col, text_col)
-
-
-def one_of_each(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that keep_one keeps, by the groups in found (id, text_hash, root)."""
-    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "text_hash")).alias("kept")
-    kept = found.groupBy("root").agg(first).select(common.order_key("kept.id").alias("k"), F.col("kept.text_hash").alias("h"))
-    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")  # whatever the columns are called
-    rows = docs.select(row, common.order_key(id_col).alias("k"), F.xxhash64(common.text_of(text_col)).alias("h")).join(kept, ["k", "h"], "left_semi")
-    number = F.row_number().over(Window.partitionBy("k", "h").orderBy(F.col(f"row.{text_col}")))
-    return rows.withColumn("n", number).filter(F.col("n") == 1).select("row.*")
+    if max_bits is None:
+        return resemblance.keep_one(docs, id_col, text_col)
+    found = linked_fingerprints(docs, id_col, text_col, max_bits)
+    return resemblance.one_of_each(docs, found, id_col, text_col)
 
 
 def hex_of(col: str) -> Column:
