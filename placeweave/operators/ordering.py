@@ -11,9 +11,13 @@ def range_of(key: Column, cuts: list[int] | list[float], kind: str = "double") -
 
     The cuts are one constant array, so thousands of ranges cost a row a dozen comparisons.
     """
-    known = F.array(*map(F.lit, cuts)).cast(f"array<{kind}>")
-    steps = F.array(*[F.lit(1 << i) for i in reversed(range(len(cuts).bit_length()))]).cast("array<int>")
-    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(known, at + s - 1) <= key.cast(kind), at + s).otherwise(at))
+    return place(key.cast(kind), F.array(*map(F.lit, cuts)).cast(f"array<{kind}>"), len(cuts))
+
+
+def place(key: Column, known: Column, count: int) -> Column:
+    """How many of the `count` ascending entries of the constant array `known` are at or below the key, of the entries' type."""
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(count.bit_length()))]).cast("array<int>")
+    return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(known, at + s - 1) <= key, at + s).otherwise(at))
 
 
 def dense_numbers(df: DataFrame, ordinal: str, name: str, ranges: int | None = None) -> DataFrame:
