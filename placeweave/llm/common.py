@@ -2,18 +2,22 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ordering import range_of
+from ..operators.ordering import place, range_of  # noqa: F401  range_of is used through this module
 
 LOWEST = -(2**63)
+#: Keys drawn for each range when rows are dealt out by their order.
+SAMPLE_PER_RANGE = 64
 #: Bytes of one Arrow batch to a Python worker, so that long rows don't gather there.
 ARROW_BATCH_BYTES = 16 << 20
 
@@ -33,6 +37,8 @@ def shared_dir(spark: SparkSession) -> str:
         return conf.rstrip("/")
     own = spark.sparkContext.getCheckpointDir()
     if not own:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="placeweave-"))
         own = spark.sparkContext.getCheckpointDir()
     return own.rstrip("/")
@@ -69,29 +75,46 @@ def ids(batch: pd.DataFrame) -> pd.arrays.IntegerArray:
     return pd.arrays.IntegerArray(batch["id"].to_numpy(np.int64), batch["no_id"].to_numpy(bool))
 
 
-def order_key(col: str) -> Column:
-    """Ascending order as a long; null ids come first."""
-    return F.coalesce(F.col(col).cast("long"), F.lit(LOWEST))
+def key_of(id_col: str, text: Column) -> Column:
+    """Ascending ids, null ids first; rows of one id by a hash of their text, so that an id with any share of all rows is dealt out too."""
+    own = F.col(id_col).cast("long")
+    return F.struct(own.isNotNull().alias("named"), F.coalesce(own, F.lit(0).cast("long")).alias("k"), F.xxhash64(text).alias("h"))
 
 
-def cut_points(df: DataFrame, key: Column, n: int) -> list[int]:
-    """At most n - 1 ascending cut points that deal the keys out evenly; the driver gets these numbers only."""
-    if n < 2:
-        return []
-    found = df.select(key.cast("double").alias("k")).approxQuantile("k", [i / n for i in range(1, n)], 0.2 / n)
-    top = 2**63 - 1
-    return sorted({max(LOWEST, min(top, int(x))) for x in found or []})
+KEY = "struct<named:boolean,k:bigint,h:bigint>"
 
 
-def in_ranges(docs: DataFrame, id_col: str, per_partition: int = 4) -> tuple[DataFrame, int]:
-    """docs with `_k` (order key) and `_range`; ranges ascend with the key. Also the number of shuffle partitions.
+@dataclass(frozen=True)
+class Ranges:
+    """Ascending cut points (named, k, h), each the key of some row and none the least key of all."""
 
-    More ranges than partitions, so that hashing them to partitions stays even.
+    cuts: list[tuple[bool, int, int]]
+    n: int  # partitions, one for each range at least
+
+    def at(self, i: Column) -> Column:
+        """Key of the first row of range i >= 1."""
+        return F.get(self._known(), i - 1)
+
+    def of(self, key: Column) -> Column:
+        return place(key, self._known(), len(self.cuts))
+
+    def _known(self) -> Column:
+        # One literal whatever the number of cuts; it is folded to a constant array.
+        shown = json.dumps([{"named": a, "k": k, "h": h} for a, k, h in self.cuts])
+        return F.from_json(F.lit(shown), f"array<{KEY}>")
+
+
+def find_ranges(keys: DataFrame) -> Ranges:
+    """Ranges that deal the rows of keys (column `key`) out evenly, from a sample of SAMPLE_PER_RANGE keys a range.
+
+    Sampling sets only how the work is dealt. The driver gets that sample, whatever the input's size.
     """
-    n = partitions(docs.sparkSession)
-    keyed = docs.withColumn("_k", order_key(id_col))
-    cuts = cut_points(docs, order_key(id_col), n * per_partition)
-    return keyed.withColumn("_range", range_of(F.col("_k"), cuts, "bigint")), n
+    n = partitions(keys.sparkSession)
+    share = n * SAMPLE_PER_RANGE / max(1, keys.count())
+    drawn = keys if share >= 1 else keys.sample(share, seed=7)
+    found = sorted({(bool(a), int(k), int(h)) for a, k, h in drawn.select("key.*").toPandas().itertuples(index=False)})
+    cuts = sorted({found[i * len(found) // n] for i in range(1, n)} - {found[0]}) if found else []
+    return Ranges(cuts, n)
 
 
 def whole_groups(batches: Iterable[pd.DataFrame], key: str) -> Iterator[pd.DataFrame]:

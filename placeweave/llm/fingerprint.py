@@ -15,6 +15,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,15 +98,17 @@ def load(text: str) -> np.ndarray:
 
 
 def sketch_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS) -> DataFrame:
-    """id, fingerprint, n_shingles (estimated distinct). Null text: empty; rows map one to one."""
+    """id, fingerprint, n_shingles (estimated distinct). Null text: empty; rows map one to one; ids of any type pass as they are."""
     common.bound_batches(docs.sparkSession)
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [sketch(t, k, words) for t in b["text"]]
-            yield pd.DataFrame({"id": b["id"], "fingerprint": [dump(s, k) for s in found], "n_shingles": [distinct(s, k) for s in found]})
+            found = [sketch(t, k, words) for t in b.column("text").to_pylist()]
+            columns = [b.column("id"), pa.array([dump(s, k) for s in found], pa.string()), pa.array([distinct(s, k) for s in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "fingerprint", "n_shingles"])
 
-    return docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text")).mapInPandas(run, f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string, n_shingles double")
+    plain = docs.select(F.col(id_col).alias("id"), common.text_of(text_col).alias("text"))
+    return plain.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fingerprint string, n_shingles double")
 
 
 def merge_by(sketches: DataFrame, key: str, k: int = K, salts: int = 64) -> DataFrame:
@@ -145,40 +148,47 @@ PAIRS = "id long, n_chars long, edited_sha256 string, fingerprint string, edited
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = K, words: int = WORDS) -> DataFrame:
     """Each text's sketch beside those of its edited text and of the next document by ascending id.
 
-    After the last comes the first; a single document follows itself. Equal ids are ordered by text,
-    null ids come first. The first document of each range is also sent to the range before it, so
-    every comparison is local and nothing is gathered but a few numbers per range.
+    After the last comes the first; a single document follows itself. Null ids come first, equal ids
+    are ordered by a hash of their text. The rows at a range's first key are also sent to the range
+    before it, so every comparison is local; the driver gets a sample of keys only.
     """
     spark = docs.sparkSession
     common.bound_batches(spark)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
-    ranged, n = common.in_ranges(plain, "id")
-    firsts = {r["_range"]: r["k"] for r in ranged.groupBy("_range").agg(F.min("_k").alias("k")).collect()}
-    used = sorted(firsts)
-    if not used:
+    text = common.text_of(text_col)
+    keyed = docs.select(common.key_of(id_col, text).alias("key"), text.alias("text"))
+    ranges = common.find_ranges(keyed.select("key"))
+    own = F.col(id_col).cast("long")
+    # The least key from the ids alone, then from the rows of that id.
+    least = docs.agg(F.min(F.struct(own.isNotNull().alias("named"), own.alias("k"))).alias("x")).first()["x"]
+    if least is None:
         return spark.createDataFrame([], PAIRS)
-    before = {r: used[i - 1] for i, r in enumerate(used)}
-    of_range = lambda known, kind: F.get(F.array(*[F.lit(known.get(r)) for r in range(used[-1] + 1)]).cast(f"array<{kind}>"), F.col("_range"))
-    both = F.when(F.col("_k") == of_range(firsts, "bigint"), F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("ahead")), F.struct(of_range(before, "int").alias("r"), F.lit(1).alias("ahead"))))
-    alone = F.array(F.struct(F.col("_range").alias("r"), F.lit(0).alias("ahead")))
-    sent = ranged.select(F.explode(F.coalesce(both, alone)).alias("to"), "_k", "text").select("to.r", "to.ahead", "_k", "text")
-    sent = sent.repartition(n, "r").sortWithinPartitions("r", "ahead", "_k", "text")
+    first = docs.filter(own == least["k"] if least["named"] else own.isNull()).agg(F.min(common.key_of(id_col, text)).alias("x")).first()["x"]
+    head = F.struct(F.lit(first["named"]).alias("named"), F.lit(first["k"]).cast("long").alias("k"), F.lit(first["h"]).cast("long").alias("h"))
+    last = len(ranges.cuts)
+    ranged = keyed.withColumn("r", ranges.of(F.col("key")))
+    target = lambda r, ahead: F.struct(r.cast("int").alias("r"), F.lit(ahead).alias("ahead"))
+    also = F.when(F.col("key") == head, target(F.lit(last), 1)).when((F.col("r") > 0) & (F.col("key") == ranges.at(F.col("r"))), target(F.col("r") - 1, 1))
+    to = F.filter(F.array(target(F.col("r"), 0), also), lambda x: x.isNotNull())
+    sent = ranged.select(F.explode(to).alias("to"), "key", "text").select("to.r", "to.ahead", "key", "text")
+    sent = sent.repartitionById(ranges.n, "r").sortWithinPartitions("ahead", "key", "text").select("ahead", "key.named", "key.k", "text")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: tuple | None = None  # the last row, waiting for the one after it
         for b in batches:
             rows = []
-            for r, ahead, key, text in zip(b["r"].tolist(), b["ahead"].tolist(), b["_k"].tolist(), b["text"].tolist(), strict=True):
+            for ahead, named, key, text in zip(b["ahead"].tolist(), b["named"].tolist(), b["k"].tolist(), b["text"].tolist(), strict=True):
+                if ahead and not held:
+                    continue
                 own = sketch(text, k, words)
-                if held and held[0] == r:
-                    name, prior, kept = held[1:]
+                if held:
+                    name, prior, kept = held
                     changed = edited(prior, text)
                     other = sketch(changed, k, words)
                     rows.append((name, len(prior), hashlib.sha256(changed.encode()).hexdigest(), dump(kept, k), dump(other, k), resemblance(kept, other, k), resemblance(kept, own, k)))
-                held = None if ahead else (r, None if key == common.LOWEST else key, text, own)
+                held = None if ahead else (key if named else None, text, own)
             if rows:
                 out = pd.DataFrame(rows, columns=[c.split()[0] for c in PAIRS.split(", ")])
-                out["id"] = out["id"].astype("Int64")
+                out["id"] = pd.array([r[0] for r in rows], dtype="Int64")
                 yield out
 
     return sent.mapInPandas(run, PAIRS)

@@ -60,24 +60,25 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
     return bins, offsets, len(used)
 
 
-def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """One row per piece, texts tokenised where they lie. Null text: empty, so just the end id."""
     common.bound_batches(docs.sparkSession)
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
+    plain = docs.select(*common.id_columns(id_col), common.text_of(text_col).alias("text"))
 
     def cut(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own, end = encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        own, end = encoder(tokenizer, added_tokens), np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for name, ids in zip(batch["id"].astype("Int64").tolist(), own.encode_batch(batch["text"].tolist()), strict=True):
-                ids, a, k = ids + end, 0, 0
+            rows, row = [], []
+            for i, text in enumerate(batch["text"]):
+                ids, a, k = own.encode_batch([text])[0] + end, 0, 0
                 n = len(ids) // 4
                 b = n % capacity or min(n, capacity)
                 while a < n:
-                    rows.append((name, k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                    rows.append((k, a, b - a, zlib.crc32(ids[4 * a : 4 * b])))
+                    row.append(i)
                     a, b, k = b, b + capacity, k + 1
-            out = pd.DataFrame(rows, columns=["id", "piece", "start", "length", "ids_crc32"])
-            out["id"] = out["id"].astype("Int64")
+            out = pd.DataFrame(rows, columns=["piece", "start", "length", "ids_crc32"])
+            out.insert(0, "id", common.ids(batch)[row])
             yield out
 
     return plain.mapInPandas(cut, PIECES)
@@ -86,23 +87,27 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
 def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """pieces with sequence_id and offset. pieces is read twice, so it should be materialised."""
     shards = max(1, -(-pieces.count() // shard_pieces))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(shards)).cast("int"))
+    shard = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
+    dealt = pieces.select(*common.id_columns("id"), *[c for c in pieces.columns if c != "id"], shard.alias("shard"))
 
-    def place(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        # Longest first; the rest of the order only makes a repeated task give the same bins.
-        rows = rows.sort_values(["length", "id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
-        bins, offsets, _ = sum_of_squares(rows["length"].to_numpy(), capacity)
-        rows["sequence_id"], rows["offset"] = (key[0] << 32) + bins, offsets
-        return rows.drop(columns="shard")
+    def place(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for whole in common.whole_groups(batches, "shard"):
+            for key, rows in whole.groupby("shard", sort=False):
+                # Longest first; the rest of the order only makes a repeated task give the same bins.
+                rows = rows.sort_values(["length", "no_id", "id", "piece", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
+                bins, offsets, _ = sum_of_squares(rows["length"].to_numpy(), capacity)
+                yield rows.assign(id=common.ids(rows), sequence_id=(int(key) << 32) + bins, offset=offsets).drop(columns=["shard", "no_id"])
 
-    return dealt.groupBy("shard").applyInPandas(place, f"{PIECES}, sequence_id long, offset long")
+    # Shards go to partitions by their number: hashed, several could meet in one task while others wait.
+    n = min(shards, common.partitions(pieces.sparkSession))
+    return dealt.repartitionById(n, "shard").sortWithinPartitions("shard").mapInPandas(place, f"{PIECES}, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 1024, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", added_tokens: bool = False) -> DataFrame:
     """Per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     Null ids and texts, empty and repeated rows each have their piece; other columns are ignored;
-    an empty table gives an empty result.
+    an empty table gives an empty result. added_tokens: their content in a text is that token.
     """
-    pieces = common.materialise(pieces_of(docs, tokenizer, capacity, end_id, id_col, text_col), "pieces")
+    pieces = common.materialise(pieces_of(docs, tokenizer, capacity, end_id, id_col, text_col, added_tokens), "pieces")
     return pack_pieces(pieces, capacity)

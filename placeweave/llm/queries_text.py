@@ -20,13 +20,13 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = common.shared_path(spark, "token-files")
-    rans.write_token_files(common.read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0)
+    rans.write_token_files(common.read(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=0, added_tokens=True)
     found = rans.read_token_files(spark, path)
     return found.select(F.col("id").alias("doc_id"), "start", "n_tokens", rans.ids_crc32("ids").alias("ids_crc32"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    packed = packing.pack_documents(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2)
+    packed = packing.pack_documents(common.read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), capacity=1024, end_id=2, added_tokens=True)
     return packed.withColumnRenamed("id", "doc_id")
 
 

@@ -4,7 +4,8 @@ A byte-level BPE tokenizer first cuts a text into words, and no word ever reache
 that stands before a visible character. Cutting there, cutting each new piece by the tokenizer's
 own word pattern, and giving each new word to the library's BPE model yields the ids of the whole
 text; a piece met before needs no second run of the merges. Tokenizers of any other make encode
-each text whole.
+each text whole, and so are texts that hold the content of an added token where this is to be read
+as that token.
 """
 
 from __future__ import annotations
@@ -13,8 +14,8 @@ import json
 import os
 import re
 from array import array
+from collections.abc import Callable
 
-import numpy as np
 import regex
 from tokenizers import Tokenizer
 
@@ -24,9 +25,9 @@ WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)
 CUT = re.compile(" (?=[!-~¡-ᙿ])")
 ODD = re.compile(" (?![!-~¡-ᙿ])")
 #: Pieces and words that one worker keeps; later ones are encoded each time.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 700_000
 
-_loaded: dict[str, TextEncoder] = {}
+_loaded: dict[tuple[str, bool], TextEncoder] = {}
 
 
 def byte_letters() -> dict[int, str]:
@@ -36,80 +37,82 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
+class _Pieces(dict):
+    """Piece -> ids; what is missing is made, and kept while there is room."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, piece: str) -> bytes:
+        found = self.make(piece)
+        if len(self) < CACHE_ENTRIES and len(piece) <= 40 and "\n" not in piece:
+            self[piece] = found
+        return found
+
+
 class TextEncoder:
     """encode_batch(texts): for each text its ids as little-endian uint32 bytes, equal to the
-    library's own encode(text, add_special_tokens=False) with encode_special_tokens set: an added
-    token's content in a text is ordinary text."""
+    library's own encode(text, add_special_tokens=False).
 
-    def __init__(self, path: str):
+    An added token's content in a text is ordinary text, as with the library's encode_special_tokens,
+    so that no text can hold a control token; with added_tokens it is that token, as by the
+    library's default.
+    """
+
+    def __init__(self, path: str, added_tokens: bool = False):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
         spec = json.loads(self.tokenizer.to_str())
         pre = spec.get("pre_tokenizer") or {}
+        added = spec.get("added_tokens", [])
         self.by_words = (
             spec["model"]["type"] == "BPE"
             and not spec.get("normalizer")
             and pre.get("type") == "ByteLevel"
             and pre.get("use_regex", True)
             and not pre.get("add_prefix_space")
-            and not any(t.get("special") is False for t in spec.get("added_tokens", []))
+            and not any(t.get("special") is False for t in added)
         )
+        self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added_tokens and added else None
         self.model = self.tokenizer.model
         self.letters = str.maketrans(byte_letters())
         self.words = regex.compile(WORDS)
-        self.spaced: dict[str, bytes] = {}  # letters after a space -> ids
-        self.known: dict[str, bytes] = {}  # any other word -> ids
+        self.known = _Pieces(self._merge)  # words
+        self.spaced = _Pieces(self._spaced)  # pieces after a space
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
-        if not self.by_words:
-            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-            return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
-        return [self._encode(t) for t in texts]
+        return [self._encode(t) if self.by_words else self._whole(t) for t in texts]
+
+    def _whole(self, text: str) -> bytes:
+        return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _encode(self, text: str) -> bytes:
+        if self.added and self.added.search(text):
+            return self._whole(text)
         head, *rest = CUT.split(text) if ODD.search(text) else text.split(" ")
-        if not rest:
-            return self._piece(head)
-        ids = self.spaced
-        new = set(rest).difference(ids)
-        fresh: dict[str, bytes] = {}
-        for p in new:
-            if p.isalpha():
-                self._letters(p, ids if len(ids) < CACHE_ENTRIES else fresh)
-            elif (stem := p[:-1]).isalpha() and p[-1] in ".,":
-                found = ids.get(stem)
-                fresh[p] = (self._letters(stem, ids if len(ids) < CACHE_ENTRIES else fresh) if found is None else found) + self._word(p[-1])
-            else:
-                fresh[p] = self._piece(f" {p}")
-        if fresh:
-            return self._piece(head) + b"".join([fresh[p] if p in fresh else ids[p] for p in rest])
-        return self._piece(head) + b"".join(map(ids.__getitem__, rest))
-
-    def _letters(self, letters: str, into: dict[str, bytes]) -> bytes:
-        into[letters] = found = self._merge(f" {letters}")
-        return found
+        return self._piece(head) + b"".join(map(self.spaced.__getitem__, rest))
+
+    def _spaced(self, piece: str) -> bytes:
+        if piece.isalpha():
+            return self._merge(f" {piece}")
+        if (stem := piece[:-1]).isalpha() and piece[-1] in ".,":
+            return self.spaced[stem] + self.known[piece[-1]]
+        first, *more = self.words.findall(f" {piece}")
+        own = self.spaced[first[1:]] if more and first[0] == " " and first[1:].isalpha() else self.known[first]
+        return own + b"".join(map(self.known.__getitem__, more))
 
     def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self._word, self.words.findall(piece)))
-
-    def _word(self, word: str) -> bytes:
-        if word[0] == " " and (found := self.spaced.get(word[1:])) is not None:
-            return found
-        found = self.known.get(word)
-        if found is None:
-            found = self._merge(word)
-            if len(self.known) < CACHE_ENTRIES // 4 and len(word) <= 40:
-                self.known[word] = found
-        return found
+        return b"".join(map(self.known.__getitem__, self.words.findall(piece)))
 
     def _merge(self, word: str) -> bytes:
         shown = f"Ġ{word[1:]}" if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.letters)
         return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
 
-def encoder(path: str) -> TextEncoder:
+def encoder(path: str, added_tokens: bool = False) -> TextEncoder:
     """One per worker process."""
-    if path not in _loaded:
-        _loaded[path] = TextEncoder(path)
-    return _loaded[path]
+    if (path, added_tokens) not in _loaded:
+        _loaded[path, added_tokens] = TextEncoder(path, added_tokens)
+    return _loaded[path, added_tokens]

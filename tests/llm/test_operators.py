@@ -409,3 +409,77 @@ def test_whole_groups():
     whole = [x["k"].tolist() for x in common.whole_groups(parts, "k")]
     seen = [k for x in whole for k in set(x)]
     assert len(seen) == len(set(seen)) and sum(map(len, whole)) == 8
+
+
+# Contract queries' own choices, and awkward ids
+BIG = [2**53 + 1, None, 2**53 + 3, 2**63 - 1, -(2**63), -(2**63) + 1]
+
+
+@pytest.fixture(scope="module")
+def large_ids(spark):
+    return spark.createDataFrame([(i, f"text number {k} stands alone here", 1.5) for k, i in enumerate(BIG)], "doc_id long, text string, id double")
+
+
+def same_ids(found):
+    key = lambda x: (x is not None, x or 0)
+    return sorted(found, key=key) == sorted(BIG, key=key)
+
+
+def test_added_tokens_as_by_default():
+    own, plain = token_ids.TextEncoder(BPE, added_tokens=True), Tokenizer.from_file(BPE)
+    for t in ["a<|endoftext|>b", "a <|endoftext|> b  <|endoftext|>", "<|endoftext|>", "<|endoftext", *(x or "" for x in TEXTS)]:
+        assert np.frombuffer(own.encode_batch([t])[0], "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
+def test_token_files_with_added_tokens(docs, spark):
+    plain, at = Tokenizer.from_file(BPE), 0
+    rans.write_token_files(docs, path := common.shared_path(spark, "t"), BPE, end_id=0, added_tokens=True)
+    got = rans.read_token_files(spark, path).toPandas().sort_values("start")
+    for (i, t), r in zip(texts(), got.itertuples(), strict=True):
+        ids = np.array([*plain.encode(t, add_special_tokens=False).ids, 0], "<u4").tobytes()
+        assert (r.id, r.start, bytes(r.ids)) == (i, at, ids)
+        at += len(ids) // 4
+    packed = packing.pack_documents(docs, BPE, added_tokens=True).toPandas()
+    own = [len(plain.encode(t, add_special_tokens=False).ids) + 1 for _, t in texts()]
+    assert packed["length"].sum() == sum(own)
+
+
+def test_ids_are_exact(spark, large_ids):
+    assert same_ids([r.id for r in fingerprint.compare_with_next(large_ids).collect()])
+    assert same_ids([r.id for r in fingerprint.sketch_documents(large_ids).collect()])
+    rans.write_token_files(large_ids, path := common.shared_path(spark, "t"), BPE)
+    got = rans.read_token_files(spark, path).orderBy("start").collect()
+    assert [r.id for r in got] == sorted(BIG, key=lambda x: (x is not None, x or 0))
+    assert same_ids([r.id for r in packing.pack_documents(large_ids, BPE).collect()])
+    assert same_ids([r.id for r in simhash.near_duplicates(large_ids, max_bits=2).collect()])
+    assert same_ids([r.id for r in simhash.near_duplicates(large_ids).collect()])
+
+
+@pytest.mark.parametrize("max_bits", [None, 2])
+def test_no_document_of_a_large_id_is_lost(spark, max_bits):
+    texts_ = ["alpha beta gamma delta epsilon zeta", "one two three four five six seven", "red green blue black white grey pink"]
+    rows = spark.createDataFrame(list(zip([2**53 + 1, None, 2**53 + 3], texts_, strict=True)), "doc_id long, text string")
+    assert sorted(r.text for r in simhash.keep_one(rows, max_bits=max_bits).collect()) == sorted(texts_)
+
+
+def test_hot_ids_are_dealt_out(spark):
+    rows = spark.range(4000).select(F.lit(5).cast("long").alias("doc_id"), F.concat("id", F.lit(" is the number "), "id").alias("text"))
+    text = common.text_of("text")
+    ranges = common.find_ranges(rows.select(common.key_of("doc_id", text).alias("key")))
+    sizes = [r["count"] for r in rows.select(ranges.of(common.key_of("doc_id", text)).alias("r")).groupBy("r").count().collect()]
+    assert len(sizes) == ranges.n and max(sizes) < 2 * 4000 / ranges.n
+    got = fingerprint.compare_with_next(rows).toPandas()
+    assert len(got) == 4000 and got["edited_sha256"].nunique() > 3900
+    keyed = rows.select(common.key_of("doc_id", text).alias("key"), "text").orderBy("key").collect()
+    own = [r.text for r in keyed]
+    want = sorted(hashlib.sha256(fingerprint.edited(t, own[(k + 1) % len(own)]).encode()).hexdigest() for k, t in enumerate(own))
+    assert sorted(got["edited_sha256"]) == want
+
+
+def test_blocks_in_step_equal_blocks_alone():
+    rng = np.random.default_rng(11)
+    parts = [(rng.zipf(1.3, n) % 3000).astype(np.uint32) for n in (0, 1, 255, 256, 70_000, 131_072, 300_000)]
+    table = rans.Table.of(np.concatenate(parts))
+    together = rans.encode_blocks(parts, table)
+    assert together == [rans.encode_block(p, table) for p in parts]
+    assert all((a == b).all() for a, b in zip(rans.decode_blocks(together, table), parts, strict=True))
