@@ -18,7 +18,7 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -141,6 +141,10 @@ class PieceModel:
         named = [(p, _BYTE.fullmatch(p)) for p, _, _ in self.pieces]
         return [bytes.fromhex(m[1]) if m else (p.replace(MARK, " ") if self.escape_spaces else p).encode() for p, m in named]
 
+    def breaks(self) -> bool:
+        """Whether no piece holds a line break, so that merges never reach over one."""
+        return self.algorithm == BPE and self.byte_fallback and self.escape_spaces and not any(k == USER_DEFINED or k != BYTE and "\n" in p for p, _, k in self.pieces)
+
     def by_words(self) -> bool:
         return self.escape_spaces and not any(k == USER_DEFINED or MARK in p.lstrip(MARK) for p, _, k in self.pieces)
 
@@ -157,7 +161,9 @@ class PieceCodec:
         self.words = self.model.by_words()
         self.plain = Tokenizer(self.tokenizer.model)  # for text already normalised
         self.plain_map = not self.model.charsmap and not self.model.fold_spaces
-        self.known: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}  # word with its marks -> ids
+        self.plain_words: dict[str, bytes] = {}  # the same for words after one mark, named without it
+        self.breaks = self.model.breaks()
         self.spelled = dict(enumerate(self.model.spellings()))
         self.reference = None
 
@@ -171,16 +177,30 @@ class PieceCodec:
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         if not self.words:
-            return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        cut = [_WORDS.findall(self.normalised(t)) for t in texts]
-        known = self.known
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if self.plain_map and self.model.dummy_prefix:
+            # Without runs of blanks every word has one mark, so cutting at blanks is all there is to normalise.
+            simple = [t and "  " not in t and t[0] != " " and t[-1] != " " and MARK not in t for t in texts]
+            if all(simple):
+                return self._join([self._blanks(t) for t in texts], self.plain_words, MARK)
+            rest = iter(self._join([_WORDS.findall(self.normalised(t)) for t, s in zip(texts, simple, strict=True) if not s], self.known))
+            fast = iter(self._join([self._blanks(t) for t, s in zip(texts, simple, strict=True) if s], self.plain_words, MARK))
+            return [next(fast) if s else next(rest) for s in simple]
+        return self._join([_WORDS.findall(self.normalised(t)) for t in texts], self.known)
+
+    def _blanks(self, text: str) -> list[str]:
+        """Words between blanks; a line break begins one too, as no piece holds it."""
+        return (text.replace("\n", " \n") if self.breaks else text).split(" ")
+
+    def _join(self, cut: list[list[str]], known: dict[str, bytes], mark: str = "") -> list[bytes]:
+        """Ids of each list of words; a word stands for mark and itself, or for itself where it begins a line."""
         new = list(set().union(*cut).difference(known))
         fresh: dict[str, bytes] = {}
         for i in range(0, len(new), 8192):
             part = new[i : i + 8192]
-            for w, e in zip(part, self.plain.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                into = known if len(known) < CACHE_WORDS and len(w) <= 40 else fresh
-                into[w] = array("I", e.ids).tobytes()
+            into = known if len(known) < CACHE_WORDS else fresh
+            for w, e in zip(part, self.plain.encode_batch_fast([w if w[:1] == "\n" else mark + w for w in part], add_special_tokens=False), strict=True):
+                (into if len(w) <= 40 else fresh)[w] = array("I", e.ids).tobytes()
         if not fresh:
             return [b"".join(map(known.__getitem__, c)) for c in cut]
         return [b"".join([known[w] if w in known else fresh[w] for w in c]) for c in cut]
@@ -219,6 +239,9 @@ def codec(path: str) -> PieceCodec:
     return _codecs[path]
 
 
+RESULT = "id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean, parity boolean"
+
+
 def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text", verify: bool = True) -> DataFrame:
     """id, n_tokens, ids, ids_crc32, round_trip, parity: for every row of docs.
 
@@ -227,19 +250,23 @@ def encode_documents(docs: DataFrame, model: str, id_col: str = "doc_id", text_c
     """
     common.bound_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
+    names = [c.split()[0] for c in RESULT.split(", ")]
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        for b in batches:
-            for i in range(0, len(b), 512):
-                part = b.iloc[i : i + 512]
-                texts = part["text"].tolist()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 512):
+                b = whole.slice(i, 512)
+                texts = b.column("text").to_pylist()
                 ids = own.encode_batch(texts)
                 back = own.decode_batch(ids)
-                yield pd.DataFrame({
-                    "id": part["id"].astype("Int64").to_numpy(), "n_tokens": [len(x) // 4 for x in ids], "ids": [np.frombuffer(x, "<i4") for x in ids],
-                    "ids_crc32": [zlib.crc32(x) for x in ids], "round_trip": [x == y for x, y in zip(texts, back, strict=True)],
-                    "parity": own.same_as_library(texts, ids) if verify else None,
-                })
-
-    return plain.mapInPandas(run, "id long, n_tokens long, ids array<int>, ids_crc32 long, round_trip boolean, parity boolean")
+                sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+                yield pa.RecordBatch.from_arrays([
+                    b.column("id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([zlib.crc32(x) for x in ids], pa.int64()),
+                    pa.array([x == y for x, y in zip(texts, back, strict=True)], pa.bool_()),
+                    pa.array(own.same_as_library(texts, ids) if verify else [None] * len(ids), pa.bool_()),
+                ], names=names)
+
+    return plain.mapInArrow(run, RESULT)
