@@ -46,6 +46,8 @@ CELLS = ORDERS * (BITS // GROUP)
 #: A block of a family: texts and shingles, about. They set how the work is dealt, never what is compared.
 BLOCK_TEXTS = 2048
 BLOCK_SHINGLES = 1 << 21
+#: Members of families (one number each) up to which their list is broadcast; beyond, texts meet it by a shuffle.
+BROADCAST_MEMBERS = 500_000
 
 
 def shingles(own: list[bytes], words: int = WORDS) -> np.ndarray:
@@ -188,9 +190,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     members = common.materialise(members, "members")
     blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
     dealt = common.materialise(members.join(members.groupBy("family").agg(blocks.alias("blocks")), "family"), "dealt")
-    # Texts of members only; equal ones once.
-    text = common.text_of(text_col)
-    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("t")).join(dealt.select("text_hash"), "text_hash", "left_semi")
+    # Texts of members only; equal ones once. Texts stay where they are while the list of members is short.
+    text, wanted = common.text_of(text_col), dealt.select("text_hash")
+    wanted = F.broadcast(wanted) if dealt.count() <= BROADCAST_MEMBERS else wanted
+    texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("t")).join(wanted, "text_hash", "left_semi")
     texts = texts.groupBy("text_hash").agg(F.min("t").alias("t"))
     own = F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks").cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
