@@ -2,15 +2,24 @@
 
 Each word, and each beginning of four or five letters, has a log-odds score between toxic and clean
 labelled documents (counted once a document), with an informative Dirichlet prior from the words of
-both; a token takes the score of the longest of these that is known. A linear-time scan finds every maximal scoring segment of
-a text; a segment is significant when its expected number in clean text of that length (Karlin and
-Altschul's extreme-value law, lambda and K from the clean documents) is at most `E_VALUE`. The
-evidence of a document, minus the logarithm of the probability that clean text holds such a best
-segment, and the sum over its significant segments, are calibrated to a probability.
+both, weighted by how sure the odds are: the posterior probability that they differ from zero, were
+a word at SURE standard errors as likely to matter as not. Scores are kept in steps of STEP. A token
+takes the score of the longest of its forms whose score isn't zero; a form that the labels don't
+hold has the prior's odds, zero. The odds are those of a word's presence in a document, so its k-th
+occurrence in a text brings a k-th of them. From each token's score DRIFT is taken, so that clean
+text scores below zero on average. A linear-time scan finds every maximal scoring segment of a text; a
+segment is significant when its expected number in clean text of that length (Karlin and
+Altschul's extreme-value law) is at most the model's e_value. The law's lambda and K are the likeliest for the
+best segments of clean documents. The evidence of a document, minus the logarithm of the probability that clean text holds such a best segment, and
+the sum over its significant segments, are calibrated to a probability.
 
 Labels are learned from a bounded sample of labelled rows (MAX_LABELLED, taken by a hash of the
-id); the word counts are summed on the executors and the kept words are bounded by MAX_WORDS.
-Null and empty texts have no token and so no evidence. A text is always scanned whole.
+id; an id that repeats counts once, with the least of its texts). The law, e_value (one of E_VALUES,
+the likeliest) and the calibration see
+each labelled document through scores learned from the other fold, so no document vouches for its
+own words. The word counts are summed on the executors; all words with a score are kept. Null and
+empty texts have no token and so no evidence. A text is always scanned whole. Rows that repeat, also
+whole, are scored one by one and alike.
 """
 
 from __future__ import annotations
@@ -30,27 +39,29 @@ from . import common
 from .calibrate import apply_logistic, fit_logistic
 
 MAX_LABELLED = 20_000
-MAX_WORDS = 20_000
 PRIOR_WORDS = 1_000.0
 #: Least prior count of a word, so that a word new to one side isn't taken as certain.
 LEAST_PRIOR = 0.5
-#: A word is kept when its log-odds are this sure (in standard errors) and this large.
-MIN_Z = 3.0
-MIN_ODDS = 2.0
-#: Share of a toxic passage's tokens that are toxic words themselves, about; sets the drift between them.
+#: Standard errors at which log-odds count half, and the steps in which scores are kept.
+SURE = 3.0
+STEP = 0.05
+#: Share of a toxic passage's tokens that are toxic words themselves, about; what the others cost.
 DENSITY = 0.2
-E_VALUE = 0.05
+DRIFT = math.log(1 - DENSITY)
+#: Expected numbers in clean text from which the fit chooses what counts as significant.
+E_VALUES = (0.05, 0.01, 1e-3, 1e-4, 1e-5)
+FOLDS = 2
 CACHE_WORDS = 500_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
 @dataclass(frozen=True)
 class Model:
-    scores: dict[str, float]
-    drift: float
+    scores: dict[str, float]  # form -> weighted log-odds, none of them zero
     lam: float
     k: float
     weights: tuple[float, ...]
+    e_value: float = E_VALUES[0]
 
 
 def labelled_sample(labels: DataFrame, label: str, held_out: Column, limit: int) -> DataFrame:
@@ -83,29 +94,44 @@ class _Scores(dict):
         return score
 
 
+def _maximal(first: list[int], low: list[float], high: list[float]) -> list[tuple[int, int, float]]:
+    """Maximal segments from the tokens above zero: place, sum before, sum up to and with each.
+
+    Each candidate points to the last one before it that starts lower, so a later search goes from
+    pointer to pointer; what a pointer has passed once is never looked at again, and all searches
+    together take a number of steps in proportion to the tokens.
+    """
+    found: list[tuple[int, int, float, float, int]] = []  # first, last, sum before, sum up to the end, pointer
+    for p, lo, hi in zip(first, low, high, strict=True):
+        start, before, j = p, lo, len(found) - 1
+        while True:
+            while j >= 0 and found[j][2] >= before:
+                j = found[j][4]
+            if j < 0 or found[j][3] >= hi:
+                break
+            start, before, back = found[j][0], found[j][2], found[j][4]
+            del found[j:]
+            j = back
+        found.append((start, p, before, hi, j))
+    return [(a, b, e - s) for a, b, s, e, _ in found]
+
+
 def segments(positions: list[int], gains: list[float], drift: float) -> list[tuple[int, int, float]]:
     """Every maximal scoring segment (first token, last token, score) in linear time.
 
-    positions and gains are the tokens that score above zero; all others add drift (below zero).
-    Each candidate keeps the sums before and up to its end, and merges with earlier ones by the
-    usual rule: back to the last one that starts lower, if that one ends lower.
+    positions and gains are the tokens with a score of their own, of either sign; all others add
+    drift (below zero).
     """
-    found: list[list[float]] = []  # [first, last, sum before, sum up to the end]
+    first, low, high = [], [], []
     total, at = 0.0, 0
     for p, g in zip(positions, gains, strict=True):
-        total += drift * (p - at)
-        now = [p, p, total, total + g]
-        total, at = now[3], p + 1
-        while True:
-            j = len(found) - 1
-            while j >= 0 and found[j][2] >= now[2]:
-                j -= 1
-            if j < 0 or found[j][3] >= now[3]:
-                break
-            now = [found[j][0], now[1], found[j][2], now[3]]
-            del found[j:]
-        found.append(now)
-    return [(int(a), int(b), e - s) for a, b, s, e in found]
+        before = total + drift * (p - at)
+        total, at = before + g, p + 1
+        if g > 0:
+            first.append(p)
+            low.append(before)
+            high.append(total)
+    return _maximal(first, low, high)
 
 
 class Scanner:
@@ -114,11 +140,25 @@ class Scanner:
     def __init__(self, model: Model):
         self.model, self.scores = model, _Scores(model.scores)
 
+    def each(self, text: str) -> np.ndarray:
+        """The score of each token; a word's k-th occurrence brings a k-th of its odds."""
+        own = tokens(text)
+        odds = np.fromiter(map(self.scores.__getitem__, own), np.float64, len(own))
+        times: dict[str, int] = {}
+        for i in np.flatnonzero(odds).tolist():
+            times[own[i]] = k = times.get(own[i], 0) + 1
+            if k > 1:
+                odds[i] /= k
+        return odds + DRIFT
+
     def segments(self, text: str) -> tuple[int, list[tuple[int, int, float]]]:
         """Number of tokens, and every maximal segment."""
-        each = list(map(self.scores.__getitem__, tokens(text)))
-        hits = [i for i, s in enumerate(each) if s] if any(each) else []
-        return len(each), segments(hits, [each[i] for i in hits], self.model.drift)
+        each = self.each(text)
+        at = np.flatnonzero(each > 0)
+        if not len(at):
+            return len(each), []
+        high = np.cumsum(each)[at]
+        return len(each), _maximal(at.tolist(), (high - each[at]).tolist(), high.tolist())
 
     def expected(self, n: int, score: float) -> float:
         """How many such segments clean text of n tokens would hold."""
@@ -127,95 +167,138 @@ class Scanner:
     def passages(self, text: str) -> list[tuple[int, int, float, float]]:
         """(first token, last token, score, expected number in clean text) of each significant passage."""
         n, found = self.segments(text)
-        return [(a, b, s, e) for a, b, s in found if (e := self.expected(n, s)) <= E_VALUE]
+        return [(a, b, s, e) for a, b, s in found if (e := self.expected(n, s)) <= self.model.e_value]
 
-    def evidence(self, text: str) -> tuple[float, float, int]:
-        """log(1 - log p) of the best segment, the same of all significant ones together, their number."""
+    def evidence_at(self, text: str, levels: tuple[float, ...]) -> tuple[float, list[float], list[int]]:
+        """log(1 - log p) of the best segment; at each level the same of all significant ones together, and their number."""
         n, found = self.segments(text)
-        best = total = 0.0
-        count = 0
+        best, total, count = 0.0, [0.0] * len(levels), [0] * len(levels)
         for _, _, s in found:
             e = self.expected(n, s)
             bits = -math.log(max(1e-300, -math.expm1(-e)))
             best = max(best, bits)
-            if e <= E_VALUE:
-                total, count = total + bits, count + 1
-        return math.log1p(best), math.log1p(total), count
+            for i, level in enumerate(levels):
+                if e <= level:
+                    total[i] += bits
+                    count[i] += 1
+        return math.log1p(best), [math.log1p(t) for t in total], count
 
+    def evidence(self, text: str) -> tuple[float, float, int]:
+        best, total, count = self.evidence_at(text, (self.model.e_value,))
+        return best, total[0], count[0]
 
-def karlin(scores: np.ndarray, shares: np.ndarray) -> float:
-    """lambda > 0 with sum(share * exp(lambda * score)) = 1; needs a negative mean and a positive score."""
-    if not (scores > 0).any() or (scores * shares).sum() >= 0:
-        return math.log(2)
-    lo, hi = 1e-6, 1.0
-    f = lambda lam: float((shares * np.exp(np.minimum(500, lam * scores))).sum()) - 1
-    while f(hi) < 0:
-        hi *= 2
-    for _ in range(80):
-        mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return hi
+
+def extreme_value_law(n: np.ndarray, best: np.ndarray) -> tuple[float, float]:
+    """lambda and K of P(best < x) = exp(-K n exp(-lambda x)), likeliest for clean texts of n tokens with these best scores.
+
+    For a given lambda, n exp(-lambda x) is exponential with rate K; a text without any segment only
+    says that it is at least n. So K is their number over their sum, and lambda is found on a grid.
+    """
+    hit = best > 0
+    if not hit.any():
+        return math.log(2), 1.0 / max(1.0, float(n.sum()))
+    laws = []
+    for lam in np.exp(np.linspace(math.log(0.05), math.log(8.0), 400)):
+        k = hit.sum() / (n * np.exp(-lam * best)).sum()
+        laws.append((hit.sum() * (math.log(k) + math.log(lam)) - lam * best[hit].sum(), lam, k))
+    _, lam, k = max(laws)
+    return float(lam), float(k)
+
+
+def weighted_odds(n_clean: Column, n_toxic: Column, clean: str = "clean", toxic: str = "toxic") -> Column:
+    """Log-odds of a word's counts with the Dirichlet prior, weighted by how sure they are, in steps of STEP."""
+    both = F.col(clean) + F.col(toxic)
+    prior = F.greatest(F.lit(LEAST_PRIOR), F.lit(PRIOR_WORDS) * both / (n_clean + n_toxic))
+    a, b = F.col(toxic) + prior, F.col(clean) + prior
+    odds = F.log(a / (n_toxic + PRIOR_WORDS - a)) - F.log(b / (n_clean + PRIOR_WORDS - b))
+    z2 = odds * odds / (1 / a + 1 / b)
+    weight = 1 / (1 + F.exp(F.least(F.lit(700.0), (SURE**2 - z2) / 2)))
+    return F.round(odds * weight / STEP) * STEP
 
 
 def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """docs holds the texts, sample (id, y) the bounded labelled rows."""
     common.bound_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
-    known = common.materialise(plain.join(F.broadcast(sample), "id"), "labelled")  # bounded by MAX_LABELLED rows
+    # One text for each sampled id, so that no more than the sample's rows are ever gathered.
+    known = plain.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text"))
+    known = common.materialise(known.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "labelled")
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             sums: dict[str, list[int]] = {}
-            for text, y in zip(b["text"], b["y"], strict=True):
+            for text, y, fold in zip(b["text"], b["y"], b["fold"], strict=True):
                 for w in {f for w in set(tokens(text)) for f in forms(w)}:
-                    sums.setdefault(w, [0, 0])[y] += 1
-            yield pd.DataFrame({"word": list(sums), "clean": [v[0] for v in sums.values()], "toxic": [v[1] for v in sums.values()]})
+                    sums.setdefault(w, [0] * (2 * FOLDS))[2 * fold + y] += 1
+            yield pd.DataFrame([[w, *v] for w, v in sums.items()], columns=["word", *names])
 
-    words = known.mapInPandas(count, "word string, clean long, toxic long").groupBy("word").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    names = [f"{side}{k}" for k in range(FOLDS) for side in ("clean", "toxic")]
+    words = known.mapInPandas(count, "word string, " + ", ".join(f"{c} long" for c in names)).groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
     words = common.materialise(words, "words")
-    n = words.agg(F.coalesce(F.sum("clean"), F.lit(0)).alias("clean"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).first()
-    drift = math.log(1 - DENSITY)
-    if not n["clean"] or not n["toxic"]:
-        return Model({}, drift, math.log(2), 0.1, (0.0, 0.0, -8.0 if n["clean"] or not n["toxic"] else 8.0))
-    prior = F.greatest(F.lit(LEAST_PRIOR), F.lit(PRIOR_WORDS) * (F.col("clean") + F.col("toxic")) / F.lit(float(n["clean"] + n["toxic"])))
-    a, b = F.col("toxic") + prior, F.col("clean") + prior
-    odds = F.log(a / (F.lit(n["toxic"] + PRIOR_WORDS) - a)) - F.log(b / (F.lit(n["clean"] + PRIOR_WORDS) - b))
-    z = odds / F.sqrt(1 / a + 1 / b)
-    kept = words.select("word", "clean", odds.alias("odds"), z.alias("z")).filter((F.col("z") >= MIN_Z) & (F.col("odds") >= MIN_ODDS))
-    kept = kept.orderBy(F.desc("z"), "word").limit(MAX_WORDS).collect()
-    scores = {r["word"]: float(r["odds"]) for r in kept}
-    # Clean text's own score distribution gives lambda.
-    share = np.array([max(0.5, r["clean"]) / n["clean"] for r in kept])
-    lam = karlin(np.array([*scores.values(), drift]), np.append(share, max(1e-9, 1 - share.sum())))
-    model = Model(scores, drift, lam, 0.1, ())
+    sums = words.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in names]).first()
+    # Column sets: all folds, then all but one.
+    chosen = [range(FOLDS), *[[k for k in range(FOLDS) if k != f] for f in range(FOLDS)]]
+    totals = [{side: sum(sums[f"{side}{k}"] for k in ks) for side in ("clean", "toxic")} for ks in chosen]
+    if not totals[0]["clean"] or not totals[0]["toxic"]:
+        return Model({}, math.log(2), 0.1, (0.0, 0.0, -8.0 if totals[0]["clean"] or not totals[0]["toxic"] else 8.0))
+    odds = []
+    for i, (ks, n) in enumerate(zip(chosen, totals, strict=True)):
+        own = words.select("word", *[sum((F.col(f"{side}{k}") for k in ks), F.lit(0)).alias(side) for side in ("clean", "toxic")])
+        score = weighted_odds(F.lit(n["clean"]), F.lit(n["toxic"])) if n["clean"] and n["toxic"] else F.lit(0.0)
+        odds.append(own.select("word", F.lit(i).alias("model"), score.alias("odds")).filter("odds != 0"))
+    scores: list[dict[str, float]] = [{} for _ in chosen]
+    for part in odds:  # words that a bounded sample has something sure to say about
+        for r in part.collect():
+            scores[r["model"]][r["word"]] = float(r["odds"])
+    raw = [Model(s, 1.0, 1.0, ()) for s in scores]
+
+    def best(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scanners = [Scanner(m) for m in raw[1:]]
+        for b in batches:
+            rows = []
+            for text, y, fold in zip(b["text"], b["y"], b["fold"], strict=True):
+                n, found = scanners[fold].segments(text)
+                rows.append((y, n, max((s for *_, s in found), default=0.0)))
+            yield pd.DataFrame(rows, columns=["y", "n", "best"])
+
+    found = known.mapInPandas(best, "y int, n long, best double").toPandas()
+    clean = found[(found["y"] == 0) & (found["n"] > 0)]
+    lam, k = extreme_value_law(clean["n"].to_numpy().astype(float), clean["best"].to_numpy())
 
     def measure(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scanner = Scanner(model)
+        scanners = [Scanner(Model(m.scores, lam, k, ())) for m in raw[1:]]
         for b in batches:
-            found = [scanner.evidence(t) for t in b["text"]]
-            yield pd.DataFrame({"y": b["y"], "best": [x[0] for x in found], "total": [x[1] for x in found]})
+            x = [scanners[f].evidence_at(t, E_VALUES) for t, f in zip(b["text"], b["fold"], strict=True)]
+            yield pd.DataFrame([[y, v[0], *v[1]] for y, v in zip(b["y"], x, strict=True)], columns=["y", "best", *levels])
 
-    seen = known.mapInPandas(measure, "y int, best double, total double").toPandas()  # MAX_LABELLED rows at most
-    w = fit_logistic(seen[["best", "total"]].to_numpy(), seen["y"].to_numpy().astype(float))
-    return Model(scores, drift, lam, 0.1, tuple(w.tolist()))
+    levels = [f"total{i}" for i in range(len(E_VALUES))]
+    seen = known.mapInPandas(measure, "y int, best double, " + ", ".join(f"{c} double" for c in levels)).toPandas()
+    y, found = seen["y"].to_numpy().astype(float), []
+    for e, c in zip(E_VALUES, levels, strict=True):
+        x = seen[["best", c]].to_numpy()
+        w = fit_logistic(x, y)
+        p = np.clip(apply_logistic(w, x), 1e-9, 1 - 1e-9)
+        found.append((float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), e, tuple(w.tolist())))
+    _, e_value, weights = max(found)
+    return Model(scores[0], lam, k, weights, e_value)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score, n_passages: for every row of docs."""
+    """id, score, n_passages: for every row of docs, repeated ones included. Null text: empty; null ids stay null."""
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scanner, w = Scanner(model), np.array(model.weights)
         for b in batches:
             x = np.array([scanner.evidence(t) for t in b["text"]]).reshape(-1, 3)
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "score": apply_logistic(w, x[:, :2]), "n_passages": x[:, 2].astype(int)})
+            yield pd.DataFrame({"id": common.ids(b), "score": apply_logistic(w, x[:, :2]), "n_passages": x[:, 2].astype(int)})
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
+    plain = docs.select(*common.id_columns(id_col), common.text_of(text_col).alias("text"))
     return plain.mapInPandas(run, "id long, score double, n_passages int")
 
 
 def filter_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score is below the threshold, columns as they are."""
+    """The rows of docs whose score is below the threshold, columns as they are; equal rows stay or go together."""
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
