@@ -1,12 +1,16 @@
 """Document quality from a linear-chain conditional random field over lines.
 
 Every line is labelled good or bad; the features of a line are its own character and word shares
-and those of the lines before and after it. Documents carry the labels, so in training all lines
-of a document have its label. Forward-backward gives each line's marginal probability of being
-good; the mean weighted by line length is calibrated to the document's probability.
+and those of the lines before and after it. Forward-backward gives each line's marginal probability
+of being good; the mean weighted by line length is calibrated to the document's probability.
+
+Only documents carry labels, so in training all lines of a document have its label: the learned
+moves say little more than "stay", and a line's own label is as good as its document's was.
 
 The model is fitted on the driver from a bounded sample: at most MAX_LABELLED documents (by a hash
-of the id), of each at most MAX_LINES lines from its middle; scoring takes all lines of every text. Null and empty texts are one empty line.
+of the id; an id that repeats counts once, with the least of its texts), all lines of each. Scoring
+takes all lines of every text. Null and empty texts are one empty line. Rows that repeat, also
+whole, are scored one by one and alike.
 """
 
 from __future__ import annotations
@@ -25,7 +29,6 @@ from . import common
 from .calibrate import apply_logistic, fit_logistic
 
 MAX_LABELLED = 4_000
-MAX_LINES = 24
 #: Training steps, their rate, and the weight of the squared parameters.
 STEPS, RATE, RIDGE = 150, 0.1, 1e-4
 
@@ -103,11 +106,6 @@ class Model:
     calibration: np.ndarray
 
 
-def _lse(a: np.ndarray, axis: int) -> np.ndarray:
-    m = a.max(axis=axis, keepdims=True)
-    return np.squeeze(m, axis) + np.log(np.exp(a - m).sum(axis=axis))
-
-
 def marginals(scores: np.ndarray, moves: np.ndarray) -> np.ndarray:
     """P(good) of each line of one document, scores [line, 2]."""
     n = len(scores)
@@ -140,40 +138,62 @@ def document_signal(text: str, model: Model) -> float:
     return float(np.log(mean / (1 - mean)))
 
 
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of 2 x 2 matrices, [4, n] row by row, scaled so that none grows or vanishes."""
+    out = np.stack([a[0] * b[0] + a[1] * b[2], a[0] * b[1] + a[1] * b[3], a[2] * b[0] + a[3] * b[2], a[2] * b[1] + a[3] * b[3]])
+    return out / out.sum(axis=0)
+
+
+def chains(scores: np.ndarray, moves: np.ndarray, place: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """P of each label of each line, and of each pair of labels with the line before it, for many documents at once.
+
+    Lines lie one after another, place counts from each document's start and left to its end. The
+    messages are running products of 2 x 2 matrices, found by doubling: a step for each bit of the
+    longest document's number of lines, over the lines that reach so far only.
+    """
+    e = np.exp(scores - scores.max(axis=1, keepdims=True)).T
+    m = np.exp(moves - moves.max())
+    step = np.stack([m[0, 0] * e[0], m[0, 1] * e[1], m[1, 0] * e[0], m[1, 1] * e[1]])
+    first = place == 0
+    front = np.where(first, np.stack([e[0], e[1], e[0], e[1]]), step)
+    front /= front.sum(axis=0)
+    back = np.zeros_like(front)
+    back[0] = back[3] = 0.5
+    inner = np.flatnonzero(left > 0)
+    back[:, inner] = step[:, inner + 1] / step[:, inner + 1].sum(axis=0)
+    d = 1
+    while (far := np.flatnonzero(place >= d)).size:
+        front[:, far] = _times(front[:, far - d], front[:, far])
+        d *= 2
+    d = 1
+    while (far := np.flatnonzero(left >= d)).size:
+        back[:, far] = _times(back[:, far], back[:, far + d])
+        d *= 2
+    f, b = front[:2], np.stack([back[0] + back[1], back[2] + back[3]])
+    own = f * b
+    later = np.flatnonzero(~first)
+    pair = np.stack([f[x, later - 1] * step[2 * x + y, later] * b[y, later] for x in (0, 1) for y in (0, 1)])
+    return (own / own.sum(axis=0)).T, (pair / pair.sum(axis=0)).T
+
+
 def train(docs: list[np.ndarray], labels: np.ndarray, steps: int = STEPS) -> tuple[np.ndarray, np.ndarray]:
-    """Maximum conditional likelihood (Adam, full batch), documents padded to equal length."""
-    n, longest = len(docs), max(map(len, docs))
-    x = np.zeros((longest, n, FEATURES), dtype=np.float32)
-    on = np.zeros((longest, n), dtype=bool)
-    for i, d in enumerate(docs):
-        x[: len(d), i], on[: len(d), i] = d, True
-    # Both labels weigh the same, whatever their shares.
-    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum()))
-    weight = share / on.sum(axis=0)
+    """Maximum conditional likelihood (Adam, full batch) over all lines of the documents."""
+    lines = np.array([len(d) for d in docs])
+    x, of = np.concatenate(docs).astype(np.float32), np.repeat(np.arange(len(docs)), lines)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(lines) - lines, lines)
+    left = np.repeat(lines, lines) - 1 - place
+    # Both labels weigh the same, whatever their shares, and so do documents of a label.
+    share = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())) / lines
+    weight, gold = share[of], labels[of]
+    target = np.eye(2)[gold]
+    later = place > 0
+    pair_target, pair_weight = np.eye(4)[3 * gold[later]], weight[later]
     w, t = np.zeros((FEATURES, 2)), np.zeros((2, 2))
     state = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(t), np.zeros_like(t)]
-    gold = np.eye(2)[labels]
-    used = x[on]
     for step in range(1, steps + 1):
-        s = np.zeros((longest, n, 2))
-        s[on] = used @ w
-        f, b = np.zeros_like(s), np.zeros_like(s)
-        f[0] = s[0]
-        for i in range(1, longest):
-            nxt = _lse(f[i - 1][:, :, None] + t[None], 1) + s[i]
-            f[i] = np.where(on[i][:, None], nxt, f[i - 1])
-        for i in range(longest - 2, -1, -1):
-            nxt = _lse(t[None] + (s[i + 1] + b[i + 1])[:, None, :], 2)
-            b[i] = np.where(on[i + 1][:, None], nxt, 0.0)
-        z = _lse(f[-1], 1)
-        p = np.exp(f + b - z[None, :, None]) * on[:, :, None]
-        miss = (gold[None] * on[:, :, None] - p) * weight[None, :, None]
-        gw = used.T @ miss[on] - RIDGE * w
-        gt = -RIDGE * t
-        for i in range(1, longest):
-            pair = np.exp(f[i - 1][:, :, None] + t[None] + (s[i] + b[i])[:, None, :] - z[:, None, None])
-            both = gold[:, :, None] * gold[:, None, :] - pair
-            gt += (both * (weight * on[i])[:, None, None]).sum(axis=0)
+        p, pair = chains(x @ w.astype(np.float32), t, place, left)
+        gw = x.T @ ((target - p) * weight[:, None]).astype(np.float32) - RIDGE * w
+        gt = ((pair_target - pair) * pair_weight[:, None]).sum(axis=0).reshape(2, 2) - RIDGE * t
         for k, (v, g) in enumerate(((w, gw), (t, gt))):
             m1, m2 = state[2 * k], state[2 * k + 1]
             m1 += 0.1 * (g - m1)
@@ -186,16 +206,12 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
     """docs holds the texts, sample (id, y) the bounded labelled rows."""
     common.bound_batches(docs.sparkSession)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
-    known = common.materialise(plain.join(F.broadcast(sample), "id"), "labelled")  # bounded by MAX_LABELLED rows
+    # One text for each sampled id, so that no more than the sample's rows are ever gathered.
+    known = common.materialise(plain.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("y").alias("y"), F.min("text").alias("text")), "labelled")
 
     def features(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for text in b["text"]:
-                x, _ = line_features(text)
-                first = max(0, len(x) // 2 - MAX_LINES // 2) if len(x) > MAX_LINES else 0  # a window in the middle, in training only
-                rows.append(x[first : first + MAX_LINES].astype("<f4").tobytes())
-            yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": rows})
+            yield pd.DataFrame({"id": b["id"], "y": b["y"], "x": [line_features(t)[0].astype("<f4").tobytes() for t in b["text"]]})
 
     seen = known.mapInPandas(features, "id long, y int, x binary").toPandas().sort_values("id", kind="stable")
     y = seen["y"].to_numpy().astype(np.int64)
@@ -213,21 +229,38 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
     return Model(w, t, fit_logistic(found[["signal"]].to_numpy(), found["y"].to_numpy().astype(float), ridge=0.5))
 
 
+def label_lines(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """id, line (from 0), start (its first code point), length, p_good, good: for every line of every row."""
+    common.bound_batches(docs.sparkSession)
+
+    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for i, text in enumerate(b["text"]):
+                x, _ = line_features(text)
+                p = marginals(x @ model.weights, model.moves)
+                size = np.array([len(line) for line in text.split("\n")])
+                own = common.ids(b.iloc[[i] * len(p)])
+                yield pd.DataFrame({"id": own, "line": range(len(p)), "start": np.cumsum(size + 1) - size - 1, "length": size, "p_good": p, "good": p >= 0.5})
+
+    plain = docs.select(*common.id_columns(id_col), common.text_of(text_col).alias("text"))
+    return plain.mapInPandas(run, "id long, line int, start long, length long, p_good double, good boolean")
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, score: for every row of docs."""
+    """id, score: for every row of docs, repeated ones included. Null text: empty; null ids stay null."""
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             x = np.array([[document_signal(t, model)] for t in b["text"]]).reshape(-1, 1)
-            yield pd.DataFrame({"id": b["id"].astype("Int64"), "score": apply_logistic(model.calibration, x)})
+            yield pd.DataFrame({"id": common.ids(b), "score": apply_logistic(model.calibration, x)})
 
-    plain = docs.select(F.col(id_col).cast("long").alias("id"), common.text_of(text_col).alias("text"))
+    plain = docs.select(*common.id_columns(id_col), common.text_of(text_col).alias("text"))
     return plain.mapInPandas(run, "id long, score double")
 
 
 def filter_documents(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs whose score reaches the threshold, columns as they are."""
+    """The rows of docs whose score reaches the threshold, columns as they are; equal rows stay or go together."""
     common.bound_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -483,3 +483,85 @@ def test_blocks_in_step_equal_blocks_alone():
     together = rans.encode_blocks(parts, table)
     assert together == [rans.encode_block(p, table) for p in parts]
     assert all((a == b).all() for a, b in zip(rans.decode_blocks(together, table), parts, strict=True))
+
+
+def test_chains_equal_marginals_of_each_document():
+    rng = np.random.default_rng(12)
+    lines = np.array([1, 2, 3, 17, 64, 1, 200])
+    s, t = rng.normal(size=(lines.sum(), 2)) * 3, rng.normal(size=(2, 2))
+    place = np.concatenate([np.arange(n) for n in lines])
+    left = np.repeat(lines, lines) - 1 - place
+    p, pair = quality.chains(s, t, place, left)
+    at, seen = 0, 0
+    for n in lines.tolist():
+        own = p[at : at + n]
+        assert np.allclose(own[:, 1], quality.marginals(s[at : at + n], t))
+        both = pair[seen : seen + n - 1].reshape(-1, 2, 2)
+        assert np.allclose(both.sum(axis=1), own[1:]) and np.allclose(both.sum(axis=2), own[:-1])
+        at, seen = at + n, seen + n - 1
+
+
+def test_scores_have_exact_ids_and_lines(spark, docs, large_ids):
+    tox, good = toxicity.Model({}, 1.0, 1.0, (0.0, 0.0, 0.0)), quality.Model(np.zeros((quality.FEATURES, 2)), np.zeros((2, 2)), np.array([1.0, 0.0]))
+    assert same_ids([r.id for r in toxicity.score(large_ids, tox).collect()])
+    assert same_ids([r.id for r in quality.score(large_ids, good).collect()])
+    found = pieces.encode_documents(large_ids, public_tokenizers.path("piece_bpe_32k.model"))
+    assert same_ids([r.id for r in found.collect()])
+    lines = quality.label_lines(docs, good).toPandas()
+    own = docs.toPandas()
+    assert len(lines) == sum(len((t or "").split("\n")) for t in own["text"])
+    for i, t in texts():
+        for r in lines[lines["id"] == i].itertuples():
+            assert (t[r.start : r.start + r.length] == t.split("\n")[r.line]) or i == 0
+
+
+def test_fits_take_one_text_of_a_repeated_id(spark):
+    rows = [(i % 4, f"{'bad stupid words' if i % 2 else 'fine calm words'} {i}") for i in range(200)]
+    docs_ = spark.createDataFrame(rows, "doc_id long, text string")
+    sample = spark.createDataFrame([(0, 0), (1, 1), (2, 0), (3, 1)], "id long, y int")
+    assert toxicity.score(docs_, toxicity.fit(docs_, sample)).count() == 200
+    assert quality.score(docs_, quality.fit(docs_, sample)).count() == 200
+
+
+def test_all_maximal_segments():
+    rng = np.random.default_rng(13)
+
+    def maximal(s, at=0):
+        """By the definition: the best segment (shortest), then the same left and right of it."""
+        best = max(((s[a : b + 1].sum(), a - b, a, b) for a in range(len(s)) for b in range(a, len(s))), default=(0, 0, 0, 0))
+        if best[0] <= 0:
+            return []
+        _, _, a, b = best
+        return maximal(s[:a], at) + [(at + a, at + b)] + maximal(s[b + 1 :], at + b + 1)
+
+    for _ in range(60):
+        at = sorted(rng.choice(40, 14, replace=False).tolist())
+        gains = rng.normal(0.4, 1.5, 14).tolist()
+        score = np.full(40, -0.3)
+        score[at] = gains
+        assert [(a, b) for a, b, _ in toxicity.segments(at, gains, -0.3)] == maximal(score)
+
+
+def test_segments_take_linear_steps():
+    class Counted(float):
+        steps = 0
+
+        def __ge__(self, other):
+            Counted.steps += 1
+            return float(self) >= other
+
+    def steps(n):
+        Counted.steps = 0
+        low = [Counted(-float(i)) for i in range(n)]  # sums fall: no candidate ever merges
+        high = [Counted(-float(i) + 0.5) for i in range(n)]
+        assert len(toxicity._maximal(list(range(n)), low, high)) == n
+        return Counted.steps
+
+    assert steps(4000) <= 2.2 * steps(2000) <= 2.2 * 3 * 2000
+
+
+def test_words_of_known_passages_are_found():
+    model = toxicity.Model({"vile": 4.0, "mean": 3.0, "kind": -2.0}, 1.0, 0.05, (0.0, 1.0, 0.0), 0.01)
+    text = " ".join(["calm"] * 200 + ["vile", "mean", "words", "vile"] + ["kind"] * 3 + ["calm"] * 50)
+    (a, b, _, e), = toxicity.Scanner(model).passages(text)
+    assert (a, b) == (200, 203) and e <= 0.01
