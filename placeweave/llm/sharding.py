@@ -1,21 +1,28 @@
 """Shards by best-fit-decreasing bin packing of indivisible groups.
 
-Groups of equal texts are never divided: a text's hash bucket is the unit that is placed, so equal
-texts share a shard whatever their number. Buckets are few by construction (BUCKETS), their sizes
-are summed before anything moves, and best fit runs on those sums alone: largest first, each into
-the bin with the tightest remaining capacity that holds it, found in a balanced tree.
+Groups are equal texts; a group is never divided. Groups above a small size are placed one by one,
+largest first, each into the bin with the tightest remaining capacity that holds it, found in a
+balanced tree. Smaller ones are first put together, whole groups only, into bundles of about that
+size, and a bundle is placed like a group. So the driver places UNITS groups and UNITS bundles at
+most, or some for each shard where a capacity asks for more, whatever the number of texts, and no
+bin ever holds more than its capacity (but for a single group that is larger).
 """
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-#: Units that best fit places; the driver holds one size and one shard for each.
-BUCKETS = 1 << 16
-#: Rows that one ordering task takes of a bucket, at least, before it is salted.
+#: Groups that are placed one by one, at most, and bundles of smaller ones, about.
+UNITS = 1 << 15
+#: A bundle is at most two of so many parts of a shard's capacity.
+CAPACITY_PARTS = 32
+#: Lists of small groups that are cut into bundles side by side.
+BUNDLE_LISTS = 1024
+#: Rows that one ordering task takes of a unit, at least, before it is salted.
 SLOT_ROWS = 2000
 ROW_BYTES = 16
 
@@ -116,7 +123,7 @@ def best_fit_decreasing(sizes: dict[int, int], capacity: int, at_most: int | Non
 
 
 def near_equal(sizes: dict[int, int], shards: int) -> dict[int, int]:
-    """Best fit decreasing at about the least capacity that needs no more than `shards` bins."""
+    """Best fit decreasing at about the least capacity that needs no more than `shards` bins: tried by doubling, then halved twice."""
     left, n, rest = sorted(sizes.values(), reverse=True), shards, sum(sizes.values())
     for size in left:  # groups beyond an equal share fill shards of their own
         if n > 1 and size > rest / n:
@@ -124,13 +131,17 @@ def near_equal(sizes: dict[int, int], shards: int) -> dict[int, int]:
         else:
             break
     share = -(-rest // n)
-    for step in range(200):
-        slack = 0 if step == 0 else max(step, int(share * 0.0002 * step))
-        if (found := best_fit_decreasing(sizes, share + slack, shards)) is not None:
-            return found
-    capacity = share
-    while (found := best_fit_decreasing(sizes, capacity := capacity + capacity // 20 + 1, shards)) is None:
-        pass
+    low, slack = -1, 0
+    while (found := best_fit_decreasing(sizes, share + slack, shards)) is None:
+        low, slack = slack, max(1, share // 10_000, 2 * slack)
+    for _ in range(2):
+        mid = (low + slack) // 2
+        if low < mid < slack:
+            better = best_fit_decreasing(sizes, share + mid, shards)
+            if better is None:
+                low = mid
+            else:
+                slack, found = mid, better
     return found
 
 
@@ -139,8 +150,24 @@ def fixed_capacity(sizes: dict[int, int], capacity: int) -> dict[int, int]:
     return best_fit_decreasing(sizes, capacity)
 
 
-def _frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
+def _frame(spark: SparkSession, columns: dict[str, list[int]], schema: str) -> DataFrame:
+    kinds = {"int": pa.int32(), "long": pa.int64()}
+    typed = [part.split() for part in schema.split(", ")]
+    table = pa.table({n: pa.array(columns[n], kinds[k]) for n, k in typed})
+    return spark.createDataFrame(table)
+
+
+def with_units(groups: DataFrame, most: int) -> DataFrame:
+    """groups (h, text_crc32, size, n) with the unit (list, seq) that each is placed in.
+
+    A group of over `most` bytes is a unit of its own, (-1, its hash). The others are taken list by
+    list, larger ones first, and a new unit begins after every `most` bytes, so none has twice that.
+    """
+    each = groups.withColumn("bytes", F.col("size") * F.col("n"))
+    large = each.filter(F.col("bytes") > most).select("*", F.lit(-1).alias("list"), F.col("h").alias("seq"))
+    small = each.filter(F.col("bytes") <= most).withColumn("list", F.pmod("h", F.lit(BUNDLE_LISTS)).cast("int"))
+    before = F.sum("bytes").over(Window.partitionBy("list").orderBy(F.desc("bytes"), "h", "text_crc32").rowsBetween(Window.unboundedPreceding, -1))
+    return large.unionByName(small.withColumn("seq", F.floor(F.coalesce(before, F.lit(0)) / most).cast("long")))
 
 
 def shard_documents(docs: DataFrame, shards: int = 40, capacity: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -148,35 +175,41 @@ def shard_documents(docs: DataFrame, shards: int = 40, capacity: int | None = No
 
     With capacity, as few shards of at most that many bytes as best fit finds (a larger group alone).
     Size: UTF-8 bytes plus 16, null text: no bytes. Null and empty texts are one group. Slots are
-    gapless from 0 in each shard, by bucket, then id. Repeated rows each have a slot.
+    gapless from 0 in each shard, by unit, then id (null ids first). Repeated rows each have a slot.
+    An empty table gives no rows.
     """
     spark = docs.sparkSession
     text = common.text_of(text_col)
-    base = docs.select(
-        F.col(id_col).alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.pmod(F.xxhash64(text), F.lit(BUCKETS)).cast("int").alias("bucket"),
-    )
+    base = docs.select(F.col(id_col).alias("id"), (F.octet_length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("h"))
     base = common.materialise(base, "sizes")  # a few bytes a row, instead of the texts again
-    sums = base.groupBy("bucket").agg(F.sum("size").alias("bytes"), F.count("*").alias("n")).collect()
-    sizes, counts = {r["bucket"]: r["bytes"] for r in sums}, {r["bucket"]: r["n"] for r in sums}
+    groups = common.materialise(base.groupBy("h", "text_crc32", "size").agg(F.count("*").alias("n")), "groups")
+    total = groups.agg(F.coalesce(F.sum(F.col("size") * F.col("n")), F.lit(0))).first()[0]
+    most = min(total // UNITS, (total // shards if capacity is None else capacity) // CAPACITY_PARTS)
+    groups = common.materialise(with_units(groups, max(1, most)), "units")
+    units = groups.groupBy("list", "seq").agg(F.sum("bytes").alias("bytes"), F.sum("n").alias("n")).orderBy("list", "seq").toPandas()
+    sizes = dict(enumerate(units["bytes"].tolist()))
     placed = near_equal(sizes, shards) if capacity is None else fixed_capacity(sizes, capacity)
 
-    # A bucket with many rows is ordered in salted parts; their counts make the slots gapless.
-    usual = max(SLOT_ROWS, -(-sum(counts.values()) // BUCKETS))
-    parts = {b: -(-n // usual) for b, n in counts.items()}
-    salted = _frame(spark, [(b, parts[b], placed[b]) for b in sorted(parts)], "bucket int, parts int, shard int")
-    # At most BUCKETS rows of 12 bytes: always small enough to broadcast.
-    rows = base.join(F.broadcast(salted), "bucket").withColumn("part", F.pmod(F.xxhash64("id", "size"), F.col("parts")).cast("int")).drop("parts")
-    hot = [b for b in parts if parts[b] > 1]
-    part_counts = {(b, 0): n for b, n in counts.items() if parts[b] == 1}
-    if hot:  # at most twice BUCKETS parts
-        chosen = _frame(spark, [(b,) for b in hot], "bucket int")
-        part_counts |= {(r["bucket"], r["part"]): r["count"] for r in rows.join(F.broadcast(chosen), "bucket").groupBy("bucket", "part").count().collect()}
+    # A unit with many rows is ordered in salted parts; their counts make the slots gapless.
+    counts = units["n"].tolist()
+    usual = max(SLOT_ROWS, -(-sum(counts) // UNITS))
+    parts = [-(-n // usual) for n in counts]
+    of = [placed[u] for u in range(len(units))]
+    table = {"list": units["list"].tolist(), "seq": units["seq"].tolist(), "unit": list(range(len(units))), "parts": parts, "shard": of}
+    # Units are bounded as the module says: a few numbers each, always small enough to broadcast.
+    known = F.broadcast(_frame(spark, table, "list int, seq long, unit int, parts int, shard int"))
+    rows = base.join(groups.select("h", "text_crc32", "size", "list", "seq"), ["h", "text_crc32", "size"]).join(known, ["list", "seq"])
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("id", "size"), F.col("parts")).cast("int")).select("id", "size", "text_crc32", "unit", "part", "parts", "shard")
+    rows = common.materialise(rows, "placed")
+    part_counts = {(u, 0): n for u, n in enumerate(counts) if parts[u] == 1}
+    if len(part_counts) < len(counts):  # at most twice UNITS parts
+        part_counts |= {(r["unit"], r["part"]): r["count"] for r in rows.filter("parts > 1").groupBy("unit", "part").count().collect()}
     first, offsets = {}, []
-    for b, part in sorted(part_counts):
-        offsets.append((b, part, first.get(placed[b], 0)))
-        first[placed[b]] = offsets[-1][2] + part_counts[b, part]
-    starts = _frame(spark, offsets, "bucket int, part int, first long")
-    order = F.row_number().over(Window.partitionBy("bucket", "part").orderBy("id", "size", "text_crc32"))
-    ranked = rows.withColumn("n", order - 1).join(F.broadcast(starts), ["bucket", "part"])
+    for u, part in sorted(part_counts):
+        offsets.append(first.get(of[u], 0))
+        first[of[u]] = offsets[-1] + part_counts[u, part]
+    order = sorted(part_counts)
+    starts = F.broadcast(_frame(spark, {"unit": [u for u, _ in order], "part": [p for _, p in order], "first": offsets}, "unit int, part int, first long"))
+    number = F.row_number().over(Window.partitionBy("unit", "part").orderBy("id", "size", "text_crc32"))
+    ranked = rows.withColumn("n", number - 1).join(starts, ["unit", "part"])
     return ranked.select("id", "size", "text_crc32", "shard", (F.col("first") + F.col("n")).cast("long").alias("slot"))

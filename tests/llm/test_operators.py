@@ -565,3 +565,20 @@ def test_words_of_known_passages_are_found():
     text = " ".join(["calm"] * 200 + ["vile", "mean", "words", "vile"] + ["kind"] * 3 + ["calm"] * 50)
     (a, b, _, e), = toxicity.Scanner(model).passages(text)
     assert (a, b) == (200, 203) and e <= 0.01
+
+
+@pytest.mark.parametrize("units", [sharding.UNITS, 4])
+def test_shards_keep_their_capacity(spark, monkeypatch, units):
+    monkeypatch.setattr(sharding, "UNITS", units)  # far more texts than units
+    monkeypatch.setattr(sharding, "BUNDLE_LISTS", 3)
+    rows = [(i, f"text {i % 390}") for i in range(600)] + [(-1, "y" * 900), (None, "z" * 40), (None, None), (None, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("unit", F.lit("clash"))
+    got = sharding.shard_documents(df, capacity=500).toPandas()
+    assert len(got) == len(rows) and got.groupby(["text_crc32", "size"])["shard"].nunique().max() == 1
+    for _, s in got.groupby("shard"):
+        assert s["size"].sum() <= 500 or s["text_crc32"].nunique() == 1
+        assert sorted(s["slot"]) == list(range(len(s)))
+    bound = (got["size"].sum() - 916) / 500
+    assert got["shard"].nunique() <= 1.1 * bound + 2
+    even = sharding.shard_documents(df, shards=5).toPandas().groupby("shard")["size"].sum()
+    assert len(even) == 5 and even.max() - even.min() <= 0.1 * even.max() + 60
