@@ -1,7 +1,12 @@
-"""The facade: detect, preview, convert, correct, filter, export."""
+"""The facade: take a file, detect, preview, convert, correct, filter, export."""
 
 from __future__ import annotations
 
+import os
+import time
+import uuid
+from dataclasses import asdict
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,20 +16,26 @@ from .operators import edits, ordering, status
 from .operators.convert import AddressGroup
 from .plans import mapping as mappings
 from .sources import files, sinks
-from .tasks import TaskStore
+from .tasks import TaskStore, elapsed, new_id
+
+
+class NotFound(LookupError):
+    """No such task or row, or the task is not that far."""
 
 
 class AddressEngine:
     def __init__(self, spark: SparkSession, mapping: mappings.Mapping, folder: str | None = None):
-        self.spark, self.mapping = spark, mapping
+        self.spark, self.mapping, self.folder = spark, mapping, folder
         self.tasks = TaskStore(spark, folder) if folder else None
 
     @classmethod
     def from_file(cls, spark: SparkSession, path: str, folder: str | None = None) -> AddressEngine:
         return cls(spark, mappings.build(mappings.read_rows(spark, path)), folder)
 
-    def read(self, path: str) -> DataFrame:
-        return files.read_table(self.spark, path)
+    # Tables
+
+    def read(self, path: str, **options) -> DataFrame:
+        return files.read_table(self.spark, path, **options)
 
     def sample(self, df: DataFrame) -> DataFrame:
         return ordering.head(df, ordering.sample_size(df.count()), files.ORD).drop(files.ORD)
@@ -34,6 +45,7 @@ class AddressEngine:
 
     @staticmethod
     def preview(sample: DataFrame, columns: list[str]) -> DataFrame:
+        """The first five rows of those columns that exist."""
         return sample.select(*[F.col(f"`{c}`") for c in columns if c in sample.columns]).limit(5)
 
     def convert(self, df: DataFrame, groups: list[AddressGroup], options: int | None = None) -> DataFrame:
@@ -58,5 +70,84 @@ class AddressEngine:
         writer = sinks.WRITERS.get(files.extension(path))
         if writer is None:
             raise files.UnsupportedFormat(files.extension(path))
-        name = sinks.output_name(path, mode)
+        name = sinks.output_name(path, mode, self.spark)
         return writer(status.export_rows(df, mode), name) or name
+
+    # Tasks: pending, processing, then preview_ready or failed
+
+    def upload_and_detect(self, path: str, filename: str | None = None) -> dict:
+        """Take a file as a new task: what it holds, and which of its columns are addresses."""
+        info = files.file_info(self.spark, path)
+        if info.error:
+            raise ValueError(info.error)
+        task_id, workers = new_id(), ordering.suggested_workers(info.rows, info.mb)
+        self.tasks.create(task_id, filename=filename or path, filesize=files.file_size(self.spark, path), suggested_workers=workers, n_workers=workers)
+        groups = [asdict(g) for g in detection.detect(info.sample, self.mapping.units)]
+        self.tasks.update(task_id, pending_groups=groups, step=1)
+        return {"task_id": task_id, "step": 1, "groups": groups, "all_columns": info.names, "rows": info.rows, "mb": info.mb, "suggested_workers": workers}
+
+    def group_preview(self, task_id: str, columns: list[str], id_group: int = 0) -> dict:
+        """The first five rows of the task's file, of the given columns."""
+        path = self._task(task_id)["filename"]
+        found = self.preview(files.file_info(self.spark, path).sample, columns)
+        rows = [r.asDict() for r in found.collect()]  # five rows
+        return {"columns": columns, "sample_data": rows, "total_sample_rows": len(rows), "id_group": id_group}
+
+    def start_conversion(self, task_id: str, groups: list[dict], n_workers: int = 1, options: int | None = None) -> dict:
+        """Convert the task's file; its records are stored, its counts and columns are in the task. A failure is told there too."""
+        if not groups:
+            raise ValueError("no address group is chosen")
+        task = self.tasks.update(task_id, selected_groups=groups, n_workers=n_workers, status="processing", progress=0, step=1, message="Đang chuyển đổi (đồng bộ, vui lòng chờ)...")
+        if task is None:
+            raise NotFound(task_id)
+        began = time.time()
+        try:
+            fields = AddressGroup.__dataclass_fields__
+            chosen = [AddressGroup(**{f: g.get(f) for f in fields}) for g in groups]
+            done = self.convert(self.read(task["filename"]), chosen, options)
+            done.write.parquet(where := f"{self.folder}/records/{task_id}-{uuid.uuid4().hex}")
+            found = status.counts(self.spark.read.parquet(where)).first()
+            result = {"total_rows": found["total"], "success_count": found["success"], "fail_count": found["fail"], "records": where}
+            message = f"HOÀN THÀNH trong {elapsed(began)}, Sẵn sàng xem kết quả và chỉnh sửa!"
+            self.tasks.update(task_id, status="preview_ready", progress=found["percent"], message=message, columns=self.output_columns(done), step=2, result=result)
+        except Exception as e:  # whatever went wrong belongs to the task
+            self.tasks.update(task_id, status="failed", message=f"Lỗi: {str(e).splitlines()[0] if str(e) else type(e).__name__}", progress=0)
+        return self.tasks.get(task_id)
+
+    def _task(self, task_id: str, ready: bool = False) -> dict:
+        task = self.tasks.get(task_id)
+        if task is None or ready and task["status"] != "preview_ready":
+            raise NotFound(task_id)
+        return task
+
+    def records(self, task_id: str) -> DataFrame:
+        """The task's converted records with all its edits."""
+        return self.apply_edits(task_id, self.spark.read.parquet(self._task(task_id, ready=True)["result"]["records"]))
+
+    def _recount(self, task_id: str, step: int = 2) -> dict:
+        found = status.counts(self.records(task_id), empty=100.0).first()
+        result = self._task(task_id)["result"] | {"success_count": found["success"], "fail_count": found["fail"]}
+        self.tasks.update(task_id, step=step, result=result)
+        return {"total_rows": found["total"], "success_count": found["success"], "fail_count": found["fail"], "progress": found["percent"]}
+
+    def update_row(self, task_id: str, row_id, fields: dict[str, str | None]) -> dict:
+        """Lay fields over the row with this id, which is then a success; the row as it was is kept."""
+        row = edits.row_by_id(self.records(task_id), row_id).first()
+        if row is None:
+            raise NotFound(f"{task_id}: no row with id {row_id}")
+        self.tasks.add_edit(task_id, int(row["id"]) - 1, {k: None if v is None else str(v) for k, v in fields.items()}, row.asDict())
+        updated = row.asDict() | fields | {status.STATUS: status.SUCCESS}
+        return {"id": row_id, "row_index": int(row["id"]) - 1, "updated_row": updated, "step": 2} | self._recount(task_id)
+
+    def filtered_data(self, task_id: str, mode: str = "all") -> DataFrame:
+        """success, error, or all records of the task."""
+        return status.filtered(self.records(task_id), mode)
+
+    def download(self, task_id: str, mode: str, folder: str | None = None) -> str:
+        """Write the task's success or error rows in its file's format; returns where they are."""
+        done, task = self.records(task_id), self._task(task_id)
+        columns = [F.col(f"`{c}`") for c in task["columns"]]
+        path = task["filename"] if folder is None else f"{folder}/{os.path.basename(task['filename'])}"
+        where = self.export(done.select("id", *columns).orderBy("id"), path, mode)
+        self.tasks.update(task_id, step=2)
+        return where

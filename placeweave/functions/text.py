@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,16 @@ PREFIXES = (
 SUFFIXES = ("province", "prov", "district", "dist", "county", "town", "ward", "commune", "township")
 
 
+def compose(c: Column) -> Column:
+    """Vowels and tone marks that are written as letters of their own, joined to the one letter each (canonical composition)."""
+    letters = [x for x in FORMS + FORMS.upper() + "đĐ" if len(unicodedata.normalize("NFD", x)) > 1]
+    whole = c
+    # Letters of more parts first, so that no mark is left over.
+    for x in sorted(letters, key=lambda x: -len(unicodedata.normalize("NFD", x))):
+        whole = F.replace(whole, F.lit(unicodedata.normalize("NFD", x)), F.lit(x))
+    return F.when(c.rlike(r"\p{M}"), whole).otherwise(c)
+
+
 def strip(c: Column) -> Column:
     """Both ends freed of Unicode white space (trim() knows U+0020 only)."""
     return F.regexp_replace(F.regexp_replace(c, f"^{SPACE}+", ""), f"{SPACE}+\\z", "")
@@ -39,7 +51,8 @@ def _canonical_run(run: Column) -> Column:
     """One run of word characters with its tone mark (the last one found) on the canonical vowel."""
     plain = F.translate(run, TONED + FORMS.upper(), PLAIN + "".join(v * 6 for v in VOWELS))
     mark = F.lower(F.regexp_extract(run, f"^.*([{TONED}{TONED.upper()}])", 1))
-    return _bound(lambda s: F.when(s["mark"] == "", run).otherwise(_marked(run, s["plain"], s["mark"])), plain=plain, mark=mark)
+    # Most runs have no mark: one look at a run settles that.
+    return F.when(~run.rlike(f"[{TONED}{TONED.upper()}]"), run).otherwise(_bound(lambda s: _marked(run, s["plain"], s["mark"]), plain=plain, mark=mark))
 
 
 def _marked(run: Column, plain: Column, mark: Column) -> Column:
@@ -84,8 +97,8 @@ def normalize_place(c: Column) -> Column:
 
 
 def place_key(c: Column) -> Column:
-    """One part of a lookup key; null and blank give ''."""
-    return strip(canonical_tones(normalize_place(c)))
+    """One part of a lookup key; null and blank give ''. The name is bound, as the tones look at it several times."""
+    return _bound(lambda s: strip(canonical_tones(s["name"])), name=normalize_place(c))
 
 
 #: Numbers that pandas' to_numeric takes, but for missing ones.

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import jaro_winkler
@@ -31,6 +31,11 @@ def threshold(rows: int) -> int:
     return rows * 80 // 100
 
 
+def enough(n: Column, rows: Column) -> Column:
+    """Whether n of so many sample rows make a candidate."""
+    return n > F.floor(rows * 80 / 100)
+
+
 def membership(sample: DataFrame, units: DataFrame, columns: list[str]) -> DataFrame:
     """column, kind, n: how many sample values of each column are in each set of units."""
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), place_key(F.col(f"`{c}`")).alias("value")) for c in columns])
@@ -58,8 +63,7 @@ def named(columns: list[str], words: tuple[str, ...], fall_back: bool) -> list[s
 def candidates(sample: DataFrame, units: DataFrame, columns: list[str] | None = None) -> dict[str, list[str]]:
     """For each kind of unit the columns that may hold it, in column order."""
     columns = [c for c in (columns or sample.columns)]
-    more = threshold(sample.count())
-    hits = {(r["column"], r["kind"]) for r in membership(sample, units, columns).filter(F.col("n") > more).collect()}
+    hits = {(r["column"], r["kind"]) for r in membership(sample, units, columns).filter(enough(F.col("n"), F.lit(sample.count()))).collect()}
     found = {k: [c for c in columns if (c, k) in hits] for k in KINDS}
     for k, words in zip(KINDS[:3], WORDS, strict=True):
         ids = named(found[k], words, fall_back=False)

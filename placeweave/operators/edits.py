@@ -33,4 +33,18 @@ def overlay(base: DataFrame, edits: DataFrame, columns: list[str] | None = None)
 
 
 def row_by_id(df: DataFrame, row_id) -> DataFrame:
+    """The row with this id, compared as text; no row where there is none."""
     return df.filter(F.col("id").cast("string") == str(row_id)).limit(1)
+
+
+def merged(edits: DataFrame, keys: list[str], fields: str, *newest_first) -> DataFrame:
+    """One row per key with all fields ever edited, the newest value of each; an edit without fields counts too."""
+    each = edits.select(*edits.columns, F.explode_outer(fields).alias("_k", "_v"))
+    newest = latest(each, [*keys, "_k"], *newest_first)
+    pairs = F.collect_list(F.when(F.col("_k").isNotNull(), F.struct("_k", "_v")))  # nulls are left out
+    return newest.groupBy(*keys).agg(F.map_from_entries(pairs).alias(fields))
+
+
+def cascade(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
+    """The children whose parent is still there."""
+    return children.join(parents.select(*keys).distinct(), keys, "left_semi")

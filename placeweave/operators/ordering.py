@@ -51,3 +51,22 @@ def head(df: DataFrame, n: int, *order: str) -> DataFrame:
 
 def suggested_workers(rows: int, megabytes: float) -> int:
     return min(8, max(1, rows // 15000 + int(megabytes // 25) + 1))
+
+
+def workers_for(rows: Column, megabytes: Column | float = 0.0) -> Column:
+    """suggested_workers as an expression."""
+    more = F.floor((megabytes if isinstance(megabytes, Column) else F.lit(megabytes)) / 25)
+    return F.least(F.lit(8), F.greatest(F.lit(1), F.floor(rows / 15000) + more + 1)).cast("int")
+
+
+def union_chunks(parts: list[DataFrame]) -> DataFrame:
+    """Chunks under each other, columns by name in order of first appearance; what a chunk lacks is null."""
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def without(df: DataFrame, other: DataFrame) -> DataFrame:
+    """The distinct rows of df that other doesn't hold; nulls equal nulls."""
+    return df.subtract(other)

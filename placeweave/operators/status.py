@@ -31,9 +31,19 @@ def export_rows(df: DataFrame, mode: str) -> DataFrame:
     return filtered(df, mode).drop(STATUS, "id")
 
 
+def percent(part: Column, whole: Column, empty: float = 0.0) -> Column:
+    """part / whole * 100 with one decimal, half to even as the double's exact value has it; whole 0: the given percentage."""
+    x = part / F.greatest(whole, F.lit(1)) * 100
+    tenths = F.floor(x * 10)
+    middle = 2 * tenths + 1  # twentieths half way to the next tenth
+    # 20 x - middle without rounding: both differences lie within a factor of two of their terms.
+    over = (x * 16 - middle) + x * 4
+    up = (over > 0) | ((over == 0) & (tenths % 2 == 1))
+    return F.when(whole == 0, F.lit(empty)).otherwise((tenths + F.when(up, 1).otherwise(0)) / F.lit(10.0))
+
+
 def counts(df: DataFrame, empty: float = 0.0) -> DataFrame:
     """total, success, fail, percent (empty input: the given percentage)."""
-    ok = F.count_if(is_success())
-    total = F.count("*")
-    percent = F.when(total == 0, F.lit(empty)).otherwise(F.round(ok / F.greatest(total, F.lit(1)) * 100, 1))
-    return df.agg(total.alias("total"), ok.alias("success"), (total - ok).alias("fail"), percent.alias("percent"))
+    ok, total = F.count_if(is_success()), F.count("*")
+    found = df.agg(total.alias("total"), ok.alias("success"))
+    return found.select("total", "success", (F.col("total") - F.col("success")).alias("fail"), percent(F.col("success"), F.col("total"), empty).alias("percent"))

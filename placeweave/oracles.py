@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+from .operators.detect import WORDS
+from .plans.mapping import KINDS
+
+# White space, name parts and vowels, as the rules word them.
 W = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 PREFIX = r"tp\.|tx\.|tt\.|q\.|x\.|p\.|t\.|h\.|thành phố|tỉnh|tp|thủ đô|td|huyện|quận|thị xã|xã|phường|thị trấn|district of|dist of|county of|town of|ward of|commune of|township of"
 SUFFIX = "province|prov|district|dist|county|town|ward|commune|township"
@@ -90,7 +96,70 @@ EDITED = f"""{CONVERTED}, newest AS (
   FROM converted LEFT JOIN (SELECT * FROM newest WHERE rn = 1) e ON c_custkey = e.user_id + 1
 )"""
 
+SHEET = ("home_province_id", "home_province", "home_district", "home_ward", "work_province", "work_district", "work_ward", "note", "old_province")
+_SHEET_VALUES = {
+    "home_province_id": "CAST(n_nationkey % 4 + 1 AS VARCHAR)", "home_province": "lower(r_name)", "home_district": "lower(n_name)", "home_ward": "'building'", "work_province": "lower(r_name)",
+    "work_district": "lower(n_name)", "work_ward": "'machinery'", "note": "lower(r_name)", "old_province": "CASE WHEN s_suppkey % 4 = 0 THEN '?' ELSE lower(r_name) END",
+}
+_WORD_ROWS = ", ".join(f"('{kind}', '{w}')" for i, kind in enumerate(KINDS) for w in WORDS[i % 3])
+CANDIDATES = f"""WITH {MAPPING}, {UNITS}, sheet AS (
+  SELECT * FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey ORDER BY s_suppkey LIMIT 500
+), long AS ({" UNION ALL ".join(f"SELECT {i} AS pos, '{c}' AS col, {_SHEET_VALUES[c]} AS value FROM sheet" for i, c in enumerate(SHEET))}
+), hits AS (SELECT pos, col, kind FROM long JOIN units USING (value) GROUP BY ALL HAVING count(*) > (SELECT count(*) FROM sheet) * 80 // 100
+), words(kind, word) AS (VALUES {_WORD_ROWS}
+), fits AS (SELECT h.*, EXISTS (SELECT 1 FROM words w WHERE w.kind = h.kind AND contains(lower(h.col), w.word)) AS fit FROM hits h
+), told AS (SELECT *, count(*) OVER (PARTITION BY kind) AS many, bool_or(fit) OVER (PARTITION BY kind) AS any_fit FROM fits
+), kept AS (SELECT * FROM told WHERE CASE WHEN starts_with(kind, 'id_') THEN fit AND col = 'home_province_id' ELSE many = 1 OR fit OR NOT any_fit END)"""
+GROUP_COLUMNS = "id_province, id_district, id_ward, province, district, ward"
+
+
+def _groups(*rows: tuple) -> str:
+    shown = ", ".join("(" + ", ".join("NULL" if v is None else str(v) if isinstance(v, int) else f"'{v}'" for v in r) + ")" for r in rows)
+    # "case" is a keyword, and columns of nulls alone need a type.
+    names = ["case", "place", *GROUP_COLUMNS.split(", ")]
+    return 'SELECT ' + ", ".join(f'CAST(c{i} AS {"INTEGER" if n == "place" else "VARCHAR"}) AS "{n}"' for i, n in enumerate(names)) + f" FROM (VALUES {shown}) t({', '.join(f'c{i}' for i in range(8))})"
+
+
+CUSTOMERS = """SELECT CAST(c_custkey AS VARCHAR) AS zeta, CASE c_custkey % 3 WHEN 0 THEN 'O"' || c_name WHEN 1 THEN c_name END AS name, c_mktsegment AS alpha FROM customer"""
+RECORDS = """row_number() OVER (ORDER BY c_custkey) AS id"""
+_MARKED = ("Hà Nội", "Đắk Lắk", "Thừa Thiên Huế", "QUẢNG NGÃI", "Bà Rịa - Vũng Tàu", "plain")
+
 ORACLE_SQL = {
+    "detect_candidates": f'{CANDIDATES} SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY pos) - 1 AS INTEGER) AS place, col AS "column" FROM kept',
+    "detect_groups": _groups(("sheet", 0, "home_province_id", None, None, "home_province", "home_district", "home_ward"), ("sheet", 1, None, None, None, "work_province", "work_district", "work_ward")),
+    "group_cases": _groups(
+        ("single", 0, None, None, None, "tinh", None, "xa"), ("several", 0, None, None, None, "home_p", "home_d", "home_w"), ("several", 1, None, None, None, "work_p", "work_d", "work_w"),
+        ("left_over", 0, None, None, None, "a_province", None, "a_ward"), ("left_over", 1, None, None, None, None, None, "zz"),
+    ),
+    "greedy_grouping": f"""SELECT {", ".join(f"'home_' || x{i} AS {c}" for i, c in enumerate(GROUP_COLUMNS.split(", ")))} FROM (VALUES ('province_id', 'district_id', 'ward_id', 'province', 'district', 'ward')) t(x0, x1, x2, x3, x4, x5)
+      UNION ALL SELECT {", ".join(f"'work_' || x{i}" for i in range(6))} FROM (VALUES ('province_id', 'district_id', 'ward_id', 'province', 'district', 'ward')) t(x0, x1, x2, x3, x4, x5)""",
+    "percent_half_even": """WITH shares AS (SELECT o_orderkey, CAST(o_orderkey % 401 AS DOUBLE) AS part, o_orderkey % 5 * 400 AS whole FROM orders),
+      x AS (SELECT *, part / greatest(whole, 1) * 100 AS x FROM shares), k AS (SELECT *, floor(x * 10) AS k, (x * 16 - (2 * floor(x * 10) + 1)) + x * 4 AS over FROM x)
+      SELECT o_orderkey, CASE WHEN whole = 0 THEN 100.0::DOUBLE ELSE (k + CASE WHEN over > 0 OR (over = 0 AND k % 2 = 1) THEN 1 ELSE 0 END) / 10.0::DOUBLE END AS percent FROM k""",
+    "json_array_roundtrip": CUSTOMERS, "json_roundtrip": CUSTOMERS, "excel_roundtrip": f"SELECT zeta, coalesce(name, '') AS name, alpha FROM ({CUSTOMERS})",
+    "json_column_order": "SELECT * FROM (VALUES (0, 'zeta'), (1, 'name'), (2, 'alpha')) t(place, name)",
+    "csv_encodings": """SELECT 'windows-1252' AS encoding, CAST(n_nationkey AS VARCHAR) AS key, n_name || ' café – ü' AS name FROM nation
+      UNION ALL SELECT 'UTF-8', CAST(n_nationkey AS VARCHAR), n_name || ' café – ü ' || chr(65533) FROM nation""",
+    "file_infos": """SELECT kind, (SELECT count(*) FROM nation) AS n, 3 AS cols, 'n_nationkey|n_name|n_regionkey' AS names, CAST(10 AS BIGINT) AS sampled, true AS fine FROM (VALUES ('.csv'), ('.json'), ('.sql'), ('.xlsx')) t(kind)
+      UNION ALL SELECT 'missing', 0, 0, '', 0, false""",
+    "header_repair": "SELECT * FROM (VALUES (0, 'a'), (1, 'a.1'), (2, 'col_2'), (3, 'a.2')) t(place, name)",
+    "output_names": "SELECT * FROM (VALUES (0, '_convert_success.csv'), (1, '_convert_success(1).csv'), (2, '_convert_success(2).csv')) t(place, name)",
+    "sql_statement_roundtrip": f"{NATION} UNION ALL SELECT '', '--', ''",
+    "task_records": f"""{CONVERTED} SELECT {RECORDS}, * REPLACE (CAST(c_custkey AS VARCHAR) AS c_custkey) FROM converted""",
+    "task_state": f"""{CONVERTED}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE "statusState" = 'Thành công') AS success FROM converted)
+      SELECT 'preview_ready' AS status, CAST(floor(100.0 * success / total + 0.0500001) AS INTEGER) AS progress, 2 AS step, 'c_custkey|province_id_group1|province|ward_id_group1|ward|statusState' AS columns, total, success, total - success AS fail FROM n
+      UNION ALL SELECT 'pending', 0, 1, '', -1, -1, -1 UNION ALL SELECT 'failed', 0, 1, '', -1, -1, -1""",
+    "task_row_edit": f"""{CONVERTED}, rows AS (SELECT {RECORDS}, province, ward, "statusState" FROM converted)
+      SELECT id, CASE id WHEN 3 THEN 'P' ELSE province END AS province, CASE id WHEN 3 THEN 'second' ELSE ward END AS ward, CASE WHEN id IN (3, 5) THEN 'Thành công' ELSE "statusState" END AS "statusState" FROM rows WHERE id <= 20""",
+    "task_row_lookup": f"{CONVERTED} SELECT c_custkey, ward FROM converted WHERE c_custkey = 7",
+    "task_filtered": f"""{CONVERTED} SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, ward, "statusState" FROM converted WHERE "statusState" <> 'Thành công'""",
+    "download_success": f"""{CONVERTED} SELECT * EXCLUDE ("statusState") REPLACE (CAST(c_custkey AS VARCHAR) AS c_custkey) FROM converted WHERE "statusState" = 'Thành công'""",
+    "download_error": f"""{CONVERTED} SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, nullif(province_id_group1, '') AS province_id_group1, province, nullif(ward_id_group1, '') AS ward_id_group1, ward FROM converted WHERE "statusState" <> 'Thành công'""",
+    "group_preview": f"WITH {ADDRESSES} SELECT CAST(row_number() OVER (ORDER BY c_custkey) - 1 AS INTEGER) AS place, ward, province FROM addresses ORDER BY c_custkey LIMIT 5",
+    "edit_fields_merged": """SELECT user_id, count(DISTINCT event_type) FILTER (WHERE event_id % 10 <> 0) AS fields,
+        coalesce(string_agg(DISTINCT event_type, '|' ORDER BY event_type) FILTER (WHERE event_id % 10 <> 0), '') AS names FROM events GROUP BY user_id""",
+    "child_cascade": "SELECT l_orderkey, count(*) AS n FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_orderkey % 4 = 0) GROUP BY l_orderkey",
+    "compose_marks": "SELECT c_custkey, nfc_normalize(CASE c_custkey % 6 " + " ".join(f"WHEN {i} THEN '{unicodedata.normalize('NFD', x)}'" for i, x in enumerate(_MARKED)) + " END) AS name FROM customer",
     "normalize_place": f"""SELECT c_custkey, {place("noisy")} AS place FROM (SELECT c_custkey, CASE c_custkey % 8
         WHEN 0 THEN 'Tỉnh ' || n_name WHEN 1 THEN '  TP. ' || n_name WHEN 2 THEN n_name || ' Province' WHEN 3 THEN 'Quận 0' || c_custkey
         WHEN 4 THEN 'District of ' || n_name || ' (cũ)' WHEN 5 THEN n_name || '-x, y./ ' WHEN 6 THEN 'Thị xã Hoà ' || n_name ELSE n_name END AS noisy
@@ -120,6 +189,7 @@ ORACLE_SQL = {
       hit AS (SELECT a.*, coalesce(e.p, CASE WHEN n.n = 1 THEN n.p END) AS hp FROM addresses a LEFT JOIN wide e ON e.p = lower(a.province) AND e.w = lower(a.ward) LEFT JOIN near n ON n.w = lower(a.ward))
       SELECT c_custkey, coalesce(idp[1], '') AS province_id_group1, coalesce(provinces[1], province) AS province, coalesce(idw[1], '') AS ward_id_group1, coalesce(wards[1], ward) AS ward,
         coalesce(idw[2], '') AS ward_id_group1_option_2, coalesce(wards[2], '') AS ward_option_2, coalesce(idw[3], '') AS ward_id_group1_option_3, coalesce(wards[3], '') AS ward_option_3,
+        coalesce(idw[4], '') AS ward_id_group1_option_4, coalesce(wards[4], '') AS ward_option_4, coalesce(idw[5], '') AS ward_id_group1_option_5, coalesce(wards[5], '') AS ward_option_5,
         CASE WHEN x.p IS NULL THEN 'Lỗi _group1' ELSE 'Thành công' END AS "statusState"
       FROM hit h LEFT JOIN wide x ON x.p = h.hp AND x.w = lower(h.ward)""",
     "unit_membership": f'{MEMBERS} SELECT "column", kind, n FROM members',
@@ -143,7 +213,7 @@ ORACLE_SQL = {
     "jaro_winkler_pairs": """WITH names AS (SELECT DISTINCT column_name AS n FROM information_schema.columns WHERE table_name IN ('customer', 'supplier', 'part', 'orders', 'lineitem', 'nation', 'region'))
       SELECT x.n AS a, y.n AS b, round(jaro_winkler_similarity(x.n, y.n), 6) AS score FROM names x CROSS JOIN names y""",
     "sql_literal_format": """SELECT c_custkey, '(' || c_custkey || ', ' || CASE c_custkey % 3 WHEN 0 THEN '''O\\''' || c_name || '''' WHEN 1 THEN '''' || c_name || '''' ELSE 'NULL' END || ', ' || c_nationkey || ')' AS literal FROM customer""",
-    **dict.fromkeys(("sql_dump_roundtrip", "csv_roundtrip", "json_roundtrip", "excel_roundtrip", "sqlite_sample"), NATION),
+    **dict.fromkeys(("sql_dump_roundtrip", "csv_roundtrip", "sqlite_sample"), NATION),
     "union_chunks": "SELECT l_orderkey % 2 = 0 AS first_chunk, count(*) AS n, round(sum(l_quantity), 2) AS quantity FROM lineitem GROUP BY 1",
     "set_difference": "SELECT n_nationkey AS key FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey % 2 = 0",
     "iso_timestamps": "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S') AS at FROM orders",

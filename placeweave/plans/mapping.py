@@ -30,6 +30,16 @@ class Mapping:
     units: DataFrame
     keys: int
 
+    def close(self) -> None:
+        """Release the prepared table; the mapping stays usable and is then computed again."""
+        self.exact.unpersist()
+
+    def __enter__(self) -> Mapping:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
+
     def small(self, df: DataFrame) -> DataFrame:
         """A broadcast only behind the counted number of keys."""
         return F.broadcast(df) if self.keys <= BROADCAST_KEYS else df

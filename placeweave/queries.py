@@ -9,10 +9,13 @@ from __future__ import annotations
 import json
 import sqlite3
 import tempfile
+import unicodedata
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .api import AddressEngine, NotFound
 from .functions import text
 from .functions.similarity import jaro_winkler
 from .operators import convert as conversion
@@ -23,6 +26,7 @@ from .operators.lookup import lookup
 from .plans import mapping as mappings
 from .plans.storage import scratch
 from .sources import files, sinks
+from .tasks import progress_of
 
 GROUP = AddressGroup(province="province", district="district", ward="ward")
 
@@ -134,10 +138,10 @@ def convert_no_province(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def convert_options_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Old keys without district have several new values, which widen the row."""
+    """Old keys without district have several new values, which widen the row by as many as the mapping has."""
     rows = mapping_rows(spark, sf_dir).withColumn("district", F.lit("x")).filter(F.col("id_ward") == "0")
     a = addresses(spark, sf_dir).withColumn("district", F.lit("x"))
-    return conversion.convert(a, [GROUP], mappings.build(rows), options=3)
+    return conversion.convert(a, [GROUP], mappings.build(rows))
 
 
 def unit_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,8 +152,49 @@ def unit_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
 def detect_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = ordering.head(addresses(spark, sf_dir), 500, "c_custkey")
     n = detection.membership(sample, mappings.unit_sets(mapping_rows(spark, sf_dir)), ["province", "district", "ward"])
-    rows = sample.agg(F.count("*").alias("total"))
-    return n.withColumn("one", F.lit(1)).join(rows.withColumn("one", F.lit(1)), "one").select("column", "kind", (F.col("n") > F.expr("total * 80 div 100")).alias("candidate"))
+    return n.select("column", "kind", detection.enough(F.col("n"), F.lit(sample.count())).alias("candidate"))
+
+
+def _sheet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers with two clean addresses, ids of units, a note that holds unit names and a column too spoiled to count."""
+    s, n, r = (table(spark, sf_dir, t) for t in ("supplier", "nation", "region"))
+    at = lambda c, k: F.when(F.col("s_suppkey") % k == 0, "?").otherwise(F.col(c))
+    return s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select(
+        "s_suppkey", (F.col("n_nationkey") % 4 + 1).cast("string").alias("home_province_id"), F.col("r_name").alias("home_province"), F.col("n_name").alias("home_district"),
+        F.lit("building").alias("home_ward"), F.upper("r_name").alias("work_province"), F.concat(F.lit("Quận "), "n_name").alias("work_district"), F.lit("Phường Machinery").alias("work_ward"),
+        F.col("r_name").alias("note"), at("r_name", 4).alias("old_province"),
+    )
+
+
+def _sheet_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordering.head(_sheet(spark, sf_dir), 500, "s_suppkey").drop("s_suppkey")
+
+
+def detect_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = detection.candidates(_sheet_sample(spark, sf_dir), mappings.unit_sets(mapping_rows(spark, sf_dir)))
+    rows = [(kind, i, c) for kind, columns in found.items() for i, c in enumerate(columns)]  # names of columns
+    return spark.createDataFrame(rows, "kind string, place int, column string")
+
+
+def _group_rows(spark: SparkSession, cases: dict[str, list[AddressGroup]]) -> DataFrame:
+    names = list(AddressGroup.__dataclass_fields__)
+    rows = [(case, i, *(getattr(g, f) for f in names)) for case, groups in cases.items() for i, g in enumerate(groups)]
+    return spark.createDataFrame(rows, "case string, place int, " + ", ".join(f"{f} string" for f in names))
+
+
+def detect_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _group_rows(spark, {"sheet": detection.detect(_sheet_sample(spark, sf_dir), mappings.unit_sets(mapping_rows(spark, sf_dir)))})
+
+
+def group_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One group, several, one whose ward has no partner of its own, none without wards."""
+    none = dict.fromkeys(mappings.KINDS, [])
+    return _group_rows(spark, {
+        "single": detection.group_columns(none | {"provinces": ["tinh"], "wards": ["xa"]}),
+        "several": detection.group_columns(none | {"provinces": ["home_p", "work_p"], "districts": ["work_d", "home_d"], "wards": ["home_w", "work_w"]}),
+        "left_over": detection.group_columns(none | {"provinces": ["a_province"], "wards": ["a_ward", "zz"]}),
+        "no_ward": detection.group_columns(none | {"provinces": ["p"], "districts": ["d"]}),
+    })
 
 
 def numeric_convertible(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -164,7 +209,13 @@ def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.col("o_totalprice") / 1000 - 50
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.least(F.lit(100), F.greatest(F.lit(0), share.cast("int"))).cast("long").alias("progress"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", progress_of(share).cast("long").alias("progress"))
+
+
+def percent_half_even(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shares of 2000 and less, many of them half way between two tenths."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_orderkey") % 401).alias("part"), (F.col("o_orderkey") % 5 * 400).alias("whole"))
+    return rows.select("o_orderkey", status.percent(F.col("part"), F.col("whole"), 100.0).alias("percent"))
 
 
 def filter_mode(mode: str):
@@ -215,7 +266,7 @@ def suggested_workers(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = counts[0]
     for c in counts[1:]:
         every = every.union(c)
-    return every.select("name", "n", F.least(F.lit(8), F.greatest(F.lit(1), F.expr("n div 15000") + 1)).cast("long").alias("workers"))
+    return every.select("name", "n", ordering.workers_for(F.col("n")).cast("long").alias("workers"))
 
 
 def jaro_winkler_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -254,33 +305,174 @@ def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_csv(spark, path).drop(files.ORD)
 
 
+def _customers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text columns in an order that is not the alphabet's; some names missing, some with quotes."""
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit('O"'), "c_name")).when(F.col("c_custkey") % 3 == 1, F.col("c_name"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("zeta"), name.alias("name"), F.col("c_mktsegment").alias("alpha"))
+
+
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sinks.write_json(_nation(spark, sf_dir), path := scratch(spark, "json"))
-    return files.read_json(spark, path).select("n_nationkey", "n_name", "n_regionkey")
+    sinks.write_json(_customers(spark, sf_dir), path := scratch(spark, "json"))
+    return files.read_json(spark, path).drop(files.ORD)
 
 
-def excel_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The workbook goes from the driver's disk to the shared folder as a binary table would: by Spark."""
-    from .sources import xlsx
+def json_array_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sinks.write_json(_customers(spark, sf_dir), path := scratch(spark, "json"), array=True)
+    return files.read_json(spark, path).drop(files.ORD)
+
+
+def json_column_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sinks.write_json(_customers(spark, sf_dir), path := scratch(spark, "json"))
+    names = [c for c in files.read_json(spark, path).columns if c != files.ORD]
+    return spark.createDataFrame(list(enumerate(names)), "place int, name string")
 
-    n = _nation(spark, sf_dir)
-    with tempfile.NamedTemporaryFile(suffix=".xlsx") as f:
-        real = sinks.write_excel(n, f.name)
-        with open(real, "rb") as g:
-            rows = xlsx.read(g.read())
-    return spark.createDataFrame([tuple(r) for r in rows[1:]], ", ".join(f"{c} string" for c in xlsx.header_of(rows[0])))
+
+def csv_encodings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same names in Windows-1252 and, with a replacement character among them, in UTF-8."""
+    n = table(spark, sf_dir, "nation")
+    parts = []
+    # Byte 0x96 is a dash in Windows-1252; Latin-1, which Spark writes, has a control character there.
+    for encoding, charset, more in (("windows-1252", "ISO-8859-1", " café \x96 ü"), ("UTF-8", "UTF-8", " café – ü \ufffd")):
+        own = F.concat(F.col("n_name"), F.lit(more))
+        n.select(F.col("n_nationkey").cast("string").alias("key"), own.alias("name")).write.option("encoding", charset).csv(path := scratch(spark, "csv"), header=True)
+        parts.append(files.read_csv(spark, path).select(F.lit(encoding).alias("encoding"), "key", "name"))
+    return ordering.union_chunks(parts)
+
+
+def excel_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    where = sinks.write_excel(_customers(spark, sf_dir), scratch(spark, "book"))
+    return files.read_excel(spark, where).drop(files.ORD)
 
 
 def sqlite_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [tuple(r) for r in _nation(spark, sf_dir).collect()]  # 25 rows
-    db = sqlite3.connect(":memory:")
-    db.execute("CREATE TABLE nation (n_nationkey TEXT, n_name TEXT, n_regionkey TEXT)")
-    db.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
-    data = bytes(db.serialize())
-    db.close()
-    spark.createDataFrame([(bytearray(data),)], "content binary").write.parquet(path := scratch(spark, "sqlite"))
-    content = spark.read.parquet(path).first()[0]
-    return files.sqlite_rows(spark, content, 500)[1].drop(files.ORD)
+    with tempfile.NamedTemporaryFile(suffix=".db") as f:
+        db = sqlite3.connect(f.name)
+        db.execute("CREATE TABLE nation (n_nationkey TEXT, n_name TEXT, n_regionkey TEXT)")
+        db.executemany("INSERT INTO nation VALUES (?, ?, ?)", rows)
+        db.commit()
+        db.close()
+        sinks.put(spark, f.name, path := scratch(spark, "base") + ".db")
+    return files.read_sqlite(spark, path, 500)[1].drop(files.ORD)
+
+
+def file_infos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What uploads in each format are said to hold."""
+    n, found = _nation(spark, sf_dir), []
+    for kind, write in ((".csv", sinks.write_csv), (".json", sinks.write_json), (".sql", sinks.write_sql), (".xlsx", sinks.write_excel)):
+        path = scratch(spark, "upload") + kind
+        write(n.coalesce(1), path)
+        info = files.file_info(spark, path)
+        found.append((kind, info.rows, info.cols, "|".join(info.names), info.sample.count(), info.error is None))
+    bad = files.file_info(spark, scratch(spark, "missing") + ".csv")
+    found.append(("missing", bad.rows, bad.cols, "", 0, bad.error is None))
+    return spark.createDataFrame(found, "kind string, n long, cols int, names string, sampled long, fine boolean")
+
+
+def header_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spark.createDataFrame([("a,a,,a",), ("1,2,3,4",)], "value string").coalesce(1).write.text(path := scratch(spark, "heads"))
+    names = [c for c in files.read_csv(spark, path).columns if c != files.ORD]
+    return spark.createDataFrame(list(enumerate(names)), "place int, name string")
+
+
+def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path, found = scratch(spark, "out") + ".csv", []
+    for _ in range(3):
+        name = sinks.output_name(path, "success", spark)
+        sinks.write_csv(_nation(spark, sf_dir), name)
+        found.append(name.removeprefix(path.removesuffix(".csv")))
+    return spark.createDataFrame(list(enumerate(found)), "place int, name string")
+
+
+def sql_statement_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One multi-row statement; and the dump of no rows, which is a comment."""
+    sinks.write_sql(_nation(spark, sf_dir), path := scratch(spark, "dump"), "nation", one_statement=True)
+    sinks.write_sql(_nation(spark, sf_dir).limit(0), empty := scratch(spark, "dump"), "nation")
+    note = spark.read.text(empty).select(F.lit("").alias("n_nationkey"), F.substring("value", 1, 2).alias("n_name"), F.lit("").alias("n_regionkey"))
+    return files.read_sql(spark, path, unescape=True).drop(files.ORD).unionByName(note)
+
+
+def _engine(spark: SparkSession, sf_dir: str) -> tuple[AddressEngine, str]:
+    """An engine with the addresses' CSV taken in as a task and converted."""
+    sinks.write_csv(addresses(spark, sf_dir).withColumn("c_custkey", F.col("c_custkey").cast("string")).orderBy(F.col("c_custkey").cast("long")).coalesce(1), path := scratch(spark, "upload") + ".csv")
+    engine = AddressEngine(spark, mappings.build(mapping_rows(spark, sf_dir)), scratch(spark, "tasks"))
+    task_id = engine.upload_and_detect(path)["task_id"]
+    engine.start_conversion(task_id, [asdict(GROUP)], n_workers=2)
+    return engine, task_id
+
+
+def task_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, task_id = _engine(spark, sf_dir)
+    return engine.records(task_id)
+
+
+def task_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The task after an upload, after a conversion, and after one that fails; counts are -1 where there are none."""
+    engine, task_id = _engine(spark, sf_dir)
+    done = engine.tasks.get(task_id)
+    bad = engine.upload_and_detect(done["filename"])["task_id"]
+    fresh = engine.tasks.get(bad)
+    engine.tasks.update(bad, filename="gone.csv")
+    failed = engine.start_conversion(bad, [asdict(GROUP)])
+    rows = [(t["status"], t["progress"], t["step"], "|".join(t["columns"]), *((t["result"] or {}).get(c, -1) for c in ("total_rows", "success_count", "fail_count"))) for t in (fresh, done, failed)]
+    return spark.createDataFrame(rows, "status string, progress int, step int, columns string, total long, success long, fail long")
+
+
+def task_row_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two edits of one row, one without fields of another; a row that isn't there is an error."""
+    engine, task_id = _engine(spark, sf_dir)
+    engine.update_row(task_id, 3, {"ward": "first", "province": "P"})
+    engine.update_row(task_id, "3", {"ward": "second"})
+    engine.update_row(task_id, 5, {})
+    try:
+        engine.update_row(task_id, 0, {"ward": "nowhere"})
+    except NotFound:
+        return engine.records(task_id).filter("id <= 20").select("id", "province", "ward", status.STATUS)
+    raise AssertionError("a missing row must not be found")
+
+
+def task_row_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    base = _converted(spark, sf_dir).withColumn("id", F.col("c_custkey"))
+    return edits.row_by_id(base, "7").select("c_custkey", "ward")
+
+
+def task_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, task_id = _engine(spark, sf_dir)
+    return engine.filtered_data(task_id, "error").select("c_custkey", "ward", status.STATUS)
+
+
+def download(mode: str):
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        engine, task_id = _engine(spark, sf_dir)
+        return files.read_csv(spark, engine.download(task_id, mode)).drop(files.ORD)
+
+    return query
+
+
+def group_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, task_id = _engine(spark, sf_dir)
+    found = engine.group_preview(task_id, ["ward", "absent", "province"])
+    return spark.createDataFrame([(i, r["ward"], r["province"]) for i, r in enumerate(found["sample_data"])], "place int, ward string, province string")
+
+
+def edit_fields_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest value of each field that was ever edited; every tenth edit has none."""
+    fields = F.when(F.col("event_id") % 10 == 0, F.create_map().cast("map<string,string>")).otherwise(F.create_map("event_type", F.col("value").cast("string")))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", "event_id", fields.alias("edited"))
+    found = edits.merged(e, ["user_id"], "edited", F.desc("ts"), F.desc("event_id"))
+    return found.select("user_id", F.size("edited").cast("long").alias("fields"), F.array_join(F.array_sort(F.map_keys("edited")), "|").alias("names"))
+
+
+def child_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items of the orders that are left."""
+    left = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
+    return edits.cascade(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber"), left, ["l_orderkey"]).groupBy("l_orderkey").agg(F.count("*").alias("n"))
+
+
+def compose_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    apart = [unicodedata.normalize("NFD", x) for x in ("Hà Nội", "Đắk Lắk", "Thừa Thiên Huế", "QUẢNG NGÃI", "Bà Rịa - Vũng Tàu", "plain")]
+    name = F.element_at(F.array(*map(F.lit, apart)), (F.col("c_custkey") % 6 + 1).cast("int"))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.compose(name).alias("name"))
 
 
 def mapping_file(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,14 +485,13 @@ def mapping_file(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def union_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    a, b = li.filter(F.col("l_orderkey") % 2 == 0), li.filter(F.col("l_orderkey") % 2 == 1).withColumn("extra", F.lit(""))
-    both = a.unionByName(b, allowMissingColumns=True)
+    both = ordering.union_chunks([li.filter(F.col("l_orderkey") % 2 == 0), li.filter(F.col("l_orderkey") % 2 == 1).withColumn("extra", F.lit(""))])
     return both.groupBy(F.col("extra").isNull().alias("first_chunk")).agg(F.count("*").alias("n"), F.round(F.sum("l_quantity"), 2).alias("quantity"))
 
 
 def set_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
-    return n.select(F.col("n_nationkey").alias("key")).subtract(s.filter("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("key")))
+    return ordering.without(n.select(F.col("n_nationkey").alias("key")), s.filter("s_suppkey % 2 = 0").select(F.col("s_nationkey").alias("key")))
 
 
 def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -317,5 +508,10 @@ QUERIES = {
     "export_success_projection": export_success_projection, "edit_overlay": edit_overlay, "edit_recount": edit_recount, "edit_upsert_latest": edit_upsert_latest,
     "row_ids": row_ids, "head_sample": head_sample, "suggested_workers": suggested_workers, "jaro_winkler_pairs": jaro_winkler_pairs, "greedy_grouping": greedy_grouping,
     "sql_literal_format": sql_literal_format, "sql_dump_roundtrip": sql_dump_roundtrip, "csv_roundtrip": csv_roundtrip, "json_roundtrip": json_roundtrip,
+    "detect_candidates": detect_candidates, "detect_groups": detect_groups, "group_cases": group_cases, "percent_half_even": percent_half_even,
+    "json_array_roundtrip": json_array_roundtrip, "json_column_order": json_column_order, "csv_encodings": csv_encodings, "file_infos": file_infos,
+    "header_repair": header_repair, "output_names": output_names, "sql_statement_roundtrip": sql_statement_roundtrip, "task_records": task_records, "task_state": task_state,
+    "task_row_edit": task_row_edit, "task_row_lookup": task_row_lookup, "task_filtered": task_filtered, "download_success": download("success"), "download_error": download("error"),
+    "group_preview": group_preview, "edit_fields_merged": edit_fields_merged, "child_cascade": child_cascade, "compose_marks": compose_marks,
     "excel_roundtrip": excel_roundtrip, "sqlite_sample": sqlite_sample, "union_chunks": union_chunks, "set_difference": set_difference, "iso_timestamps": iso_timestamps,
 }

@@ -10,11 +10,13 @@ import os
 import sqlite3
 import tempfile
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ordering import head, sample_size
 from . import sqldump, xlsx
 
 ORD = "_ord"
@@ -45,41 +47,92 @@ def unique_names(names: list[str | None]) -> list[str]:
 #: Bytes 0x80..0x9F as Latin-1 and as Windows-1252 read them; five of them mean nothing in the latter.
 _LATIN = "".join(chr(b) for b in range(0x80, 0xA0) if bytes([b]).decode("cp1252", "ignore"))
 _WINDOWS = _LATIN.encode("latin-1").decode("cp1252")
-_UNUSED = "".join(chr(b) for b in range(0x80, 0xA0) if chr(b) not in _LATIN)
+
+
+@dataclass(frozen=True)
+class Look:
+    """What one pass over a text file's bytes tells."""
+
+    encoding: str
+    quoted_breaks: bool
+    lines: int
+
+
+def look(spark: SparkSession, path: str) -> Look:
+    """UTF-8 unless some line's bytes are none; then Windows-1252, or Latin-1 where a byte is unused there.
+
+    Lines are taken as raw bytes. A line with an odd number of quotes begins or ends a value that
+    reaches over a line break.
+    """
+    raw = F.col("value").cast("binary")
+    unused = "|".join(f"{b:02X}" for b in range(0x80, 0xA0) if not bytes([b]).decode("cp1252", "ignore"))
+    found = spark.read.text(path).agg(
+        F.count("*").alias("lines"), F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
+        F.coalesce(F.bool_or(F.hex(raw).rlike(f"^(?:..)*?(?:{unused})") & ~F.is_valid_utf8("value")), F.lit(False)).alias("unused"),
+        F.coalesce(F.bool_or((F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1), F.lit(False)).alias("odd"),
+    ).first()
+    encoding = "UTF-8" if found["utf8"] else "ISO-8859-1" if found["unused"] else "windows-1252"
+    return Look(encoding, found["odd"], found["lines"])
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
-    """UTF-8 unless some line does not decode; then Windows-1252, or Latin-1 where a byte is unused there."""
-    lines = lambda name: spark.read.option("encoding", name).csv(path, sep="\x01", quote="", schema="v string")
-    if not lines("UTF-8").filter(F.col("v").contains("\ufffd")).limit(1).count():
-        return "UTF-8"
-    return "ISO-8859-1" if lines("ISO-8859-1").filter(F.col("v").rlike(f"[{_UNUSED}]")).limit(1).count() else "windows-1252"
+    return look(spark, path).encoding
+
 
+def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
+    """Text cells as written (007 stays 007).
 
-def read_csv(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
-    """Text cells as written (007 stays 007). multi_line reads quoted newlines, one task per file; without it files split."""
-    encoding = encoding_of(spark, path)
+    multi_line reads quoted line breaks, one task per file; without it files split. By default it is
+    on only where the file has such breaks.
+    """
+    seen = look(spark, path)
     # Spark reads Windows-1252 as Latin-1 only; the bytes that differ are put right afterwards.
-    right = (lambda c: F.translate(c, _LATIN, _WINDOWS)) if encoding == "windows-1252" else (lambda c: c)
-    options = {"encoding": "UTF-8" if encoding == "UTF-8" else "ISO-8859-1", "multiLine": multi_line, "escape": '"', "quote": '"'}
+    right = (lambda c: F.translate(c, _LATIN, _WINDOWS)) if seen.encoding == "windows-1252" else (lambda c: c)
+    options = {"encoding": "UTF-8" if seen.encoding == "UTF-8" else "ISO-8859-1", "multiLine": seen.quoted_breaks if multi_line is None else multi_line, "escape": '"', "quote": '"'}
     first = spark.read.options(**options).csv(path, header=False).limit(1).collect()
     if not first:
         raise ValueError("the file is empty")
-    names = unique_names([None if h is None else h.translate(str.maketrans(_LATIN, _WINDOWS)) if encoding == "windows-1252" else h for h in first[0]])
+    names = unique_names([None if h is None else h.translate(str.maketrans(_LATIN, _WINDOWS)) if seen.encoding == "windows-1252" else h for h in first[0]])
     schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
     df = spark.read.options(**options).csv(path, header=True, schema=schema)
-    return df.select(*[right(F.col(f"`{n}`")).alias(n) for n in names], F.monotonically_increasing_id().alias(ORD))
+    return df.select(*[right(F.col(f"`{n.replace('`', '``')}`")).alias(n) for n in names], F.monotonically_increasing_id().alias(ORD))
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """An array of objects, or one object a line; blank lines and // lines are skipped."""
+def _records(spark: SparkSession, path: str) -> DataFrame:
+    """_ord, raw (the record's text), m (its fields, or null where it is malformed), in file order."""
     start = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
     if not start:
         raise ValueError("the file is empty")
-    lines = not start[0][0].lstrip("﻿ \t").startswith("[")
-    options = {"primitivesAsString": True, "multiLine": not lines, "allowComments": True, "mode": "DROPMALFORMED"}
-    df = spark.read.options(**options).json(path)
-    return df.withColumn(ORD, F.monotonically_increasing_id())
+    if start[0][0].lstrip("\ufeff \t").startswith("["):
+        whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
+        # An array that does not parse to its end is one malformed record.
+        broken = F.json_array_length("value").isNull()
+        each = F.when(~broken, F.from_json("value", "array<string>")).otherwise(F.array("value"))
+        lines = whole.select(F.posexplode_outer(each).alias(ORD, "raw"), broken.alias("bad"))
+        lines = lines.filter(F.col("raw").isNotNull() | F.col("bad"))
+        fields = F.when(~F.col("bad"), F.from_json("raw", "map<string,string>"))
+    else:
+        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias(ORD), F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("raw"))
+        lines = lines.filter((F.col("raw") != "") & ~F.col("raw").startswith("//"))
+        fields = F.from_json("raw", "map<string,string>")
+    return lines.select(F.col(ORD).cast("long").alias(ORD), "raw", fields.alias("m"))
+
+
+def read_json(spark: SparkSession, path: str, corrupt: str | None = None) -> DataFrame:
+    """An array of objects, or one object a line; blank lines and // lines are skipped.
+
+    Columns are the keys in order of first appearance, cells are texts. A malformed record is an
+    error; with corrupt, such records are kept as rows with their text in a column of that name.
+    """
+    records = _records(spark, path)
+    broken = F.when(F.col("m").isNull(), F.struct(F.col(ORD), F.substring("raw", 1, 200).alias("raw")))
+    each = records.select(ORD, broken.alias("broken"), F.posexplode_outer(F.map_keys("m")).alias("at", "key"))
+    seen = each.groupBy("key").agg(F.min(F.struct(ORD, "at")).alias("first"), F.min("broken").alias("broken")).orderBy("first").collect()  # one row for each column
+    if corrupt is None and (bad := [r["broken"]["raw"] for r in seen if r["broken"]]):
+        raise ValueError(f"malformed JSON record: {bad[0]}")
+    names = [r["key"] for r in seen if r["key"] is not None]
+    extra = [] if corrupt is None else [F.when(F.col("m").isNull(), F.col("raw")).alias(corrupt)]
+    return records.select(*[F.col("m")[n].alias(n) for n in names], *extra, ORD)
 
 
 def _cells(df: DataFrame, names: list[str]) -> DataFrame:
@@ -146,8 +199,55 @@ def sqlite_rows(spark: SparkSession, content: bytes, limit: int) -> tuple[int, D
 READERS = {".csv": read_csv, ".json": read_json, ".xlsx": read_excel, ".xls": read_excel, ".sql": read_sql}
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
+def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
+    """The table at path by the reader of its extension; options go to that reader (multi_line, corrupt, unescape)."""
     reader = READERS.get(extension(path))
     if reader is None:
         raise UnsupportedFormat(extension(path))
-    return reader(spark, path)
+    return reader(spark, path, **options)
+
+
+DATABASES = (".db", ".sqlite", ".sqlite3")
+
+
+@dataclass(frozen=True)
+class FileInfo:
+    """Rows, columns, names, megabytes and the first rows of a file; error says why the rest is missing."""
+
+    rows: int
+    cols: int
+    names: list[str]
+    mb: float
+    sample: DataFrame | None
+    error: str | None
+
+
+def file_size(spark: SparkSession, path: str) -> int:
+    """Bytes of all files at path, through Spark's own file system."""
+    return spark.read.format("binaryFile").load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
+
+
+def count_rows(spark: SparkSession, path: str) -> int:
+    """Rows by the rule of the format: a CSV's physical lines less its header, the records of all others."""
+    kind = extension(path)
+    if kind == ".csv":
+        return max(0, look(spark, path).lines - 1)
+    if kind in DATABASES:
+        return read_sqlite(spark, path, 0)[0]
+    return read_table(spark, path).count()
+
+
+def file_info(spark: SparkSession, path: str) -> FileInfo:
+    """What an upload is asked for. Problems are told in error, not raised."""
+    size = 0
+    try:
+        size = file_size(spark, path)
+        rows = count_rows(spark, path)
+        few = sample_size(rows)
+        sample = read_sqlite(spark, path, few)[1] if extension(path) in DATABASES else head(read_table(spark, path), few, ORD)
+        names = [c for c in sample.columns if c != ORD]
+        if not rows or not names:
+            return FileInfo(rows, 0, [], round(size / 2**20, 1), None, "the file has no rows")
+        return FileInfo(rows, len(names), names, round(size / 2**20, 1), sample.drop(ORD), None)
+    except Exception as e:  # any reader's own errors
+        return FileInfo(-1 if size else 0, 0, [], round(size / 2**20, 1), None, f"{type(e).__name__}: {str(e).splitlines()[0][:300]}")

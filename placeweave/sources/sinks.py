@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import tempfile
+from collections.abc import Iterable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_literal
@@ -15,9 +18,32 @@ def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
 
 
-def write_json(df: DataFrame, path: str) -> None:
-    """One object a line, nulls written."""
-    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+def write_json(df: DataFrame, path: str, array: bool = False) -> None:
+    """One object a line, nulls written; or, as array, one file with an array of objects."""
+    if not array:
+        df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+        return
+    if df.isEmpty():
+        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+        return
+    rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
+    _in_one_file(rows, path, "[", ",", "]")
+
+
+def _in_one_file(rows: DataFrame, path: str, first: str, between: str, last: str) -> None:
+    """The texts of rows (column value, one at least) in their order, streamed through one task, with what stands around them."""
+
+    def around(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = ""  # there is a row
+        yield pd.DataFrame({"value": [first]})
+        for b in batches:
+            for text in b["value"]:
+                if held:
+                    yield pd.DataFrame({"value": [held + between]})
+                held = text
+        yield pd.DataFrame({"value": [held + last]})
+
+    rows.coalesce(1).mapInPandas(around, "value string").write.mode("overwrite").text(path)
 
 
 def insert_rows(df: DataFrame) -> Column:
@@ -25,28 +51,56 @@ def insert_rows(df: DataFrame) -> Column:
     return F.concat(F.lit("("), F.concat_ws(", ", *[sql_literal(F.col(f"`{n}`"), kind) for n, kind in df.dtypes]), F.lit(")"))
 
 
-def write_sql(df: DataFrame, path: str, table: str = "converted_addresses") -> None:
-    """A dump of single-row INSERT statements, one a line, so that parts are written side by side."""
+# Fixed value: what stands in a dump without rows.
+NO_ROWS = "-- Không có dữ liệu hợp lệ để tạo câu lệnh INSERT"
+
+
+def write_sql(df: DataFrame, path: str, table: str = "converted_addresses", one_statement: bool = False) -> None:
+    """A dump of single-row INSERT statements, one a line, so that parts are written side by side.
+
+    one_statement: a single multi-row INSERT in one file. Without rows the dump is a comment line.
+    """
     names = ", ".join(df.columns)
-    df.select(F.concat(F.lit(f"INSERT INTO {table} ({names}) VALUES "), insert_rows(df), F.lit(";"))).write.mode("overwrite").text(path)
+    if df.isEmpty():
+        df.sparkSession.createDataFrame([(NO_ROWS,)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    elif one_statement:
+        _in_one_file(df.select(insert_rows(df).alias("value")), path, f"INSERT INTO {table} ({names}) VALUES", ",", ";")
+    else:
+        df.select(F.concat(F.lit(f"INSERT INTO {table} ({names}) VALUES "), insert_rows(df), F.lit(";"))).write.mode("overwrite").text(path)
+
+
+def put(spark: SparkSession, local: str, path: str) -> None:
+    """A file of the driver's disk to any store that Spark reaches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    source = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"file://{local}")
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, source, target)
 
 
 def write_excel(df: DataFrame, path: str) -> str:
-    """One workbook on the driver's disk, streamed partition by partition; returns the real path."""
+    """One workbook, streamed partition by partition through a file of the driver's; returns the real path."""
     path = os.path.splitext(path)[0] + ".xlsx"
-    xlsx.write(path, df.columns, (list(r) for r in df.toLocalIterator()))
+    with tempfile.NamedTemporaryFile(suffix=".xlsx") as f:
+        xlsx.write(f.name, df.columns, (list(r) for r in df.toLocalIterator()))
+        put(df.sparkSession, f.name, path)
     return path
 
 
 WRITERS = {".csv": write_csv, ".json": write_json, ".sql": write_sql, ".xlsx": write_excel, ".xls": write_excel}
 
 
-def output_name(path: str, mode: str) -> str:
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether something is at path, in any store that Spark reaches."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
+
+
+def output_name(path: str, mode: str, spark: SparkSession | None = None) -> str:
     """{stem}_convert_success or _convert_error, with (1), (2), ... where the name is taken."""
     stem, ext = os.path.splitext(path)
     base = f"{stem}_convert_{mode}"
+    taken = os.path.exists if spark is None else lambda p: exists(spark, p)
     name, k = base + ext, 0
-    while os.path.exists(name):
+    while taken(name):
         k += 1
         name = f"{base}({k}){ext}"
     return name

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterable
+from datetime import datetime, time, timedelta
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape
 
@@ -29,8 +30,45 @@ def _letters(i: int) -> str:
     return out
 
 
+# Numbers of the built-in date and time formats.
+DATES = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
+
+
+def _is_date(code: str) -> bool:
+    """Whether a format shows days or times: a letter of theirs outside quotes, brackets and escapes."""
+    return bool(re.search("[dmyhs]", re.sub(r'"[^"]*"|\[(?!h+\]|m+\]|s+\])[^\]]*\]|\\.|_.|General', "", code, flags=re.I), re.I))
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a date or a time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    styles = ElementTree.fromstring(z.read("xl/styles.xml"))
+    own = {int(f.get("numFmtId")) for f in styles.findall("m:numFmts/m:numFmt", _NS) if _is_date(f.get("formatCode", ""))}
+    plain = {int(f.get("numFmtId")) for f in styles.findall("m:numFmts/m:numFmt", _NS)} - own
+    return {i for i, x in enumerate(styles.findall("m:cellXfs/m:xf", _NS)) if int(x.get("numFmtId", "0")) in (DATES | own) - plain}
+
+
+def moment(serial: float, from_1904: bool = False) -> str:
+    """A serial day number as ISO text; below one it is a time of day."""
+    if 0 <= serial < 1 and not from_1904:
+        return (datetime.min + timedelta(seconds=round(serial * 86400))).time().isoformat() if serial else time().isoformat()
+    if not from_1904 and serial < 60:
+        serial += 1  # the format counts a 29 February 1900
+    base = datetime(1904, 1, 1) if from_1904 else datetime(1899, 12, 30)
+    return (base + timedelta(days=int(serial), milliseconds=round((serial - int(serial)) * 86_400_000))).isoformat()
+
+
+def number(text: str) -> str:
+    """A stored number as Python prints it: no exponents or stray digits where the value needs none."""
+    try:
+        return str(int(text))
+    except ValueError:
+        return repr(float(text))
+
+
 def read(data: bytes) -> list[list[str | None]]:
-    """All rows of the active sheet as texts, header first; absent cells are None."""
+    """All rows of the active sheet as texts, header first; absent cells are None, dates are ISO texts."""
     with zipfile.ZipFile(io.BytesIO(data)) as z:
         strings = []
         if "xl/sharedStrings.xml" in z.namelist():
@@ -43,6 +81,9 @@ def read(data: bytes) -> list[list[str | None]]:
         links = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
         target = links[sheet.get(_REL)].lstrip("/")
         body = ElementTree.fromstring(z.read(target if target.startswith("xl/") else f"xl/{target}"))
+        dates = _date_styles(z)
+        properties = book.find("m:workbookPr", _NS)
+        from_1904 = properties is not None and properties.get("date1904") in ("1", "true")
     rows: list[list[str | None]] = []
     for row in body.findall("m:sheetData/m:row", _NS):
         while len(rows) < int(row.get("r", len(rows) + 1)) - 1:
@@ -55,12 +96,22 @@ def read(data: bytes) -> list[list[str | None]]:
             if kind == "inlineStr":
                 cells[at] = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
             elif value is not None and value.text is not None:
-                cells[at] = strings[int(value.text)] if kind == "s" else {"0": "FALSE", "1": "TRUE"}.get(value.text, value.text) if kind == "b" else value.text
+                cells[at] = _shown(value.text, kind, strings, int(c.get("s", "0")) in dates, from_1904)
         rows.append(cells)
     width = max(map(len, rows), default=0)
     return [r + [None] * (width - len(r)) for r in rows]
 
 
+def _shown(text: str, kind: str | None, strings: list[str], date: bool, from_1904: bool) -> str:
+    if kind == "s":
+        return strings[int(text)]
+    if kind == "b":
+        return {"0": "False", "1": "True"}.get(text, text)
+    if kind in (None, "n"):
+        return moment(float(text), from_1904) if date else number(text)
+    return text
+
+
 def header_of(row: list[str | None]) -> list[str]:
     return [f"col_{i}" if h is None else str(h) for i, h in enumerate(row)]
 

@@ -4,20 +4,25 @@ from __future__ import annotations
 
 import json
 import math
+import secrets
+import string
+import time
 from datetime import date, datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators.edits import latest
+from .operators.edits import latest, merged
 
 # The fields of a task and their defaults.
 DEFAULTS = {
-    "filename": "", "filesize": 0, "status": "pending", "progress": 0, "message": "", "suggested_workers": 1, "n_workers": 1,
-    "pending_groups": [], "selected_groups": [], "columns": [], "step": 0, "result": None,
+    "filename": "", "filesize": 0, "status": "pending", "progress": 0, "message": "Đang chờ xử lý...", "suggested_workers": 1, "n_workers": 1,
+    "pending_groups": [], "selected_groups": [], "columns": [], "step": 0, "result": None, "created_at": None,
 }
-LOG = "task_id string, body string, at timestamp"
-EDITS = "task_id string, row_index int, edited map<string,string>, edited_at timestamp"
+LOG = "task_id string, body string, at timestamp, seq long"
+EDITS = "task_id string, row_index int, edited map<string,string>, original string, edited_at timestamp, seq long"
+ID_LETTERS = string.digits + string.ascii_letters + "_-"
 
 
 def plain(value):
@@ -34,23 +39,37 @@ def plain(value):
 
 
 def progress(value) -> int:
-    return max(0, min(100, int(value)))
+    return max(0, min(100, int(value or 0)))
+
+
+def progress_of(share: Column) -> Column:
+    """progress as an expression."""
+    return F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(share, F.lit(0)).cast("int"))).cast("int")
+
+
+def new_id(size: int = 14) -> str:
+    return "".join(secrets.choice(ID_LETTERS) for _ in range(size))
+
+
+def elapsed(began: float) -> str:
+    """Seconds since began (a time.time()), as messages show them."""
+    return f"{time.time() - began:.1f}s"
 
 
 class TaskStore:
     """Create, update and find tasks; add and read edits."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.tasks, self.edits = spark, f"{folder}/tasks", f"{folder}/edits"
+        self.spark, self.folder, self.tasks, self.edits = spark, folder, f"{folder}/tasks", f"{folder}/edits"
 
     def _log(self, task_id: str, body: dict) -> None:
-        row = (task_id, json.dumps(plain(body), ensure_ascii=False), datetime.now(timezone.utc))
+        row = (task_id, json.dumps(plain(body), ensure_ascii=False), datetime.now(timezone.utc), time.time_ns())
         self.spark.createDataFrame([row], LOG).write.mode("append").parquet(self.tasks)
 
     def create(self, task_id: str, **fields) -> dict:
-        body = DEFAULTS | {k: v for k, v in fields.items() if k in DEFAULTS}
+        body = DEFAULTS | {"created_at": datetime.now(timezone.utc)} | {k: v for k, v in fields.items() if k in DEFAULTS}
         self._log(task_id, body)
-        return body
+        return plain(body)
 
     def update(self, task_id: str, **fields) -> dict | None:
         """Unknown fields are ignored; progress is held in 0..100."""
@@ -66,16 +85,34 @@ class TaskStore:
 
     def get(self, task_id: str) -> dict | None:
         rows = self.spark.read.schema(LOG).parquet(self.tasks).filter(F.col("task_id") == task_id)
-        row = latest(rows, ["task_id"], F.desc("at")).first()
-        return None if row is None else {"task_id": task_id} | json.loads(row["body"])
+        row = latest(rows, ["task_id"], F.desc("at"), F.desc("seq")).first()
+        return None if row is None or row["body"] is None else {"task_id": task_id} | json.loads(row["body"])
+
+    def delete(self, task_id: str) -> None:
+        """The task is gone, and with it all its edits so far."""
+        row = (task_id, None, datetime.now(timezone.utc), time.time_ns())
+        self.spark.createDataFrame([row], LOG).write.mode("append").parquet(self.tasks)
 
-    def add_edit(self, task_id: str, row_index: int, edited: dict[str, str | None]) -> None:
-        row = (task_id, row_index, edited, datetime.now(timezone.utc))
+    def add_edit(self, task_id: str, row_index: int, edited: dict[str, str | None], original: dict | None = None) -> None:
+        shown = None if original is None else json.dumps(plain(original), ensure_ascii=False)
+        row = (task_id, row_index, edited, shown, datetime.now(timezone.utc), time.time_ns())
         self.spark.createDataFrame([row], EDITS).write.mode("append").parquet(self.edits)
 
+    def _edits(self, task_id: str) -> DataFrame:
+        try:
+            made = self.spark.read.schema(EDITS).parquet(self.edits).filter(F.col("task_id") == task_id)
+        except AnalysisException:  # no edit was ever made
+            return self.spark.createDataFrame([], EDITS)
+        log = self.spark.read.schema(LOG).parquet(self.tasks).filter(F.col("task_id") == task_id)
+        gone = log.agg(F.max(F.when(F.col("body").isNull(), F.col("seq")))).first()[0]
+        return made if gone is None else made.filter(F.col("seq") > gone)
+
     def edits_of(self, task_id: str) -> DataFrame:
-        """One edit per row: later ones add to and replace fields of earlier ones."""
-        rows = self.spark.read.schema(EDITS).parquet(self.edits).filter(F.col("task_id") == task_id)
-        fields = rows.select("row_index", "edited_at", F.explode("edited").alias("k", "v"))
-        newest = latest(fields, ["row_index", "k"], F.desc("edited_at"))
-        return newest.groupBy("row_index").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("edited"))
+        """One edit per row: later ones add to and replace fields of earlier ones; one without fields still marks its row."""
+        return merged(self._edits(task_id), ["row_index"], "edited", F.desc("edited_at"), F.desc("seq"))
+
+    def original_of(self, task_id: str, row_index: int) -> dict | None:
+        """The row as it was before its first edit."""
+        rows = self._edits(task_id).filter((F.col("row_index") == row_index) & F.col("original").isNotNull())
+        row = latest(rows, ["row_index"], "edited_at", "seq").first()
+        return None if row is None else json.loads(row["original"])

@@ -121,7 +121,7 @@ def test_engine_end_to_end(spark, tmp_path, mapping):
     (tmp_path / "in.csv").write_text("province,district,ward,note\nA,B,C,1\nA,E,F,2\nx,y,z,3\nA,B,D,4\nH,I,1,5\n")
     path = str(tmp_path / "in.csv")
     groups = engine.detect(path)
-    assert [(g.province, g.district, g.ward) for g in groups] == [("province", "district", "ward")] or groups == []
+    assert groups == []  # four of five rows match, and a candidate needs more than that
     base = engine.convert(engine.read(path), [AddressGroup(province="province", district="district", ward="ward")])
     engine.tasks.create("t1", filename="in.csv", bogus=1)
     assert engine.tasks.update("t1", progress=120.5, step=2)["progress"] == 100 and engine.tasks.get("t0") is None

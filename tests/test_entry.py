@@ -21,7 +21,7 @@ def db():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"jaro_winkler_pairs", "greedy_grouping"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"jaro_winkler_pairs"}))
 def test_query_equals_sql(spark, db, name):
     assert rows(queries.QUERIES[name](spark, SF).toPandas()) == rows(db.execute(oracles.ORACLE_SQL[name]).df())
 
