@@ -44,8 +44,8 @@ RADIUS = 20
 RADIUS_FIVE = 24
 CELLS = ORDERS * (BITS // GROUP)
 #: A block of a family: texts and shingles, about. They set how the work is dealt, never what is compared.
-BLOCK_TEXTS = 2048
-BLOCK_SHINGLES = 1 << 21
+BLOCK_TEXTS = 1024
+BLOCK_SHINGLES = 1 << 20
 #: Members of families (one number each) up to which their list is broadcast; beyond, texts meet it by a shuffle.
 BROADCAST_MEMBERS = 500_000
 

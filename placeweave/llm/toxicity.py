@@ -51,7 +51,9 @@ DRIFT = math.log(1 - DENSITY)
 #: Expected numbers in clean text from which the fit chooses what counts as significant.
 E_VALUES = (0.05, 0.01, 1e-3, 1e-4, 1e-5)
 FOLDS = 2
-CACHE_WORDS = 500_000
+#: Words whose scores a scanner keeps, and forms that a worker counts before it passes them on.
+CACHE_WORDS = 150_000
+COUNT_FORMS = 50_000
 TOKEN = re.compile(r"[^\W\d_]+")
 
 
@@ -225,12 +227,15 @@ def fit(docs: DataFrame, sample: DataFrame, id_col: str = "doc_id", text_col: st
     known = common.materialise(known.withColumn("fold", F.pmod(F.xxhash64("id", F.lit("fold")), F.lit(FOLDS)).cast("int")), "labelled")
 
     def count(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[str, list[int]] = {}
         for b in batches:
-            sums: dict[str, list[int]] = {}
             for text, y, fold in zip(b["text"], b["y"], b["fold"], strict=True):
                 for w in {f for w in set(tokens(text)) for f in forms(w)}:
                     sums.setdefault(w, [0] * (2 * FOLDS))[2 * fold + y] += 1
-            yield pd.DataFrame([[w, *v] for w, v in sums.items()], columns=["word", *names])
+                if len(sums) >= COUNT_FORMS:
+                    yield pd.DataFrame([[w, *v] for w, v in sums.items()], columns=["word", *names])
+                    sums = {}
+        yield pd.DataFrame([[w, *v] for w, v in sums.items()], columns=["word", *names])
 
     names = [f"{side}{k}" for k in range(FOLDS) for side in ("clean", "toxic")]
     words = known.mapInPandas(count, "word string, " + ", ".join(f"{c} long" for c in names)).groupBy("word").agg(*[F.sum(c).alias(c) for c in names])
