@@ -1,10 +1,16 @@
 """Nearest vectors by largest inner product: vantage-point trees per shard, relaxed pruning.
 
-Vectors of a shard are lifted by one coordinate to equal norm, so that the largest inner product is
-the smallest Euclidean distance. A tree node splits its points by distance to a vantage point; a
-subtree is passed over when the triangle inequality puts all its points beyond `factor` times the
-distance of the k-th nearest found so far. factor 1 never passes over a nearer point: exact search.
-Smaller factors prune more.
+Vectors are lifted by one coordinate to equal norm, so that the largest inner product is the smallest
+Euclidean distance. A tree node splits its points by distance to a vantage point; a subtree is
+passed over when the triangle inequality puts all its points beyond `factor` times the distance of
+the k-th nearest found so far. factor 1 never passes over a nearer point: exact search. Smaller
+factors prune more.
+
+Shards are the leaves of a small tree of the same kind over all vectors, whose vantage points come
+from a sample of LEAF_SAMPLE vectors a leaf, MAX_LEAVES leaves at most; every vector is indexed in
+the leaf it falls into, and leaves that hold many are divided by a hash. Each shard's tree is built
+once and written. A query goes to its own leaf first and takes the distance of its k-th nearest
+along; then it goes to those leaves only that the rule above does not pass over.
 
 Equal vectors are one point with the least ids that could still be asked for, so a vector that many
 rows share costs as much as one. Ties go to the smaller id.
@@ -12,7 +18,8 @@ rows share costs as much as one. Ties go to the smaller id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import pickle
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,6 +32,9 @@ from . import common
 LEAF = 64
 SHARD_VECTORS = 4096
 BLOCK_QUERIES = 4096
+#: Leaves of the tree that deals vectors to shards, at most, and vectors drawn for each.
+MAX_LEAVES = 2048
+LEAF_SAMPLE = 32
 
 
 @dataclass
@@ -41,10 +51,10 @@ class Node:
 class Tree:
     """Points are rows of x (float64); the query side is batched."""
 
-    def __init__(self, x: np.ndarray, leaf: int = LEAF):
+    def __init__(self, x: np.ndarray, leaf: int = LEAF, top: float | None = None):
         self.x, self.leaf = x, leaf
         self.sq = np.einsum("ij,ij->i", x, x)
-        self.top = float(self.sq.max()) if len(x) else 0.0
+        self.top = top if top is not None else float(self.sq.max()) if len(x) else 0.0  # squared norm that all are lifted to
         self.lift = np.sqrt(np.maximum(0.0, self.top - self.sq))
         self.root = self._build(np.arange(len(x)))
 
@@ -64,9 +74,13 @@ class Tree:
         dot = self.x[points] @ self.x[v] + self.lift[points] * self.lift[v]
         return np.sqrt(np.maximum(0.0, 2 * self.top - 2 * dot))
 
-    def search(self, q: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Point numbers (-1: none) and inner products of the k nearest, nearest first, ties to the lesser number."""
+    def search(self, q: np.ndarray, k: int, factor: float, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Point numbers (-1: none) and inner products of the k nearest, nearest first, ties to the lesser number.
+
+        floor: for each query an inner product below which nothing is wanted any more.
+        """
         n = len(q)
+        floor = np.full(n, -np.inf) if floor is None else floor
         best = np.full((n, k), -np.inf)
         ids = np.full((n, k), -1, dtype=np.int64)
         qq = np.einsum("ij,ij->i", q, q)
@@ -110,7 +124,7 @@ class Tree:
             d = distance(node, act)
             for (lo, hi), child in ((node.low, node.inner), (node.high, node.outer)):
                 bound = np.maximum(0.0, np.maximum(lo - d, d - hi))
-                reach = qq[act] + self.top - 2 * best[act, -1]  # infinite while fewer than k are found
+                reach = qq[act] + self.top - 2 * np.maximum(best[act, -1], floor[act])  # infinite while fewer than k are found
                 walk(child, act[bound * bound <= factor * factor * np.maximum(0.0, reach) + slack[act]])
 
         descend(self.root, np.arange(n))
@@ -119,6 +133,118 @@ class Tree:
         return ids, best
 
 
+class Router:
+    """The tree over all vectors whose leaves are shards: built from a sample, the same for points and queries."""
+
+    def __init__(self, sample: np.ndarray, leaves: int, top: float):
+        self.top, self.leaves = top, 0
+        self.vantage: list[np.ndarray] = []
+        self.lift: list[float] = []
+        self.split: list[float] = []
+        self.paths: dict[int, list[int]] = {}  # leaf -> nodes from the root
+        self.root = self._build(sample, leaves, [])
+        self.x = np.stack(self.vantage) if self.vantage else np.empty((0, sample.shape[1] if sample.ndim == 2 else 0))
+        self.low: dict[int, list[float]] = {}
+        self.high: dict[int, list[float]] = {}
+
+    def _lift(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(np.maximum(0.0, self.top - np.einsum("ij,ij->i", x, x)))
+
+    def _build(self, points: np.ndarray, leaves: int, path: list[int]) -> tuple:
+        if leaves <= 1 or len(points) < 2:
+            self.leaves += 1
+            self.paths[self.leaves - 1] = path
+            return (self.leaves - 1,)
+        lift = self._lift(points)
+        between = lambda i: np.sqrt(np.maximum(0.0, 2 * self.top - 2 * (points @ points[i] + lift * lift[i])))
+        v = int(between(0).argmax())  # a far point from the first one
+        d = between(v)
+        order = np.argsort(d, kind="stable")
+        half = len(points) * (leaves // 2) // leaves
+        node = len(self.vantage)
+        self.vantage.append(points[v])
+        self.lift.append(float(lift[v]))
+        self.split.append(float((d[order[half - 1]] + d[order[half]]) / 2) if half else float(d[order[0]]))
+        return node, self._build(points[order[:half]], leaves // 2, [*path, node]), self._build(points[order[half:]], leaves - leaves // 2, [*path, node])
+
+    def distances(self, x: np.ndarray, lift: np.ndarray | float) -> np.ndarray:
+        """[vector, node]; queries have a lift of zero and keep their own norm."""
+        own = np.einsum("ij,ij->i", x, x) + np.asarray(lift) ** 2
+        dot = x @ self.x.T + np.multiply.outer(np.broadcast_to(lift, len(x)), np.array(self.lift))
+        return np.sqrt(np.maximum(0.0, own[:, None] + self.top - 2 * dot))
+
+    def leaf_of(self, d: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(d), dtype=np.int64)
+
+        def go(node: tuple, rows: np.ndarray) -> None:
+            if len(node) == 1:
+                out[rows] = node[0]
+                return
+            near = d[rows, node[0]] <= self.split[node[0]]
+            go(node[1], rows[near])
+            go(node[2], rows[~near])
+
+        go(self.root, np.arange(len(d)))
+        return out
+
+    def place(self, x: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+        """The leaf of each point, and its distances to the nodes above that leaf."""
+        d = self.distances(x, self._lift(x))
+        leaf = self.leaf_of(d)
+        return leaf, [row[self.paths[i]] for row, i in zip(d, leaf.tolist(), strict=True)]
+
+    def visits(self, q: np.ndarray, floor: np.ndarray, factor: float, home_only: bool) -> Iterator[tuple[np.ndarray, int]]:
+        """(queries, leaf) for each leaf to be looked into: each query's own, or all others that floor and factor leave."""
+        d = self.distances(q, 0.0)
+        home = self.leaf_of(d)
+        qq = np.einsum("ij,ij->i", q, q)
+        reach = np.maximum(0.0, qq + self.top - 2 * floor)
+        slack = 1e-9 * (1.0 + self.top + qq)
+        for leaf, path in self.paths.items():
+            if leaf not in self.low:  # no point lies there
+                continue
+            if home_only:
+                rows = np.flatnonzero(home == leaf)
+            else:
+                own = d[:, path]
+                bound = np.maximum(0.0, np.maximum(np.array(self.low[leaf]) - own, own - np.array(self.high[leaf]))).max(axis=1, initial=0.0)
+                rows = np.flatnonzero((home != leaf) & (bound * bound <= factor * factor * reach + slack))
+            if len(rows):
+                yield rows, leaf
+
+
+class Shard:
+    """A tree over the distinct vectors of a shard, with the ids that share each."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, top: float):
+        distinct, inverse = np.unique(x, axis=0, return_inverse=True)
+        inverse = inverse.ravel()
+        order = np.lexsort((ids, inverse))  # ids ascend within equal vectors
+        starts = np.searchsorted(inverse[order], np.arange(len(distinct) + 1))
+        # Number distinct vectors by their least id, so that the tree's ties go the right way.
+        by = np.argsort(ids[order[starts[:-1]]], kind="stable")
+        self.tree = Tree(distinct[by], top=top)
+        groups = [ids[order[starts[p] : starts[p + 1]]] for p in by]
+        self.sizes = np.array([len(g) for g in groups])
+        self.flat, self.first = np.concatenate(groups), np.concatenate([[0], np.cumsum(self.sizes)[:-1]])
+
+    def nearest(self, names: np.ndarray, q: np.ndarray, floor: np.ndarray, k: int, factor: float) -> pd.DataFrame:
+        """query_id, vec_id, score: the k nearest of each query but itself, none below its floor."""
+        points, _ = self.tree.search(q, k + 1, factor, floor)
+        qi, slot = np.nonzero(points >= 0)
+        p = points[qi, slot]
+        scores = np.einsum("ij,ij->i", q[qi], self.tree.x[p])
+        reps = self.sizes[p]
+        within = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
+        rq, rv, rs = np.repeat(qi, reps), self.flat[np.repeat(self.first[p], reps) + within], np.repeat(scores, reps)
+        kept = names[rq] != rv
+        rq, rv, rs = rq[kept], rv[kept], rs[kept]
+        order = np.lexsort((rv, -rs, rq))
+        rq, rv, rs = rq[order], rv[order], rs[order]
+        kept = np.arange(len(rq)) - np.searchsorted(rq, rq) < k
+        return pd.DataFrame({"query_id": names[rq[kept]], "vec_id": rv[kept], "score": rs[kept]})
+
+
 def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """id, v: rows whose vector is neither null, empty nor zero and has finite components only."""
     v = F.transform(F.col(vec_col), lambda x: x.cast("double"))
@@ -126,68 +252,99 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     return vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
+FOUND = "query_id long, vec_id long, score double"
+
+
+def _matrix(v: pd.Series) -> np.ndarray:
+    return np.stack(v.to_numpy()).astype(np.float64)
+
+
+def _routers(points: DataFrame, shard_vectors: int) -> tuple[dict[int, Router], dict[int, float]]:
+    """A router for each length of vectors, from a bounded sample of points (h, v, width)."""
+    squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    stats = points.groupBy("width").agg(F.count("*").alias("n"), F.max(squares).alias("top")).collect()  # a row for each length
+    leaves = {r["width"]: max(1, min(MAX_LEAVES, -(-r["n"] // shard_vectors))) for r in stats}
+    top = {r["width"]: float(r["top"]) * (1 + 1e-12) for r in stats}
+    most = LEAF_SAMPLE * max(leaves.values(), default=1)
+    number = F.row_number().over(Window.partitionBy("width").orderBy(F.xxhash64("h", F.lit("sample")), "id"))
+    sample = points.select("width", "id", "h", "v").withColumn("n", number).filter(F.col("n") <= most).toPandas()
+    return {w: Router(_matrix(part["v"]), leaves[w], top[w]) for w, part in sample.groupby("width")}, top
+
+
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 0.6, id_col: str = "vec_id", vec_col: str = "embedding", shard_vectors: int = SHARD_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: for each query row its k nearest rows of vectors but itself.
 
     Null, zero and non-finite vectors take no part, nor do vectors of another length than the query's;
-    repeated ids count once per vector. Shards by a hash of the vector hold about shard_vectors
-    distinct vectors; blocks of queries meet every shard, and only k rows of each meeting go on.
+    repeated ids count once per vector, a query id with several vectors asks with the least of each
+    length. Only k rows of each meeting of a query and a shard go on. No vectors or no queries: no rows.
     """
     spark = vectors.sparkSession
-    base = common.materialise(valid(vectors, id_col, vec_col).withColumn("h", F.xxhash64("v")), "vectors")
-    asked = valid(queries, id_col, vec_col).withColumn("h", F.xxhash64("v"))
+    width = F.size("v").alias("width")
+    base = common.materialise(valid(vectors, id_col, vec_col).select("id", "v", F.xxhash64("v").alias("h"), width), "vectors")
+    asked = valid(queries, id_col, vec_col).select("id", "v", width).groupBy("id", "width").agg(F.min("v").alias("v"))
+    asked = common.materialise(asked, "queries")
     # Of equal vectors the k + 1 least ids are all that any query can need.
     ranked = base.distinct().withColumn("n", F.row_number().over(Window.partitionBy("h", "v").orderBy("id"))).filter(F.col("n") <= k + 1)
     points = common.materialise(ranked.drop("n"), "points")
-    shards = max(1, -(-points.count() // shard_vectors))
-    n_queries = asked.count()
-    blocks = max(1, -(-n_queries // block_queries))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = points.select(F.pmod("h", F.lit(shards)).cast("int").alias("shard"), "id", "v").withColumn("block", each(blocks))
-    right = asked.select(F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block"), "id", "v").withColumn("shard", each(shards))
-
-    def meet(own: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
-        rows: list[pd.DataFrame] = []
-        empty = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        own, theirs = own.assign(width=own["v"].map(len)), theirs.assign(width=theirs["v"].map(len))
-        for width, part in own.groupby("width"):
-            q = theirs[theirs["width"] == width].drop_duplicates("id")
-            if len(q):
-                rows.append(_meet(part.sort_values("id", kind="stable"), q, k, factor))
-        return pd.concat(rows, ignore_index=True) if rows else empty
-
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInPandas(meet, "query_id long, vec_id long, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    routers, top = _routers(points, shard_vectors)
+    if not routers:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+
+    def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for w, part in b.groupby("width"):
+                leaf, path = routers[w].place(_matrix(part["v"]))
+                yield pd.DataFrame({"width": w, "leaf": leaf, "path": path, "id": part["id"].to_numpy(), "v": part["v"].to_numpy(), "h": part["h"].to_numpy()})
+
+    routed = common.materialise(points.select("id", "v", "h", "width").mapInPandas(route, "width int, leaf int, path array<double>, id long, v array<double>, h long"), "routed")
+    ends = routed.select("width", "leaf", F.posexplode_outer("path").alias("at", "d")).groupBy("width", "leaf", "at").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n"))
+    subs: dict[tuple[int, int], int] = {}
+    for r in ends.orderBy("width", "leaf", "at").collect():  # a few numbers for each leaf
+        router = routers[r["width"]]
+        for known, value in ((router.low, r["low"]), (router.high, r["high"])):
+            known.setdefault(r["leaf"], []).extend([] if r["at"] is None else [value])
+        subs[r["width"], r["leaf"]] = max(1, round(r["n"] / shard_vectors))
 
+    divided = F.coalesce(*[F.when((F.col("width") == w) & (F.col("leaf") == leaf), n) for (w, leaf), n in subs.items() if n > 1], F.lit(1))
+    sharded = routed.withColumn("sub", F.pmod("h", divided).cast("int"))
 
-def _meet(own: pd.DataFrame, asked: pd.DataFrame, k: int, factor: float) -> pd.DataFrame:
-    x = np.stack(own["v"].to_numpy()).astype(np.float64)
-    ids = own["id"].to_numpy()
-    distinct, inverse = np.unique(x, axis=0, return_inverse=True)
-    inverse = inverse.ravel()
-    order = np.argsort(inverse, kind="stable")  # ids stay ascending within equal vectors
-    starts = np.searchsorted(inverse[order], np.arange(len(distinct) + 1))
-    # Number distinct vectors by their least id, so that the tree's ties go the right way.
-    least = ids[order[starts[:-1]]]
-    by = np.argsort(least, kind="stable")
-    tree = Tree(distinct[by])
-    q = np.stack(asked["v"].to_numpy()).astype(np.float64)
-    names = asked["id"].to_numpy()
-    points, _ = tree.search(q, k + 1, factor)
-    groups = [ids[order[starts[p] : starts[p + 1]]] for p in by]
-    sizes = np.array([len(g) for g in groups])
-    flat, first = np.concatenate(groups), np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    qi, slot = np.nonzero(points >= 0)
-    p = points[qi, slot]
-    scores = np.einsum("ij,ij->i", q[qi], tree.x[p])
-    reps = sizes[p]
-    within = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    rq, rv, rs = np.repeat(qi, reps), flat[np.repeat(first[p], reps) + within], np.repeat(scores, reps)
-    kept = names[rq] != rv
-    rq, rv, rs = rq[kept], rv[kept], rs[kept]
-    order = np.lexsort((rv, -rs, rq))
-    rq, rv, rs = rq[order], rv[order], rs[order]
-    rank = np.arange(len(rq)) - np.searchsorted(rq, rq)
-    kept = rank < k
-    return pd.DataFrame({"query_id": names[rq[kept]], "vec_id": rv[kept], "score": rs[kept]})
+    def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        tree = Shard(_matrix(rows["v"]), rows["id"].to_numpy(), top[key[0]])
+        return pd.DataFrame({"width": [key[0]], "leaf": [key[1]], "sub": [key[2]], "tree": [pickle.dumps(tree)]})
+
+    trees = sharded.select("width", "leaf", "sub", "id", "v").groupBy("width", "leaf", "sub").applyInPandas(grow, "width int, leaf int, sub int, tree binary")
+    trees = common.materialise(trees, "trees")
+
+    def search(askers: DataFrame, home_only: bool) -> DataFrame:
+        """askers (id, v, width, floor) against the leaves they visit."""
+
+        def go(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                for w, part in b.groupby("width"):
+                    if w in routers:
+                        for rows, leaf in routers[w].visits(_matrix(part["v"]), part["floor"].to_numpy(), factor, home_only):
+                            yield part.iloc[rows].assign(leaf=leaf, subs=subs[w, leaf])
+
+        visits = askers.mapInPandas(go, "id long, v array<double>, width int, floor double, leaf int, subs int")
+        visits = common.materialise(visits.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs"), "visits")
+        shard = ["width", "leaf", "sub"]
+        # As many blocks as a shard's queries need: a tree is sent once for each.
+        blocks = visits.groupBy(*shard).agg(F.ceil(F.count("*") / block_queries).cast("int").alias("blocks"))
+        dealt = visits.join(blocks, shard).withColumn("block", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+        sent = trees.join(blocks, shard).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+
+        def meet(tree: pd.DataFrame, theirs: pd.DataFrame) -> pd.DataFrame:
+            if not len(tree) or not len(theirs):
+                return pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
+            return pickle.loads(tree["tree"].iloc[0]).nearest(theirs["id"].to_numpy(), _matrix(theirs["v"]), theirs["floor"].to_numpy(), k, factor)
+
+        keys = [*shard, "block"]
+        met = sent.select(*keys, "tree").groupBy(*keys).cogroup(dealt.select(*keys, "id", "v", "floor").groupBy(*keys)).applyInPandas(meet, FOUND)
+        return common.materialise(met, "met")
+
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    first = search(asked.select("id", "v", "width", F.lit(float("-inf")).alias("floor")), True)
+    kth = first.withColumn("n", rank).filter(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
+    floored = asked.join(kth, "id", "left").select("id", "v", "width", F.coalesce("kth", F.lit(float("-inf"))).alias("floor"))
+    found = first.unionByName(search(floored, False))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
