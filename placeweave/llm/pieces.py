@@ -33,6 +33,8 @@ NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
 
 CACHE_WORDS = 600_000
+#: New words that are encoded as one text.
+RUN = 32
 _WORDS = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BYTE = re.compile("<0x([0-9A-Fa-f]{2})>")
 
@@ -164,6 +166,7 @@ class PieceCodec:
         self.known: dict[str, bytes] = {}  # word with its marks -> ids
         self.plain_words: dict[str, bytes] = {}  # the same for words after one mark, named without it
         self.breaks = self.model.breaks()
+        self.starts = np.array([p.startswith(MARK) for p, _, _ in self.model.pieces])
         self.spelled = dict(enumerate(self.model.spellings()))
         self.reference = None
 
@@ -197,14 +200,30 @@ class PieceCodec:
         new = list(set().union(*cut).difference(known))
         fresh: dict[str, bytes] = {}
         for i in range(0, len(new), 8192):
-            part = new[i : i + 8192]
             into = known if len(known) < CACHE_WORDS else fresh
-            for w, e in zip(part, self.plain.encode_batch_fast([w if w[:1] == "\n" else mark + w for w in part], add_special_tokens=False), strict=True):
-                (into if len(w) <= 40 else fresh)[w] = array("I", e.ids).tobytes()
+            for w, ids in self._words(new[i : i + 8192], mark):
+                (into if len(w) <= 40 else fresh)[w] = ids
         if not fresh:
             return [b"".join(map(known.__getitem__, c)) for c in cut]
         return [b"".join([known[w] if w in known else fresh[w] for w in c]) for c in cut]
 
+    def _words(self, words: list[str], mark: str) -> Iterator[tuple[str, bytes]]:
+        """Ids of words, by the library's own threads.
+
+        Words that begin with one mark go RUN at a time as one text: no piece holds a mark after
+        another character, so each piece with a mark begins the next word.
+        """
+        runs = [w for w in words if mark and w and w[0] != "\n"]
+        alone = [w for w in words if not mark or not w or w[0] == "\n"]
+        chunks = [runs[i : i + RUN] for i in range(0, len(runs), RUN)]
+        for own, e in zip(chunks, self.plain.encode_batch_fast([mark + mark.join(c) for c in chunks], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            data, starts = ids.tobytes(), (4 * np.flatnonzero(self.starts[ids])).tolist()
+            for w, a, b in zip(own, starts, [*starts[1:], len(data)], strict=True):
+                yield w, data[a:b]
+        for w, e in zip(alone, self.plain.encode_batch_fast([w if w[:1] == "\n" else mark + w for w in alone], add_special_tokens=False), strict=True):
+            yield w, array("I", e.ids).tobytes()
+
     def decode_batch(self, ids: list[bytes]) -> list[str]:
         """Texts of the ids, as the rebuilt decoder gives them.
 
