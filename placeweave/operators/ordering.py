@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,21 +22,44 @@ def place(key: Column, known: Column, count: int) -> Column:
     return F.aggregate(steps, F.lit(0), lambda at, s: F.when(F.get(known, at + s - 1) <= key, at + s).otherwise(at))
 
 
+#: Keys drawn for each range when rows are dealt out by their order.
+SAMPLE_PER_RANGE = 64
+
+
+def sampled_cuts(df: DataFrame, key: str, n: int) -> list:
+    """At most n - 1 ascending values of key that deal its rows out evenly, from a bounded sample.
+
+    Sampling sets only how the work is dealt; the driver gets SAMPLE_PER_RANGE values a range.
+    """
+    if n < 2:
+        return []
+    share = n * SAMPLE_PER_RANGE / max(1, df.count())
+    keys = df.select(key).filter(F.col(key).isNotNull())
+    drawn = keys if share >= 1 else keys.sample(share, seed=7)
+    found = sorted({r[0] for r in drawn.collect()})
+    return sorted({found[i * len(found) // n] for i in range(1, n)}) if found else []
+
+
+def constant_array(values: list, kind: str) -> Column:
+    """One literal whatever the number of values."""
+    return F.from_json(F.lit(json.dumps(values)), f"array<{kind}>")
+
+
 def dense_numbers(df: DataFrame, ordinal: str, name: str, ranges: int | None = None) -> DataFrame:
-    """df with the 1-based rank of `ordinal` (unique numbers), without a single task over all rows.
+    """df with the 1-based rank of `ordinal` (unique whole numbers), without a single task over all rows.
 
-    Quantiles of the ordinal cut it into ranges; the driver sees a count per range only. Rows are
-    numbered inside their range, after the rows of all ranges before it.
+    A sample of the ordinals cuts them into ranges; the driver sees it and a count per range only.
+    Rows are numbered inside their range, after the rows of all ranges before it.
     """
     spark = df.sparkSession
     n = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = sorted(set(df.select(F.col(ordinal).cast("double").alias("o")).approxQuantile("o", [i / n for i in range(1, n)], 0.2 / n))) if n > 1 else []
-    ranged = df.withColumn("_bucket", range_of(F.col(ordinal), cuts))
+    cuts = sampled_cuts(df, ordinal, n)
+    ranged = df.withColumn("_bucket", place(F.col(ordinal).cast("long"), constant_array(cuts, "bigint"), len(cuts)))
     sizes = dict(ranged.groupBy("_bucket").count().collect())  # a number for each range
     before = [0]
     for b in range(len(cuts)):
         before.append(before[-1] + sizes.get(b, 0))
-    start = F.get(F.array(*map(F.lit, before)).cast("array<bigint>"), F.col("_bucket"))
+    start = F.get(constant_array(before, "bigint"), F.col("_bucket"))
     own = F.row_number().over(Window.partitionBy("_bucket").orderBy(ordinal))
     return ranged.withColumn(name, (start + own).cast("long")).drop("_bucket")
 
