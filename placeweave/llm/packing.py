@@ -27,10 +27,11 @@ SHARD_PIECES = 16_384
 PIECES = "id long, piece int, start long, length long, ids_crc32 long"
 
 
-def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, int]:
+def sum_of_squares(lengths: np.ndarray, capacity: int, early: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
     """Bin and offset of each item in the given order, and the number of bins.
 
-    A new bin opens only where no open one has room. Ties go to the smallest gap left, then to
+    A new bin opens only where no open one has room; with early, as the textbook has it, also where
+    that makes the sum smaller than any open bin does. Ties go to an open bin, among these to the smallest gap left, then to
     the bin opened last at that gap. Lengths lie in 1..capacity; anything else is an error.
     """
     if len(lengths) and (lengths.min() < 1 or lengths.max() > capacity):
@@ -45,7 +46,8 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
         cost = np.where(count[s:] > 0, 1 - 2 * count[s:], never)
         cost[1:] += 2 * count[1 : capacity + 1 - s] + 1
         best = int(cost.argmin())
-        if cost[best] < never:
+        new = 2 * int(count[capacity - s]) + 1 if capacity > s else 0  # growth for a bin of its own
+        if cost[best] < never and not (early and new < cost[best]):
             gap = s + best
             b = at[gap].pop()
             count[gap] -= 1
@@ -84,8 +86,8 @@ def pieces_of(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, id_co
     return plain.mapInPandas(cut, PIECES)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES) -> DataFrame:
-    """pieces with sequence_id and offset. pieces is read twice, so it should be materialised."""
+def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIECES, early: bool = False) -> DataFrame:
+    """pieces with sequence_id and offset. pieces is read twice, so it should be materialised. early: as in sum_of_squares."""
     shards = max(1, -(-pieces.count() // shard_pieces))
     shard = F.pmod(F.xxhash64("id", "piece", "ids_crc32"), F.lit(shards)).cast("int")
     dealt = pieces.select(*common.id_columns("id"), *[c for c in pieces.columns if c != "id"], shard.alias("shard"))
@@ -95,7 +97,7 @@ def pack_pieces(pieces: DataFrame, capacity: int, shard_pieces: int = SHARD_PIEC
             for key, rows in whole.groupby("shard", sort=False):
                 # Longest first; the rest of the order only makes a repeated task give the same bins.
                 rows = rows.sort_values(["length", "no_id", "id", "piece", "ids_crc32"], ascending=[False, True, True, True, True], kind="stable")
-                bins, offsets, _ = sum_of_squares(rows["length"].to_numpy(), capacity)
+                bins, offsets, _ = sum_of_squares(rows["length"].to_numpy(), capacity, early)
                 yield rows.assign(id=common.ids(rows), sequence_id=(int(key) << 32) + bins, offset=offsets).drop(columns=["shard", "no_id"])
 
     # Shards go to partitions by their number: hashed, several could meet in one task while others wait.

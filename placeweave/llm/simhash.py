@@ -3,6 +3,8 @@
 Each distinct fingerprint gets a table of Hamming distances to many reference fingerprints. The
 references come in groups: those of group g differ from one base fingerprint only in the bits of
 that group, so within a group the difference of two distances depends on the group's bits alone.
+(The coordinates of a group are thus the same as a band of the fingerprint's own bits: candidates
+are blocked by bands, read off the distance table; pruning and verification then work on distances.)
 Flipping at most `max_bits` bits leaves all groups but `max_bits` untouched, and there every
 coordinate of the table is equal: a pair is a candidate where all coordinates of all but max_bits
 groups agree. Candidates whose tables differ by more than max_bits in any coordinate are

@@ -11,7 +11,6 @@ as that token.
 from __future__ import annotations
 
 import json
-import os
 import re
 from array import array
 from collections.abc import Callable
@@ -61,7 +60,6 @@ class TextEncoder:
     """
 
     def __init__(self, path: str, added_tokens: bool = False):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added_tokens
         spec = json.loads(self.tokenizer.to_str())

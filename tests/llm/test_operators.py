@@ -582,3 +582,49 @@ def test_shards_keep_their_capacity(spark, monkeypatch, units):
     assert got["shard"].nunique() <= 1.1 * bound + 2
     even = sharding.shard_documents(df, shards=5).toPandas().groupby("shard")["size"].sum()
     assert len(even) == 5 and even.max() - even.min() <= 0.1 * even.max() + 60
+
+
+@pytest.mark.parametrize("early", [False, True])
+def test_each_placement_makes_the_sum_smallest(early):
+    lengths, capacity = np.random.default_rng(14).integers(1, 21, 150), 20
+    bins, offsets, n = packing.sum_of_squares(lengths, capacity, early)
+    total = lambda gaps: sum(gaps.count(g) ** 2 for g in set(gaps) if g)
+    gaps: list[int] = []
+    for s, b, at in zip(lengths.tolist(), bins.tolist(), offsets.tolist(), strict=True):
+        choices = {j: total([g - s if k == j else g for k, g in enumerate(gaps)]) for j, g in enumerate(gaps) if g >= s}
+        alone = total([*gaps, capacity - s])
+        least = min([*choices.values(), *([alone] if early or not choices else [])])
+        if b == len(gaps):
+            gaps.append(capacity)
+            assert at == 0 and alone == least and (not choices or early)
+        else:
+            assert choices[b] == least
+        assert at == capacity - gaps[b]
+        gaps[b] -= s
+    assert n == len(gaps)
+
+
+def test_search_with_awkward_rows(spark):
+    """Vectors of two lengths, an id twice, a vector that a third of all rows share, shards divided by a hash."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(400, 6))
+    x[:130] = x[0]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)] + [(5, [1.0, 2.0]), (1000, [2.0, 1.0]), (1020, [3.0, 3.0]), (7, [float(c) for c in x[300]]), (None, [1.0] * 6)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = vptree.nearest(df, df.filter("vec_id % 20 = 0"), k=20, factor=1.0, shard_vectors=16).toPandas()
+    known = [(i, np.array(v)) for i, v in rows if i is not None]
+    for q, part in got.groupby("query_id"):
+        own = min(v.tolist() for i, v in known if i == q)
+        best = sorted({(-round(float(np.dot(own, v)), 9), i) for i, v in known if i != q and len(v) == len(own)})[:20]
+        part = part.sort_values("rank")
+        assert part["vec_id"].tolist() == [i for _, i in best] or np.allclose(part["score"], [-s for s, _ in best], atol=1e-8)
+        assert part["rank"].tolist() == list(range(1, len(best) + 1))
+    assert set(got["query_id"]) == {i for i, _ in known if i % 20 == 0}
+
+
+def test_sample_of_labels(spark):
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, None), (2, None, None), (None, 1, 1), (3, 0, 1), (4, 1, 0)], "doc_id long, toxic int, quality int")
+    held = F.col("doc_id") == 4
+    assert {(r.id, r.y) for r in toxicity.labelled_sample(labels, "toxic", held, 10).collect()} == {(1, 1), (3, 0)}
+    assert {(r.id, r.y) for r in toxicity.labelled_sample(labels, "quality", held, 10).collect()} == {(1, 0), (3, 1)}
+    assert toxicity.labelled_sample(labels, "toxic", held, 1).count() == 1
