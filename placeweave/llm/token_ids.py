@@ -1,11 +1,11 @@
 """Whole-text token ids from the tokenizers library, with an exact cache of words.
 
-A byte-level BPE tokenizer first cuts a text into words, and no word ever reaches over a space
-that stands before a visible character. Cutting there, cutting each new piece by the tokenizer's
-own word pattern, and giving each new word to the library's BPE model yields the ids of the whole
-text; a piece met before needs no second run of the merges. Tokenizers of any other make encode
-each text whole, and so are texts that hold the content of an added token where this is to be read
-as that token.
+A byte-level BPE tokenizer first cuts a text into words, by a pattern that its format defines; no
+merge reaches over a word's end. Cutting a text by that pattern and giving each new word to the
+library's BPE model yields the ids of the whole text; a word met before needs no second run of the
+merges. Texts whose characters all lie in Latin-1 are cut by the same pattern with its classes
+written out, which is twice as fast. Tokenizers of any other make encode each text whole, and so
+are texts that hold the content of an added token where this is to be read as that token.
 """
 
 from __future__ import annotations
@@ -20,15 +20,22 @@ from tokenizers import Tokenizer
 
 # The word pattern of the byte-level pre-tokenizer, as its format defines it.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A single space before a visible character below U+1680; at any other place the text stays whole.
-CUT = re.compile(" (?=[!-~¡-ᙿ])")
-ODD = re.compile(" (?![!-~¡-ᙿ])")
-#: Pieces and words that one worker keeps; later ones are encoded each time.
+#: Characters of Latin-1 that two libraries class differently; texts with them go by the pattern itself.
+UNSURE = bytes(c for c in range(256) if chr(c).isspace() and not chr(c) in "\t\n\v\f\r " or chr(c).isalnum() and not chr(c).isalpha() and not chr(c).isdecimal())
+#: Words that one worker keeps; later ones are encoded each time.
 CACHE_ENTRIES = 500_000
 
 _loaded: dict[tuple[str, bool], TextEncoder] = {}
 
 
+def latin_words() -> re.Pattern:
+    """WORDS for texts in Latin-1 without UNSURE characters, its classes written out."""
+    sure = [chr(c) for c in range(256) if c not in UNSURE]
+    letters = "".join(c for c in sure if c.isalpha())
+    marks = "".join(re.escape(c) for c in sure if not c.isalnum() and not c.isspace())
+    return re.compile(rf"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[0-9]+| ?[{marks}]+|\s+(?!\S)|\s+")
+
+
 def byte_letters() -> dict[int, str]:
     """The letter that stands for each byte: itself where visible, else the next from U+0100."""
     visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -36,17 +43,17 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in visible} | {b: chr(0x100 + i) for i, b in enumerate(hidden)}
 
 
-class _Pieces(dict):
-    """Piece -> ids; what is missing is made, and kept while there is room."""
+class _Words(dict):
+    """Word -> ids; what is missing is made, and kept while there is room."""
 
     def __init__(self, make: Callable[[str], bytes]):
         super().__init__()
         self.make = make
 
-    def __missing__(self, piece: str) -> bytes:
-        found = self.make(piece)
-        if len(self) < CACHE_ENTRIES and len(piece) <= 40 and "\n" not in piece:
-            self[piece] = found
+    def __missing__(self, word: str) -> bytes:
+        found = self.make(word)
+        if len(self) < CACHE_ENTRIES and len(word) <= 40:
+            self[word] = found
         return found
 
 
@@ -76,9 +83,8 @@ class TextEncoder:
         self.added = re.compile("|".join(re.escape(t["content"]) for t in added)) if added_tokens and added else None
         self.model = self.tokenizer.model
         self.letters = str.maketrans(byte_letters())
-        self.words = regex.compile(WORDS)
-        self.known = _Pieces(self._merge)  # words
-        self.spaced = _Pieces(self._spaced)  # pieces after a space
+        self.words, self.latin = regex.compile(WORDS), latin_words()
+        self.known = _Words(self._merge)
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         return [self._encode(t) if self.by_words else self._whole(t) for t in texts]
@@ -89,20 +95,15 @@ class TextEncoder:
     def _encode(self, text: str) -> bytes:
         if self.added and self.added.search(text):
             return self._whole(text)
-        head, *rest = CUT.split(text) if ODD.search(text) else text.split(" ")
-        return self._piece(head) + b"".join(map(self.spaced.__getitem__, rest))
-
-    def _spaced(self, piece: str) -> bytes:
-        if piece.isalpha():
-            return self._merge(f" {piece}")
-        if (stem := piece[:-1]).isalpha() and piece[-1] in ".,":
-            return self.spaced[stem] + self.known[piece[-1]]
-        first, *more = self.words.findall(f" {piece}")
-        own = self.spaced[first[1:]] if more and first[0] == " " and first[1:].isalpha() else self.known[first]
-        return own + b"".join(map(self.known.__getitem__, more))
-
-    def _piece(self, piece: str) -> bytes:
-        return b"".join(map(self.known.__getitem__, self.words.findall(piece)))
+        return b"".join(map(self.known.__getitem__, (self.latin if self._sure(text) else self.words).findall(text)))
+
+    @staticmethod
+    def _sure(text: str) -> bool:
+        try:
+            data = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return len(data.translate(None, UNSURE)) == len(data)
 
     def _merge(self, word: str) -> bytes:
         shown = f"Ġ{word[1:]}" if word[0] == " " and word.isascii() and word[1:].isalpha() else word.encode().decode("latin-1").translate(self.letters)
