@@ -6,6 +6,7 @@ import os
 import time
 import uuid
 from dataclasses import asdict
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,10 @@ from .sources import files, sinks
 from .tasks import TaskStore, elapsed, new_id
 
 
+#: Distinct addresses of a group up to which each is looked up once, not row by row.
+DISTINCT_KEYS = 200_000
+
+
 class NotFound(LookupError):
     """No such task or row, or the task is not that far."""
 
@@ -52,7 +57,7 @@ class AddressEngine:
         """df has its file order in `_ord`; the result begins with `id`."""
         if "id" in df.columns:
             raise ValueError("the input has a column named id already")
-        converted = conversion.convert(df, groups, self.mapping, options)
+        converted = conversion.convert(df, groups, self.mapping, options, DISTINCT_KEYS)
         return conversion.with_ids(converted, files.ORD)
 
     @staticmethod
@@ -141,7 +146,9 @@ class AddressEngine:
 
     def filtered_data(self, task_id: str, mode: str = "all") -> DataFrame:
         """success, error, or all records of the task."""
-        return status.filtered(self.records(task_id), mode)
+        found = status.filtered(self.records(task_id), mode)
+        self.tasks.update(task_id, step=2, created_at=datetime.now(timezone.utc))
+        return found
 
     def download(self, task_id: str, mode: str, folder: str | None = None) -> str:
         """Write the task's success or error rows in its file's format; returns where they are."""

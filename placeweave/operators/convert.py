@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.mapping import Mapping, key_of
+from ..plans.storage import scratch
 from .lookup import lookup
 from .ordering import dense_numbers
 from .status import STATUS, after_hit, after_miss
@@ -58,15 +59,36 @@ def plan_columns(columns: list[str], group: AddressGroup, suffix: str, options:
     return Layout([c for c in own if c != group.district], id_province, id_ward, province)
 
 
-def convert_group(df: DataFrame, group: AddressGroup, mapping: Mapping, suffix: str, options: int) -> DataFrame:
+def by_distinct_keys(df: DataFrame, raw: dict[str, str | None], mapping: Mapping, most: int) -> DataFrame | None:
+    """df with `_vals`, each distinct address looked up once; None where there are more than `most` of them.
+
+    Addresses repeat a great deal, and putting one into its canonical form costs far more than
+    hashing it. The distinct ones are written, so this reads df once more; the list is broadcast
+    only after it has been counted.
+    """
+    spark = df.sparkSession
+    cells = {k: F.col(f"`{c}`").cast("string") if c else F.lit(None).cast("string") for k, c in raw.items()}
+    few = df.select(*[c.alias(f"_raw{k}") for k, c in cells.items()]).distinct().limit(most + 1)
+    few.write.parquet(path := scratch(spark, "keys"))
+    few = spark.read.parquet(path)
+    if few.count() > most:
+        return None
+    found = lookup(few.withColumns({k: key_of(f"_raw{k}") for k in raw}), mapping).select(*[f"_raw{k}" for k in raw], "_vals")
+    same = [F.col(f"_raw{k}").eqNullSafe(c) for k, c in cells.items()]
+    return df.join(F.broadcast(found), same, "left").drop(*[f"_raw{k}" for k in raw])
+
+
+def convert_group(df: DataFrame, group: AddressGroup, mapping: Mapping, suffix: str, options: int, distinct_keys: int = 0) -> DataFrame:
     """One group; an invalid one leaves everything as it is. A named column that is gone reads as ''."""
     group = group.cleaned()
     if not group.valid() or group.ward not in df.columns:
         return df
     has = lambda c: c if c in df.columns else None
     province, district = has(group.province), has(group.district)
-    keys = {"_p": key_of(province), "_d": key_of(district), "_w": key_of(group.ward)}
-    found = lookup(df.withColumns(keys), mapping)
+    raw = {"_p": province, "_d": district, "_w": group.ward}
+    found = by_distinct_keys(df, raw, mapping, distinct_keys) if distinct_keys else None
+    if found is None:
+        found = lookup(df.withColumns({k: key_of(c) for k, c in raw.items()}), mapping)
     layout = plan_columns(df.columns, AddressGroup(group.id_province, group.id_district, group.id_ward, province, district, group.ward), suffix, options)
     hit = F.col("_vals").isNotNull()
     part = lambda n, name: F.try_element_at("_vals", F.lit(n))[name]
@@ -84,9 +106,10 @@ def convert_group(df: DataFrame, group: AddressGroup, mapping: Mapping, suffix:
     return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in layout.columns])
 
 
-def convert(df: DataFrame, groups: list[AddressGroup], mapping: Mapping, options: int | None = None) -> DataFrame:
+def convert(df: DataFrame, groups: list[AddressGroup], mapping: Mapping, options: int | None = None, distinct_keys: int = 0) -> DataFrame:
     """A fold over the groups: later ones see what earlier ones rewrote.
 
+    distinct_keys: look up up to so many distinct addresses once instead of row by row (0: never).
     options: the most values of a key that get columns; by default as many as the mapping has.
     Failed rows lose district and old ids too. A group without effect leaves the status ''.
     """
@@ -96,7 +119,7 @@ def convert(df: DataFrame, groups: list[AddressGroup], mapping: Mapping, options
         df = df.withColumn(STATUS, F.coalesce(F.col(STATUS), F.lit("")))
     options = mapping.most_values() if options is None else options
     for k, group in enumerate(groups, 1):
-        df = convert_group(df, group, mapping, f"_group{k}", options)
+        df = convert_group(df, group, mapping, f"_group{k}", options, distinct_keys)
     return df
 
 

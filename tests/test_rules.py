@@ -138,3 +138,14 @@ def test_store_keeps_the_latest(spark, tmp_path):
         store.update("t", step=k, unknown=1)
     assert store.get("t")["step"] == 3 and store.update("u") is None and store.edits_of("t").count() == 0
     assert len(new_id()) == 14 and new_id() != new_id() and elapsed(0).endswith("s")
+
+
+def test_distinct_addresses_are_looked_up_alike(spark, mapping):
+    from placeweave.operators import convert as conversion
+
+    rows = [(p, d, w, i) for i, (p, d, w) in enumerate([*UNITS, (None, "Huyện B", "Xã C"), ("Tỉnh A", None, None), ("?", "?", "Xã D"), (" TỈNH A", "huyện B ", "Xã  C")] * 6)]
+    df = spark.createDataFrame(rows, "p string, d string, w string, k int")
+    groups = [AddressGroup(province="p", district="d", ward="w"), AddressGroup(district="gone", province="p", ward="w")]
+    plain = sorted(map(tuple, conversion.convert(df, groups, mapping).collect()))
+    for most in (100, 2):  # with the list, and with more addresses than it takes
+        assert sorted(map(tuple, conversion.convert(df, groups, mapping, distinct_keys=most).collect())) == plain
