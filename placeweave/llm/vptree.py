@@ -35,6 +35,8 @@ BLOCK_QUERIES = 4096
 #: Leaves of the tree that deals vectors to shards, at most, and vectors drawn for each.
 MAX_LEAVES = 2048
 LEAF_SAMPLE = 32
+#: Vectors that are held against all vantage points at once.
+ROUTE_ROWS = 1024
 
 
 @dataclass
@@ -290,11 +292,16 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
     if not routers:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
-    def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def by_width(batches: Iterable[pd.DataFrame]) -> Iterator[tuple[int, pd.DataFrame]]:
         for b in batches:
             for w, part in b.groupby("width"):
-                leaf, path = routers[w].place(_matrix(part["v"]))
-                yield pd.DataFrame({"width": w, "leaf": leaf, "path": path, "id": part["id"].to_numpy(), "v": part["v"].to_numpy(), "h": part["h"].to_numpy()})
+                for i in range(0, len(part), ROUTE_ROWS):
+                    yield w, part.iloc[i : i + ROUTE_ROWS]
+
+    def route(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for w, part in by_width(batches):
+            leaf, path = routers[w].place(_matrix(part["v"]))
+            yield pd.DataFrame({"width": w, "leaf": leaf, "path": path, "id": part["id"].to_numpy(), "v": part["v"].to_numpy(), "h": part["h"].to_numpy()})
 
     routed = common.materialise(points.select("id", "v", "h", "width").mapInPandas(route, "width int, leaf int, path array<double>, id long, v array<double>, h long"), "routed")
     ends = routed.select("width", "leaf", F.posexplode_outer("path").alias("at", "d")).groupBy("width", "leaf", "at").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("n"))
@@ -319,11 +326,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
         """askers (id, v, width, floor) against the leaves they visit."""
 
         def go(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for b in batches:
-                for w, part in b.groupby("width"):
-                    if w in routers:
-                        for rows, leaf in routers[w].visits(_matrix(part["v"]), part["floor"].to_numpy(), factor, home_only):
-                            yield part.iloc[rows].assign(leaf=leaf, subs=subs[w, leaf])
+            for w, part in by_width(batches):
+                if w in routers:
+                    for rows, leaf in routers[w].visits(_matrix(part["v"]), part["floor"].to_numpy(), factor, home_only):
+                        yield part.iloc[rows].assign(leaf=leaf, subs=subs[w, leaf])
 
         visits = askers.mapInPandas(go, "id long, v array<double>, width int, floor double, leaf int, subs int")
         visits = common.materialise(visits.withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1))).drop("subs"), "visits")

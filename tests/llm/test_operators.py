@@ -628,3 +628,10 @@ def test_sample_of_labels(spark):
     assert {(r.id, r.y) for r in toxicity.labelled_sample(labels, "toxic", held, 10).collect()} == {(1, 1), (3, 0)}
     assert {(r.id, r.y) for r in toxicity.labelled_sample(labels, "quality", held, 10).collect()} == {(1, 0), (3, 1)}
     assert toxicity.labelled_sample(labels, "toxic", held, 1).count() == 1
+
+
+def test_sketches_of_documents(docs):
+    got = {r.id: (r.fingerprint, r.n_shingles) for r in fingerprint.sketch_documents(docs.select("doc_id", "text")).collect()}
+    for i, t in texts():
+        own = fingerprint.sketch(t)
+        assert got[i] == (fingerprint.dump(own), fingerprint.distinct(own))
