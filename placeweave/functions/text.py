@@ -55,16 +55,21 @@ def _canonical_run(run: Column) -> Column:
     return F.when(~run.rlike(f"[{TONED}{TONED.upper()}]"), run).otherwise(_bound(lambda s: _marked(run, s["plain"], s["mark"]), plain=plain, mark=mark))
 
 
+#: Each vowel as one of two signs, so that places are found by plain search: the strong ones, then the others.
+_SIGNS = "".join("\x01" if v in STRONG else "\x02" for v in VOWELS)
+
+
+def _place(plain: Column, signs: Column) -> Column:
+    """Where the mark belongs: the first strong vowel; else the first of one, or of two unless that is u or i; else the second."""
+    strong, first = F.instr(signs, F.lit("\x01")), F.instr(signs, F.lit("\x02"))
+    count = F.length(signs) - F.length(F.replace(signs, F.lit("\x02"), F.lit("")))
+    second = first + F.instr(F.substr(signs, first + 1), F.lit("\x02"))
+    alone = (count == 1) | ((count == 2) & ~F.substr(plain, first, F.lit(1)).isin("u", "i"))
+    return F.when(strong > 0, strong).when(alone, first).otherwise(second)
+
+
 def _marked(run: Column, plain: Column, mark: Column) -> Column:
-    before = lambda pattern: F.length(F.regexp_extract(plain, pattern, 1)) + 1
-    first = before(f"^([^{VOWELS}]*)[{VOWELS}]")
-    second = before(f"^([^{VOWELS}]*[{VOWELS}][^{VOWELS}]*)[{VOWELS}]")
-    count = F.length(F.regexp_replace(plain, f"[^{VOWELS}]", ""))
-    place = (
-        F.when(plain.rlike(f"[{STRONG}]"), before(f"^([^{STRONG}]*)[{STRONG}]"))
-        .when((count == 1) | ((count == 2) & ~F.regexp_extract(plain, f"[{VOWELS}]", 0).isin("u", "i")), first)
-        .otherwise(second)
-    )
+    place = _bound(lambda s: _place(plain, s["signs"]), signs=F.translate(plain, VOWELS, _SIGNS))
     tone = (F.instr(F.lit(TONED), mark) - 1) % 5 + 1
 
     def put(s: Column) -> Column:
