@@ -1,11 +1,11 @@
-"""Contract queries: vector search, sharding, chat formatting."""
+"""Contract queries: vector search, sharding, chat formatting, centroid clustering."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, common, sharding, vptree
+from . import chat, common, exponion, sharding, vptree
 
 
 def op3_vantage_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,5 +58,11 @@ SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, CAST(length(loss) AS BIG
 FROM agg
 """
 
-QUERIES = {"op3_vantage_points": op3_vantage_points, "op7_sharding": op7_sharding, "op8_chat": op8_chat}
+def op13_exponion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, centroids = exponion.cluster(common.read(spark, sf_dir, "embeddings"), k=16, rounds=3)
+    told = exponion.with_inertia(found).withColumn("centroid_sha256", exponion.centroid_digest(centroids))
+    return told.select(F.col("id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+QUERIES = {"op3_vantage_points": op3_vantage_points, "op7_sharding": op7_sharding, "op8_chat": op8_chat, "op13_exponion": op13_exponion}
 ORACLE_SQL = {"op8_chat": OP8_SQL}

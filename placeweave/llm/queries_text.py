@@ -1,4 +1,4 @@
-"""Contract queries over documents: fingerprints, token files, packing."""
+"""Contract queries over documents: fingerprints, token files, packing, spelling variants, token counts."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import common, fingerprint, packing, pieces, rans, simhash
+from . import common, fingerprint, packing, pieces, rans, simhash, token_counts, variants
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,4 +35,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), simhash.hex_of("fp").alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_fingerprints": op1_fingerprints, "op2_pieces": op2_pieces, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op10_simhash": op10_simhash}
+def op11_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.group_variants(variants.count_words(common.read(spark, sf_dir, "documents"), least=7, every=31, times=2), least=7, ratio=10)
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = token_counts.count_documents(common.read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+    return found.withColumnRenamed("id", "doc_id")
+
+
+QUERIES = {
+    "op1_fingerprints": op1_fingerprints, "op2_pieces": op2_pieces, "op4_token_files": op4_token_files, "op5_packing": op5_packing, "op10_simhash": op10_simhash,
+    "op11_variants": op11_variants, "op12_token_counts": op12_token_counts,
+}
