@@ -27,6 +27,9 @@ TYPES = {
     "op8_chat": "conv_id bigint, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint, valid boolean",
     "op9_quality": "doc_id bigint, held_out boolean, score double, predicted int",
     "op10_simhash": "doc_id bigint, fingerprint string, component_id bigint",
+    "op11_variants": "word string, form string, root string, n bigint, n_near bigint, form_n bigint",
+    "op12_token_counts": "doc_id bigint, n_bytes bigint, n_tokens bigint, over_limit boolean",
+    "op13_exponion": "vec_id bigint, cluster int, distance bigint, cluster_inertia bigint, inertia bigint, centroid_sha256 string",
 }
 
 
