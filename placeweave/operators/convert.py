@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..plans.mapping import Mapping, key_of
 from ..plans.storage import scratch
 from .lookup import lookup
-from .ordering import dense_numbers
+from .ordering import numbered
 from .status import STATUS, after_hit, after_miss
 
 
@@ -126,10 +126,10 @@ def convert(df: DataFrame, groups: list[AddressGroup], mapping: Mapping, options
 def with_ids(df: DataFrame, ordinal: str) -> DataFrame:
     """The 1-based row number in file order as first column `id`; ordinal is dropped.
 
-    A dense number over all rows without one task for all: rows are ranged by ordinal, and each
-    range starts after the counted rows of those before it.
+    The readers' ordinals hold each row's place, so a count for each block of the files numbers all
+    rows where they are; other ordinals are ranged, without one task for all rows.
     """
     if "id" in df.columns:
         raise ValueError("the input has a column named id already")
     cols = [c for c in df.columns if c != ordinal]
-    return dense_numbers(df, ordinal, "id").select("id", *[F.col(f"`{c}`") for c in cols])
+    return numbered(df, ordinal, "id").select("id", *[F.col(f"`{c}`") for c in cols])

@@ -16,6 +16,22 @@ def range_of(key: Column, cuts: list[int] | list[float], kind: str = "double") -
     return place(key.cast(kind), F.array(*map(F.lit, cuts)).cast(f"array<{kind}>"), len(cuts))
 
 
+def file_rows(df: DataFrame, name: str, wanted: list[str]) -> DataFrame:
+    """`wanted` columns of a Parquet scan and each row's 1-based number in order of file name and place in the file.
+
+    Counts per file and the scan's own row index give it: no row is moved, sorted or sampled.
+    """
+    path, index = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    sizes = {r["f"]: r["n"] for r in df.groupBy(path.alias("f")).agg((F.max(index) + 1).alias("n")).collect()}  # a row for each file
+    files = sorted(sizes)
+    before, total = {}, 0
+    for f in files:
+        before[f], total = total, total + sizes[f]
+    known = df.sparkSession.createDataFrame(list(before.items()), "_file string, _before long")
+    placed = df.select(*wanted, path.alias("_path"), index.alias("_index")).join(F.broadcast(known) if len(files) <= KNOWN_BLOCKS else known, F.col("_path") == F.col("_file"), "left")
+    return placed.select(*wanted, (F.col("_before") + F.col("_index") + 1).alias(name))
+
+
 def place(key: Column, known: Column, count: int) -> Column:
     """How many of the `count` ascending entries of the constant array `known` are at or below the key, of the entries' type."""
     steps = F.array(*[F.lit(1 << i) for i in reversed(range(count.bit_length()))]).cast("array<int>")
@@ -64,6 +80,31 @@ def dense_numbers(df: DataFrame, ordinal: str, name: str, ranges: int | None = N
     return ranged.withColumn(name, (start + own).cast("long")).drop("_bucket")
 
 
+#: Blocks of rows whose numbers are a constant of the plan.
+KNOWN_BLOCKS = 20_000
+PLACE_BITS = 33
+
+
+def numbered(df: DataFrame, ordinal: str, name: str, ranges: int | None = None) -> DataFrame:
+    """df with the 1-based rank of `ordinal`, without moving rows where it tells each row's place in its block.
+
+    Readers give such ordinals: the block's rank, and in the low bits the row's place in it. The driver gets
+    a count for each block; where places have gaps (rows were left out), or there are too many blocks, rows
+    are ranged instead.
+    """
+    high, low = F.shiftright(ordinal, PLACE_BITS), F.col(ordinal).bitwiseAND(F.lit((1 << PLACE_BITS) - 1))
+    found = df.groupBy(high.alias("block")).agg(F.count("*").alias("n"), F.min(low).alias("first"), F.max(low).alias("last")).orderBy("block").limit(KNOWN_BLOCKS + 1).collect()
+    if len(found) > KNOWN_BLOCKS or any(r["last"] - r["first"] + 1 != r["n"] for r in found):
+        return dense_numbers(df, ordinal, name, ranges)
+    blocks, before = [r["block"] for r in found], [0]
+    for r in found:
+        before.append(before[-1] + r["n"])
+    # What is added to a place: the rows of earlier blocks, less the block's own first place.
+    added = constant_array([b - r["first"] for b, r in zip(before, found, strict=False)], "bigint")
+    at = place(high, constant_array(blocks, "bigint"), len(blocks)) - 1
+    return df.withColumn(name, (low + F.get(added, at) + 1).cast("long"))
+
+
 def sample_size(rows: int) -> int:
     """One row of a hundred, 10 to 500; none of an empty table."""
     return 0 if rows <= 0 else max(10, min(500, rows // 100))

@@ -124,7 +124,12 @@ CUSTOMERS = """SELECT CAST(c_custkey AS VARCHAR) AS zeta, CASE c_custkey % 3 WHE
 RECORDS = """row_number() OVER (ORDER BY c_custkey) AS id"""
 _MARKED = ("Hà Nội", "Đắk Lắk", "Thừa Thiên Huế", "QUẢNG NGÃI", "Bà Rịa - Vũng Tàu", "plain")
 
+ORDERS = """SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 5 = 0 THEN 'it''s {"(' || o_orderstatus || ')} -' WHEN o_orderkey % 5 <> 1 THEN o_orderstatus END AS note,
+  CAST(o_custkey AS VARCHAR) AS customer, row_number() OVER (ORDER BY o_orderkey) AS place FROM orders"""
+
 ORACLE_SQL = {
+    **dict.fromkeys(("sql_dump_split", "sql_statement_split", "json_array_split"), ORDERS),
+    "csv_breaks_split": """SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5('"a"' || chr(10) || chr(10) || ',' || text || chr(10)) AS text_md5, source, row_number() OVER (ORDER BY doc_id) AS place FROM documents""",
     "detect_candidates": f'{CANDIDATES} SELECT kind, CAST(row_number() OVER (PARTITION BY kind ORDER BY pos) - 1 AS INTEGER) AS place, col AS "column" FROM kept',
     "detect_groups": _groups(("sheet", 0, "home_province_id", None, None, "home_province", "home_district", "home_ward"), ("sheet", 1, None, None, None, "work_province", "work_district", "work_ward")),
     "group_cases": _groups(
@@ -205,6 +210,7 @@ ORACLE_SQL = {
     "edit_recount": f"{EDITED} {COUNTS} FROM overlaid",
     "edit_upsert_latest": "SELECT user_id, event_type, event_id, value FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1",
     "row_ids": "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey) AS id FROM orders",
+    "row_ids_ranged": "SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_orderkey * 7919 % 1000003 * 10000019 + o_orderkey) AS id FROM orders",
     "head_sample": """SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity FROM (SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity) AS rn FROM lineitem)
       WHERE rn <= (SELECT greatest(10, least(500, count(*) // 100)) FROM lineitem)""",
     "suggested_workers": "SELECT name, n, least(8, greatest(1, n // 15000 + 1)) AS workers FROM ("

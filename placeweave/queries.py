@@ -251,8 +251,14 @@ def edit_upsert_latest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def row_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
-    return ordering.dense_numbers(o, "o_orderkey", "id")
+    """Numbers in file order, which is that of the keys, from the scan's own row index."""
+    return ordering.file_rows(table(spark, sf_dir, "orders"), "id", ["o_orderkey", "o_custkey"])
+
+
+def row_ids_ranged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers in order of a column that lies anyhow."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", (F.col("o_orderkey") * 7919 % 1000003 * 10000019 + F.col("o_orderkey")).alias("mixed"))
+    return ordering.dense_numbers(o, "mixed", "id").drop("mixed")
 
 
 def head_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,8 +301,70 @@ def _nation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("string").alias("n_nationkey"), "n_name", F.col("n_regionkey").cast("string").alias("n_regionkey"))
 
 
+def _small_blocks(spark: SparkSession, path: str, read) -> DataFrame:
+    """read(spark, path) while files are cut into twenty blocks or more, so that a small table is split like a large one."""
+    size = max(1024, files.file_size(spark, path) // 20)
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+        spark.conf.set("spark.sql.files.openCostInBytes", "0")
+        _split(read(spark, path)).write.parquet(out := scratch(spark, "read"))
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    return _several(spark.read.parquet(out))
+
+
+def _split(read: DataFrame) -> DataFrame:
+    """read with its rows' place among all, and the number of the task that read each."""
+    return ordering.numbered(read.withColumn("_task", F.spark_partition_id()), files.ORD, "place").drop(files.ORD)
+
+
+def _several(df: DataFrame) -> DataFrame:
+    """df without `_task`, once more than one task has read it."""
+    if df.select("_task").distinct().limit(2).count() < 2:
+        raise AssertionError("one task has read everything")
+    return df.drop("_task")
+
+
+def csv_breaks_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as CSV, whose texts hold line breaks and quotes, read by many tasks."""
+    d = table(spark, sf_dir, "documents")
+    rows = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit('"a"\n\n,'), "text", F.lit("\n")).alias("text"), "source")
+    sinks.write_csv(rows, path := scratch(spark, "csv"))
+    back = _small_blocks(spark, path, files.read_csv)
+    return back.select("doc_id", F.md5("text").alias("text_md5"), "source", "place")
+
+
+def _orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """orders in four ranges of their keys, one task and so one file each; some comments missing, some with quotes and brackets."""
+    note = F.when(F.col("o_orderkey") % 5 == 0, F.concat(F.lit("it's {\"("), "o_orderstatus", F.lit(")} -"))).when(F.col("o_orderkey") % 5 != 1, F.col("o_orderstatus"))
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("key"), note.alias("note"), F.col("o_custkey").alias("customer"))
+    return rows.repartitionByRange(4, F.col("key").cast("long")).sortWithinPartitions(F.col("key").cast("long"))
+
+
+def sql_dump_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as a dump of several files, read by many tasks in the order of files and statements."""
+    sinks.write_sql(_orders(spark, sf_dir), path := scratch(spark, "dump"), "orders")
+    return _small_blocks(spark, path, lambda s, p: files.read_sql(s, p, unescape=True))
+
+
+def sql_statement_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as one statement in several parts."""
+    sinks.write_sql(_orders(spark, sf_dir), path := scratch(spark, "dump"), "orders", one_statement=True)
+    return _small_blocks(spark, path, lambda s, p: files.read_sql(s, p, unescape=True))
+
+
+def json_array_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All orders as an array that several tasks write and many read."""
+    sinks.write_json(_orders(spark, sf_dir), path := scratch(spark, "json"), array=True)
+    if len(spark.read.text(path).inputFiles()) < 2:
+        raise AssertionError("one task has written everything")
+    return _small_blocks(spark, path, files.read_json)
+
+
 def sql_dump_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sinks.write_sql(_nation(spark, sf_dir).coalesce(1), path := scratch(spark, "dump"), "nation")
+    sinks.write_sql(_nation(spark, sf_dir).repartitionByRange(3, "n_nationkey"), path := scratch(spark, "dump"), "nation")
     return files.read_sql(spark, path, unescape=True).drop(files.ORD)
 
 
@@ -506,7 +574,8 @@ QUERIES = {
     "convert_options_wide": convert_options_wide, "unit_membership": unit_membership, "detect_threshold": detect_threshold, "numeric_convertible": numeric_convertible,
     "status_counts": status_counts, "progress": progress, "filter_success": filter_mode("success"), "filter_error": filter_mode("error"), "filter_all": filter_mode("all"),
     "export_success_projection": export_success_projection, "edit_overlay": edit_overlay, "edit_recount": edit_recount, "edit_upsert_latest": edit_upsert_latest,
-    "row_ids": row_ids, "head_sample": head_sample, "suggested_workers": suggested_workers, "jaro_winkler_pairs": jaro_winkler_pairs, "greedy_grouping": greedy_grouping,
+    "row_ids": row_ids, "row_ids_ranged": row_ids_ranged, "head_sample": head_sample, "suggested_workers": suggested_workers, "jaro_winkler_pairs": jaro_winkler_pairs, "greedy_grouping": greedy_grouping,
+    "csv_breaks_split": csv_breaks_split, "sql_dump_split": sql_dump_split, "sql_statement_split": sql_statement_split, "json_array_split": json_array_split,
     "sql_literal_format": sql_literal_format, "sql_dump_roundtrip": sql_dump_roundtrip, "csv_roundtrip": csv_roundtrip, "json_roundtrip": json_roundtrip,
     "detect_candidates": detect_candidates, "detect_groups": detect_groups, "group_cases": group_cases, "percent_half_even": percent_half_even,
     "json_array_roundtrip": json_array_roundtrip, "json_column_order": json_column_order, "csv_encodings": csv_encodings, "file_infos": file_infos,

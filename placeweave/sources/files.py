@@ -1,4 +1,6 @@
-"""Readers: every format becomes an all-string DataFrame with its file order in `_ord`.
+"""Readers: every format becomes an all-string DataFrame with its order (file name, place) in `_ord`.
+
+CSV, NDJSON, JSON arrays and SQL dumps split over tasks (blocks.py); a workbook is one task.
 
 Paths go through Spark's own readers, so any store works; only SQLite, of which a sample is read,
 needs a local copy on the driver.
@@ -13,11 +15,12 @@ from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.ordering import head, sample_size
-from . import sqldump, xlsx
+from . import blocks, formats, sqldump, xlsx
 
 ORD = "_ord"
 ROWS = f"{ORD} long, cells array<string>"
@@ -51,71 +54,111 @@ _WINDOWS = _LATIN.encode("latin-1").decode("cp1252")
 
 @dataclass(frozen=True)
 class Look:
-    """What one pass over a text file's bytes tells."""
+    """What one pass over the bytes of text files tells."""
 
     encoding: str
     quoted_breaks: bool
-    lines: int
+    lines: int  # that are not empty
+    blocks: list[blocks.Block]
+
+    @property
+    def files(self) -> int:
+        return len({b.file for b in self.blocks})
 
 
 def look(spark: SparkSession, path: str) -> Look:
     """UTF-8 unless some line's bytes are none; then Windows-1252, or Latin-1 where a byte is unused there.
 
     Lines are taken as raw bytes. A line with an odd number of quotes begins or ends a value that
-    reaches over a line break.
+    reaches over a line break. The driver gets a row for each block of the files.
     """
     raw = F.col("value").cast("binary")
     unused = "|".join(f"{b:02X}" for b in range(0x80, 0xA0) if not bytes([b]).decode("cp1252", "ignore"))
-    found = spark.read.text(path).agg(
-        F.count("*").alias("lines"), F.coalesce(F.bool_and(F.is_valid_utf8("value")), F.lit(True)).alias("utf8"),
-        F.coalesce(F.bool_or(F.hex(raw).rlike(f"^(?:..)*?(?:{unused})") & ~F.is_valid_utf8("value")), F.lit(False)).alias("unused"),
-        F.coalesce(F.bool_or((F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1), F.lit(False)).alias("odd"),
-    ).first()
-    encoding = "UTF-8" if found["utf8"] else "ISO-8859-1" if found["unused"] else "windows-1252"
-    return Look(encoding, found["odd"], found["lines"])
+    place = {"file": F.col("_metadata.file_path"), "start": F.col("_metadata.file_block_start")}
+    found = spark.read.text(path).withColumns(place).groupBy("file", "start", F.xxhash64("file", "start").alias("key")).agg(
+        F.count("*").alias("chunks"), F.count_if(F.trim("value") != "").alias("lines"), F.bool_and(F.is_valid_utf8("value")).alias("utf8"),
+        F.bool_or(F.hex(raw).rlike(f"^(?:..)*?(?:{unused})") & ~F.is_valid_utf8("value")).alias("unused"),
+        F.bool_or((F.octet_length("value") - F.octet_length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1).alias("odd"),
+    ).collect()
+    encoding = "UTF-8" if all(r["utf8"] for r in found) else "ISO-8859-1" if any(r["unused"] for r in found) else "windows-1252"
+    known = sorted((blocks.Block(r["file"], r["start"], r["key"], r["chunks"]) for r in found), key=lambda b: (b.file, b.start))
+    for rank, block in enumerate(known):
+        block.rank = rank
+    return Look(encoding, any(r["odd"] for r in found), sum(r["lines"] for r in found), known)
 
 
 def encoding_of(spark: SparkSession, path: str) -> str:
     return look(spark, path).encoding
 
 
+def _quoted(name: str) -> str:
+    return f"`{name.replace('`', '``')}`"
+
+
+def _split_csv(spark: SparkSession, path: str, seen: Look) -> blocks.Scan | None:
+    """The records of CSV files with quoted line breaks, cut side by side; None where line breaks are none of LF."""
+    value = None if seen.encoding == "UTF-8" else F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+    found = blocks.scan(spark, path, formats.CsvLines(), value)
+    return None if sum(b.chunks for b in found.blocks) <= seen.files < seen.lines else found
+
+
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
-    """Text cells as written (007 stays 007).
+    """Text cells as written (007 stays 007), rows in order of file name and place.
 
-    multi_line reads quoted line breaks, one task per file; without it files split. By default it is
-    on only where the file has such breaks.
+    A file splits over tasks. Where values hold line breaks its records are found by the splitting scan;
+    multi_line=True asks for Spark's own reader of them instead, one task a file, False for none.
     """
     seen = look(spark, path)
     # Spark reads Windows-1252 as Latin-1 only; the bytes that differ are put right afterwards.
     right = (lambda c: F.translate(c, _LATIN, _WINDOWS)) if seen.encoding == "windows-1252" else (lambda c: c)
-    options = {"encoding": "UTF-8" if seen.encoding == "UTF-8" else "ISO-8859-1", "multiLine": seen.quoted_breaks if multi_line is None else multi_line, "escape": '"', "quote": '"'}
-    first = spark.read.options(**options).csv(path, header=False).limit(1).collect()
+    options = {"encoding": "UTF-8" if seen.encoding == "UTF-8" else "ISO-8859-1", "escape": '"', "quote": '"'}
+    broken = seen.quoted_breaks if multi_line is None else multi_line
+    first = spark.read.options(**options, multiLine=broken).csv(path, header=False).limit(1).collect()
     if not first:
         raise ValueError("the file is empty")
     names = unique_names([None if h is None else h.translate(str.maketrans(_LATIN, _WINDOWS)) if seen.encoding == "windows-1252" else h for h in first[0]])
-    schema = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
-    df = spark.read.options(**options).csv(path, header=True, schema=schema)
-    return df.select(*[right(F.col(f"`{n.replace('`', '``')}`")).alias(n) for n in names], F.monotonically_increasing_id().alias(ORD))
+    schema = ", ".join(f"{_quoted(n)} string" for n in names)
+    cut = _split_csv(spark, path, seen) if broken and multi_line is None else None
+    if cut is None:
+        df = blocks.in_order(spark.read.options(**options, multiLine=broken).csv(path, header=True, schema=schema), seen.blocks)
+    else:
+        raw = F.regexp_replace("raw", "\r$", "")
+        parsed = F.from_csv(raw, schema, {"escape": '"', "quote": '"'}).alias("row")
+        df = cut.records.filter(~F.col("first")).select(parsed, ORD).select("row.*", ORD)
+    return df.select(*[right(F.col(_quoted(n))).alias(n) for n in names], ORD)
+
+
+#: Marks a number that stands as a text while JSON is parsed, so that it stays as it is written.
+_MARK = "\uffff"
+_NUMBER = r"\G((?:\"[^\"\\]*+(?:\\.[^\"\\]*+)*+\"|[^\"0-9-]++)*+)(-?[0-9][0-9.eE+-]*+)"
+
+
+def _fields(raw: Column) -> Column:
+    """A record's fields as texts, null where it is malformed. Spark would write 1.50 as 1.5, so numbers with a point or exponent go as texts."""
+    as_texts = F.when(raw.rlike("[0-9][.eE]|-0"), F.regexp_replace(raw, _NUMBER, f'$1"{_MARK}$2{_MARK}"')).otherwise(raw)
+    plain = lambda v: F.when(v.contains(_MARK), F.regexp_replace(v, f'"?{_MARK}(-?[0-9][0-9.eE+-]*){_MARK}"?', "$1")).otherwise(v)
+    known = F.from_json(raw, "map<string,string>")  # tells whether the record is one
+    return F.when(known.isNotNull(), F.transform_values(F.from_json(as_texts, "map<string,string>"), lambda _, v: plain(v)))
 
 
 def _records(spark: SparkSession, path: str) -> DataFrame:
     """_ord, raw (the record's text), m (its fields, or null where it is malformed), in file order."""
-    start = spark.read.text(path).filter(F.trim("value") != "").limit(1).collect()
-    if not start:
+    known = blocks.blocks_of(blocks.chunks(spark, path, formats.JsonArray.separator))
+    begin = next((b.begin for b in known if b.begin), None)
+    if begin is None:
         raise ValueError("the file is empty")
-    if start[0][0].lstrip("\ufeff \t").startswith("["):
-        whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("value"))
-        # An array that does not parse to its end is one malformed record.
-        broken = F.json_array_length("value").isNull()
-        each = F.when(~broken, F.from_json("value", "array<string>")).otherwise(F.array("value"))
-        lines = whole.select(F.posexplode_outer(each).alias(ORD, "raw"), broken.alias("bad"))
-        lines = lines.filter(F.col("raw").isNotNull() | F.col("bad"))
-        fields = F.when(~F.col("bad"), F.from_json("raw", "map<string,string>"))
+    if begin.startswith("["):
+        cut = blocks.scan(spark, path, formats.JsonArray(), carry=True)
+        lines = cut.records.select(ORD, "raw")
+        # An array that isn't closed is a malformed record.
+        for _, last, _, depth in cut.final:
+            if depth > 0:
+                shown = f"[... ({last.file} is not closed)"
+                lines = lines.unionByName(spark.createDataFrame([((last.rank + 1 << blocks.PLACE_BITS) - 1, shown)], f"{ORD} long, raw string"))
     else:
-        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias(ORD), F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("raw"))
+        lines = blocks.in_order(spark.read.text(path), blocks.blocks_of(blocks.chunks(spark, path, "\n"))).select(ORD, F.trim(F.regexp_replace("value", "^\ufeff", "")).alias("raw"))
         lines = lines.filter((F.col("raw") != "") & ~F.col("raw").startswith("//"))
-        fields = F.from_json("raw", "map<string,string>")
-    return lines.select(F.col(ORD).cast("long").alias(ORD), "raw", fields.alias("m"))
+    return lines.select(F.col(ORD).cast("long").alias(ORD), "raw", _fields(F.col("raw")).alias("m"))
 
 
 def read_json(spark: SparkSession, path: str, corrupt: str | None = None) -> DataFrame:
@@ -156,19 +199,38 @@ def read_excel(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sql(spark: SparkSession, path: str, unescape: bool = False) -> DataFrame:
-    """Rows of the dump's INSERT statements as text. A dump is one task."""
-    def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for text in b["value"]:
-                _, columns, rows, _ = sqldump.parse(text, unescape)
-                shown = [[None if v is None else str(v) for v in r] for r in rows]
-                yield pd.DataFrame({ORD: range(len(rows) + 1), "cells": [columns, *shown]})
+    """Rows of the dumps' INSERT statements as text, in order of file name and place; a dump splits over tasks.
 
-    raw = spark.read.text(path, wholetext=True).mapInPandas(parse, ROWS)
-    head = raw.filter(F.col(ORD) == 0).limit(1).collect()
-    if not head:
+    Rows that don't fit the first statement's columns are left out, and so is a statement without its end.
+    """
+    cut = blocks.scan(spark, path, formats.SqlDump(), carry=True)
+    if not cut.blocks:
         raise sqldump.DumpError("the file is empty")
-    return _cells(raw.filter(F.col(ORD) > 0), unique_names(head[0]["cells"]))
+    tag = F.substring_index("raw", "\0", 1)
+    records = cut.records.select(ORD, tag.alias("tag"), F.expr("substr(raw, instr(raw, char(0)) + 1)").alias("body"))
+    for first, last, state, depth in cut.final:
+        if state[1] != "seek":  # a statement without its end
+            inside = F.shiftright(ORD, blocks.PLACE_BITS).between(first.rank, last.rank)
+            records = records.filter(~(inside & F.col("tag").isin(f"H{depth}", f"R{depth}")))
+    heads = records.filter(F.col("tag").startswith("H")).select(ORD, F.substring_index("body", "\0", 1).alias("table"), F.substring_index("body", "\0", -1).alias("columns"))
+    told = heads.agg(F.min(F.struct(ORD, "columns"))["columns"].alias("columns"), F.min("table").alias("a"), F.max("table").alias("z")).first()
+    if told["columns"] is None:
+        raise sqldump.DumpError("no INSERT statement with a column list")
+    if told["a"] != told["z"]:
+        raise sqldump.DumpError(f"several tables: {[told['a'], told['z']]}")
+    names = sqldump.columns_of(told["columns"])
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [sqldump.row_of(t, unescape) for t in b["body"].to_pylist()]
+            fits = [i for i, r in enumerate(rows) if len(r) == len(names)]
+            cells = pa.array([[None if v is None else str(v) for v in rows[i]] for i in fits], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([b[ORD].take(pa.array(fits, pa.int64())), cells], names=[ORD, "cells"])
+
+    rows = records.filter(F.col("tag").startswith("R")).select(ORD, "body").mapInArrow(parse, ROWS)
+    if rows.isEmpty():
+        raise sqldump.DumpError("no row fits the columns")
+    return _cells(rows, unique_names(names))
 
 
 def read_sqlite(spark: SparkSession, path: str, limit: int = 500) -> tuple[int, DataFrame]:
@@ -228,10 +290,12 @@ def file_size(spark: SparkSession, path: str) -> int:
 
 
 def count_rows(spark: SparkSession, path: str) -> int:
-    """Rows by the rule of the format: a CSV's physical lines less its header, the records of all others."""
+    """Records, without the header that each CSV file has."""
     kind = extension(path)
     if kind == ".csv":
-        return max(0, look(spark, path).lines - 1)
+        seen = look(spark, path)
+        if not seen.quoted_breaks:
+            return max(0, seen.lines - seen.files)
     if kind in DATABASES:
         return read_sqlite(spark, path, 0)[0]
     return read_table(spark, path).count()

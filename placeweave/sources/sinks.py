@@ -6,44 +6,80 @@ import os
 import tempfile
 from collections.abc import Iterable, Iterator
 
-import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_literal
+from ..plans.storage import scratch
 from . import xlsx
 
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
-    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").csv(
+        path, header=True, quote='"', escape='"', emptyValue="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
 
 
 def write_json(df: DataFrame, path: str, array: bool = False) -> None:
-    """One object a line, nulls written; or, as array, one file with an array of objects."""
+    """One object a line, nulls written; or, as array, an array of objects in as many parts as df has.
+
+    Parts in order of their names, one behind the other, are the array; `read_json` reads them so.
+    """
     if not array:
         df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
         return
-    if df.isEmpty():
-        df.sparkSession.createDataFrame([("[]",)], "value string").coalesce(1).write.mode("overwrite").text(path)
-        return
     rows = df.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns]), {"ignoreNullFields": "false"}).alias("value"))
-    _in_one_file(rows, path, "[", ",", "]")
+    _framed(rows, "[", ",", "]").write.mode("overwrite").text(path)
 
 
-def _in_one_file(rows: DataFrame, path: str, first: str, between: str, last: str) -> None:
-    """The texts of rows (column value, one at least) in their order, streamed through one task, with what stands around them."""
+def _settled(rows: DataFrame) -> DataFrame:
+    """rows in partitions that are the same in every reading.
 
-    def around(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = ""  # there is a row
-        yield pd.DataFrame({"value": [first]})
+    Behind a shuffle they need not be (ranges are cut by a sample drawn anew each time, and partitions are
+    coalesced by their sizes); such rows are written with their partition and place, and dealt out by these.
+    """
+    spark = rows.sparkSession
+    if "Exchange" not in rows._jdf.queryExecution().executedPlan().toString():
+        return rows
+    marked = rows.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("place"), "value")
+    marked.write.parquet(path := scratch(spark, "rows"))
+    kept = spark.read.schema("part int, place long, value string").parquet(path)
+    parts = kept.agg(F.coalesce(F.max("part"), F.lit(0)) + 1).first()[0]
+    return kept.repartitionById(parts, "part").sortWithinPartitions("place").select("value")
+
+
+def _framed(rows: DataFrame, first: str, between: str, last: str) -> DataFrame:
+    """The texts of rows (column value) in their order, in the partitions they are in, with what stands around them.
+
+    A count of rows for each partition tells which row is the first and which the last of all. If there are
+    none, one line has the frame alone. A partition that differs from its count is an error.
+    """
+    spark, rows = rows.sparkSession, _settled(rows)
+    counted = rows.groupBy(F.spark_partition_id().alias("part")).agg(F.count("*").alias("n")).collect()
+    sizes = {r["part"]: r["n"] for r in counted}
+    if not sizes:
+        return spark.createDataFrame([(first + last,)], "value string").coalesce(1)
+    head, tail = min(sizes), max(sizes)
+
+    def around(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        size = sizes.get(part, 0)
         for b in batches:
-            for text in b["value"]:
-                if held:
-                    yield pd.DataFrame({"value": [held + between]})
-                held = text
-        yield pd.DataFrame({"value": [held + last]})
+            if not b.num_rows:
+                continue
+            texts = [between + t for t in b["value"].to_pylist()]
+            if part == head and not done:
+                texts[0] = first + texts[0][len(between) :]
+            done += len(texts)
+            if part == tail and done == size:
+                texts[-1] += last
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string())], names=["value"])
+        if done != size:
+            raise RuntimeError(f"partition {part} has {done} rows, counted were {size}")
 
-    rows.coalesce(1).mapInPandas(around, "value string").write.mode("overwrite").text(path)
+    return rows.mapInArrow(around, "value string")
 
 
 def insert_rows(df: DataFrame) -> Column:
@@ -58,13 +94,14 @@ NO_ROWS = "-- Không có dữ liệu hợp lệ để tạo câu lệnh INSERT"
 def write_sql(df: DataFrame, path: str, table: str = "converted_addresses", one_statement: bool = False) -> None:
     """A dump of single-row INSERT statements, one a line, so that parts are written side by side.
 
-    one_statement: a single multi-row INSERT in one file. Without rows the dump is a comment line.
+    one_statement: a single multi-row INSERT; its parts in order of their names, one behind the other, are
+    the dump, and so is their only one if df has one. Without rows the dump is a comment line.
     """
     names = ", ".join(df.columns)
     if df.isEmpty():
         df.sparkSession.createDataFrame([(NO_ROWS,)], "value string").coalesce(1).write.mode("overwrite").text(path)
     elif one_statement:
-        _in_one_file(df.select(insert_rows(df).alias("value")), path, f"INSERT INTO {table} ({names}) VALUES", ",", ";")
+        _framed(df.select(insert_rows(df).alias("value")), f"INSERT INTO {table} ({names}) VALUES\n", ",", ";").write.mode("overwrite").text(path)
     else:
         df.select(F.concat(F.lit(f"INSERT INTO {table} ({names}) VALUES "), insert_rows(df), F.lit(";"))).write.mode("overwrite").text(path)
 

@@ -9,12 +9,7 @@ from __future__ import annotations
 
 import re
 
-_COMMENT = re.compile(r"--[^\n]*\n|/\*.*?\*/", re.S)
-_INSERT = re.compile(r"INSERT\s+INTO\s+`?((?:[\w-]+`?\.`?)?[\w-]+)`?\s*\(([\w\s`,]+)\)\s*VALUES\s*(.+?\));", re.I | re.S)
-
-
-class DumpError(ValueError):
-    """No statement, several tables, or no row of the right width."""
+from .formats import DumpError, SqlDump
 
 
 def typed(text: str, quoted: bool, unescape: bool = False):
@@ -53,23 +48,41 @@ def rows_of(values: str, unescape: bool = False):
         prior = ch
 
 
+def columns_of(shown: str) -> list[str]:
+    """Names in a statement's column list."""
+    return [c.strip().strip("`").strip() for c in re.sub(r"\s+", " ", shown).split(",")]
+
+
+def row_of(raw: str, unescape: bool = False) -> list | None:
+    """The values of one row's text in brackets."""
+    return next(rows_of(re.sub(r"\s+", " ", raw), unescape), None)
+
+
 def parse(text: str, unescape: bool = False) -> tuple[str, list[str], list[list], list[str]]:
-    """table, columns (of the first statement), rows, remarks on skipped rows."""
-    text = re.sub(r"\s+", " ", _COMMENT.sub("", text)).strip()
-    found = _INSERT.findall(text)
-    if not found:
+    """table, columns (of the first statement), rows, remarks on skipped rows, of a dump in memory."""
+    rule, state, depth, held, records = SqlDump(), SqlDump.states[0], 0, "", []
+    *whole, rest = text.split(rule.separator)
+    for chunk, followed in [*((c, True) for c in whole), (rest, False)]:
+        state, depth, pieces = rule.cut(state, depth, chunk, followed)
+        for shown, ends, fresh in pieces:
+            held = shown if fresh else held + shown
+            if ends:
+                records.append(held.partition("\0"))
+                held = ""
+    # A statement without its end counts for nothing.
+    records = [r for r in records if state[1] == "seek" or r[0][1:] != str(depth)]
+    heads = [r[2].split("\0") for r in records if r[0][0] == "H"]
+    if not heads:
         raise DumpError("no INSERT statement with a column list")
-    tables = {t.replace("`", "") for t, _, _ in found}
-    if len(tables) > 1:
+    if len(tables := {t for t, _ in heads}) > 1:
         raise DumpError(f"several tables: {sorted(tables)}")
-    columns = [c.strip().strip("`").strip() for c in found[0][1].split(",")]
+    columns = columns_of(heads[0][1])
     rows, remarks = [], []
-    for _, _, values in found:
-        for row in rows_of(values, unescape):
-            if len(row) == len(columns):
-                rows.append(row)
-            else:
-                remarks.append(f"{len(row)} values for {len(columns)} columns")
+    for row in [row_of(r[2], unescape) for r in records if r[0][0] == "R"]:
+        if len(row) == len(columns):
+            rows.append(row)
+        else:
+            remarks.append(f"{len(row)} values for {len(columns)} columns")
     if not rows:
         raise DumpError("no row fits the columns")
     return tables.pop(), columns, rows, remarks
