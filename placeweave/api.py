@@ -20,10 +20,6 @@ from .sources import files, sinks
 from .tasks import TaskStore, elapsed, new_id
 
 
-#: Distinct addresses of a group up to which each is looked up once, not row by row.
-DISTINCT_KEYS = 200_000
-
-
 class NotFound(LookupError):
     """No such task or row, or the task is not that far."""
 
@@ -57,7 +53,7 @@ class AddressEngine:
         """df has its file order in `_ord`; the result begins with `id`."""
         if "id" in df.columns:
             raise ValueError("the input has a column named id already")
-        converted = conversion.convert(df, groups, self.mapping, options, DISTINCT_KEYS)
+        converted = conversion.convert(df, groups, self.mapping, options, conversion.DISTINCT_KEYS)
         return conversion.with_ids(converted, files.ORD)
 
     @staticmethod

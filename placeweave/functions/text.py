@@ -12,6 +12,20 @@ FORMS = "aàáảãạăằắẳẵặâầấẩẫậeèéẻẽẹêềế
 VOWELS = FORMS[::6]
 TONED = "".join(f for i, f in enumerate(FORMS) if i % 6)
 PLAIN = "".join(v * 5 for v in VOWELS)
+def char_class(chars: str) -> str:
+    """Characters for the inside of a pattern's brackets, neighbours as ranges: each range is one test of a character, each single one another."""
+    codes, parts = sorted(set(map(ord, chars))), []
+    for c in codes:
+        if parts and parts[-1][1] == c - 1:
+            parts[-1][1] = c
+        else:
+            parts.append([c, c])
+    return "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in parts)
+
+
+#: Any letter with a tone mark, for the inside of a pattern's brackets.
+MARKED = char_class(TONED + TONED.upper())
+
 #: Vowels that draw the tone mark to themselves.
 STRONG = "êơâăôư"
 
@@ -47,12 +61,12 @@ def _bound(f, **values: Column) -> Column:
     return F.transform(F.array(F.struct(*[v.alias(k) for k, v in values.items()])), f)[0]
 
 
-def _canonical_run(run: Column) -> Column:
+def canonical_run(run: Column) -> Column:
     """One run of word characters with its tone mark (the last one found) on the canonical vowel."""
     plain = F.translate(run, TONED + FORMS.upper(), PLAIN + "".join(v * 6 for v in VOWELS))
-    mark = F.lower(F.regexp_extract(run, f"^.*([{TONED}{TONED.upper()}])", 1))
+    mark = F.lower(F.regexp_extract(run, f"^.*([{MARKED}])", 1))
     # Most runs have no mark: one look at a run settles that.
-    return F.when(~run.rlike(f"[{TONED}{TONED.upper()}]"), run).otherwise(_bound(lambda s: _marked(run, s["plain"], s["mark"]), plain=plain, mark=mark))
+    return F.when(~run.rlike(f"[{MARKED}]"), run).otherwise(_bound(lambda s: _marked(run, s["plain"], s["mark"]), plain=plain, mark=mark))
 
 
 #: Each vowel as one of two signs, so that places are found by plain search: the strong ones, then the others.
@@ -86,8 +100,8 @@ def _marked(run: Column, plain: Column, mark: Column) -> Column:
 def canonical_tones(c: Column) -> Column:
     """Every word run with its tone mark in canonical place; everything else unchanged. Null stays null."""
     runs = F.regexp_extract_all(c, F.lit(r"([\p{L}\p{N}_]+|[^\p{L}\p{N}_]+)"), F.lit(1))
-    marked = c.rlike(f"[{TONED}{TONED.upper()}]")  # most texts without a tone mark need no look at their words
-    return F.when(marked, F.array_join(F.transform(runs, _canonical_run), "")).otherwise(c)
+    marked = c.rlike(f"[{MARKED}]")  # most texts without a tone mark need no look at their words
+    return F.when(marked, F.array_join(F.transform(runs, canonical_run), "")).otherwise(c)
 
 
 def normalize_place(c: Column) -> Column:

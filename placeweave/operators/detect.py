@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from heapq import heapify, heappop, heappush
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -75,18 +77,30 @@ def candidates(sample: DataFrame, units: DataFrame, columns: list[str] | None =
 
 
 def _matched(wards: list[str], others: list[str]) -> dict[int, str]:
-    """Greedy: the most similar pair first (first in row-major order), each row and column once."""
-    score = [[jaro_winkler(w, o) for o in others] for w in wards]
+    """Greedy: the most similar pair first (first in row-major order), each row and column once.
+
+    A queue holds each row's best column that was free when it was put there. If that is taken by now, the
+    row goes back with its next one; so a pair is looked at once, and nothing is scanned again.
+    """
+    waiting: list[tuple[float, int, int, int]] = []  # -score, row, column, place in the row's order
+    orders: list[list[tuple[float, int]]] = []
+    for i, w in enumerate(wards):
+        orders.append(sorted((-s, j) for j, o in enumerate(others) if (s := jaro_winkler(w, o)) > 0))
+        if orders[i]:
+            waiting.append((orders[i][0][0], i, orders[i][0][1], 0))
+    heapify(waiting)
     out: dict[int, str] = {}
-    while True:
-        best = max(((s, -i, -j) for i, row in enumerate(score) for j, s in enumerate(row)), default=(0.0, 0, 0))
-        if best[0] <= 0:
-            return out
-        i, j = -best[1], -best[2]
-        out[i] = others[j]
-        score[i] = [0.0] * len(others)
-        for row in score:
-            row[j] = 0.0
+    taken: set[int] = set()
+    while waiting:
+        _, i, j, at = heappop(waiting)
+        if j not in taken:
+            taken.add(j)
+            out[i] = others[j]
+            continue
+        at = next((k for k in range(at + 1, len(orders[i])) if orders[i][k][1] not in taken), None)
+        if at is not None:
+            heappush(waiting, (*orders[i][at][:1], i, orders[i][at][1], at))
+    return out
 
 
 def group_columns(found: dict[str, list[str]]) -> list[AddressGroup]:

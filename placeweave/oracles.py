@@ -169,6 +169,13 @@ ORACLE_SQL = {
         WHEN 0 THEN 'Tỉnh ' || n_name WHEN 1 THEN '  TP. ' || n_name WHEN 2 THEN n_name || ' Province' WHEN 3 THEN 'Quận 0' || c_custkey
         WHEN 4 THEN 'District of ' || n_name || ' (cũ)' WHEN 5 THEN n_name || '-x, y./ ' WHEN 6 THEN 'Thị xã Hoà ' || n_name ELSE n_name END AS noisy
       FROM customer JOIN nation ON c_nationkey = n_nationkey)""",
+    "detect_cases": _groups(("single", 0, None, None, None, "home_province", "home_district", "home_ward"), ("left_over", 0, None, None, None, "home_province", None, "home_ward"), ("left_over", 1, None, None, None, None, None, "work_ward")),
+    "greedy_wide": """WITH stems AS (SELECT n_name || '_' || lpad(CAST(i AS VARCHAR), 2, '0') AS x FROM nation CROSS JOIN range(20) t(i)) SELECT x || '_ward' AS ward, x || '_province' AS province, x || '_district' AS district FROM stems""",
+    "header_repair_units": """WITH heads AS (SELECT n_nationkey, n_name, CASE WHEN n_nationkey % 7 <> 3 THEN r_name END AS head FROM nation JOIN region ON n_regionkey = r_regionkey)
+      SELECT CAST(n_nationkey AS INTEGER) AS place, CASE WHEN head IS NULL THEN 'col_' || n_nationkey WHEN nth = 0 THEN head ELSE head || '.' || nth END AS name, n_name AS value
+      FROM (SELECT *, row_number() OVER (PARTITION BY head ORDER BY n_nationkey) - 1 AS nth FROM heads)""",
+    "ndjson_notes": """SELECT CAST(l_orderkey AS VARCHAR) AS key, CAST(l_linenumber AS VARCHAR) AS line, printf('%.2f', CAST(l_quantity AS DOUBLE)) AS quantity, '{"n":1.50}' AS deep FROM lineitem WHERE l_linenumber <= 2""",
+    "tone_dictionary_docs": f"SELECT doc_id, md5({canonical('lower(text)')}) AS canonical FROM documents",
     "tone_canonical_docs": f"SELECT doc_id, md5({canonical('lower(text)')}) AS canonical FROM documents",
     "tone_changed_count": f"SELECT lang, count(*) FILTER (WHERE low <> {canonical('low')}) AS changed, count(*) AS n FROM (SELECT lang, lower(text) AS low FROM documents) GROUP BY lang",
     "mapping_key": f"WITH {MAPPING} SELECT p, d, w, new_idw AS id_ward FROM mapping",

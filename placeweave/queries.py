@@ -20,7 +20,7 @@ from .functions import text
 from .functions.similarity import jaro_winkler
 from .operators import convert as conversion
 from .operators import detect as detection
-from .operators import edits, ordering, status
+from .operators import edits, ordering, status, tones
 from .operators.convert import AddressGroup
 from .operators.lookup import lookup
 from .plans import mapping as mappings
@@ -69,7 +69,7 @@ def _looked_up(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _converted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversion.convert(addresses(spark, sf_dir), [GROUP], mappings.build(mapping_rows(spark, sf_dir)))
+    return conversion.convert(addresses(spark, sf_dir), [GROUP], mappings.build(mapping_rows(spark, sf_dir)), distinct_keys=conversion.DISTINCT_KEYS)
 
 
 def normalize_place(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,6 +88,12 @@ def tone_canonical_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.canonical_tones(F.lower("text"))).alias("canonical"))
 
 
+def tone_dictionary_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same through the dictionary of distinct syllables."""
+    found = tones.with_canonical(table(spark, sf_dir, "documents").select("doc_id", "text"), F.lower("text"), "canonical")
+    return found.select("doc_id", F.md5("canonical").alias("canonical"))
+
+
 def tone_changed_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = F.lower("text")
     d = table(spark, sf_dir, "documents").select("lang", low.alias("low"), text.canonical_tones(low).alias("canonical"))
@@ -128,7 +134,7 @@ def convert_multi_group_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     ward2 = F.when(F.col("c_custkey") % 7 == 0, "nowhere").otherwise(F.col("ward"))
     two = a.withColumns({"province2": F.regexp_replace("province", "^Bad ", ""), "district2": F.regexp_replace("district", "^Bad ", ""), "ward2": ward2})
     groups = [GROUP, AddressGroup(province="province2", district="district2", ward="ward2")]
-    return conversion.convert(two, groups, mappings.build(mapping_rows(spark, sf_dir)))
+    return conversion.convert(two, groups, mappings.build(mapping_rows(spark, sf_dir)), distinct_keys=conversion.DISTINCT_KEYS)
 
 
 def convert_no_province(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -197,6 +203,22 @@ def group_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
+def detect_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers' sheet cut down: one group, a ward without partners, no ward at all."""
+    sample, units = _sheet_sample(spark, sf_dir), mappings.unit_sets(mapping_rows(spark, sf_dir))
+    cases = {"single": ["home_province", "home_district", "home_ward"], "left_over": ["home_province", "home_ward", "work_ward"], "no_ward": ["home_province", "home_district", "work_province"]}
+    return _group_rows(spark, {case: detection.detect(sample.select(*columns), units) for case, columns in cases.items()})
+
+
+def greedy_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns of a sheet 500 units wide, named by the nations: each ward finds the province and district of its name."""
+    names = [r[0] for r in table(spark, sf_dir, "nation").select("n_name").orderBy("n_nationkey").collect()]  # names of columns
+    stems = [f"{n}_{i:02d}" for i in range(20) for n in names]
+    none = dict.fromkeys(mappings.KINDS, [])
+    groups = detection.group_columns(none | {"wards": [f"{x}_ward" for x in stems], "provinces": [f"{x}_province" for x in reversed(stems)], "districts": [f"{x}_district" for x in sorted(stems)]})
+    return spark.createDataFrame([(g.ward, g.province, g.district) for g in groups], "ward string, province string, district string")
+
+
 def numeric_convertible(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = table(spark, sf_dir, "part")
     raw = F.when(F.col("p_partkey") % 4 == 0, F.col("p_brand")).when(F.col("p_partkey") % 4 == 1, F.concat(F.col("p_size").cast("string"), F.lit("d"))).otherwise(F.col("p_size").cast("string"))
@@ -443,6 +465,27 @@ def header_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(enumerate(names)), "place int, name string")
 
 
+def header_repair_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sheet whose header holds each nation's region, so that names repeat, and every seventh name is missing."""
+    n, r = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    head = F.when(F.col("n_nationkey") % 7 != 3, F.col("r_name")).otherwise("")
+    cells = n.join(r, n["n_regionkey"] == r["r_regionkey"]).agg(F.array_sort(F.collect_list(F.struct("n_nationkey", head.alias("head"), "n_name"))).alias("c"))  # one row, as wide as nation
+    lines = cells.select(F.explode(F.array(F.array_join("c.head", ","), F.array_join("c.n_name", ","))).alias("value"))
+    lines.coalesce(1).write.text(path := scratch(spark, "heads"))
+    sheet = files.read_csv(spark, path).drop(files.ORD)
+    found = [F.struct(F.lit(i).alias("place"), F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(sheet.columns)]
+    return sheet.select(F.explode(F.array(*found)).alias("x")).select("x.*")
+
+
+def ndjson_notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as one object a line, with notes and empty lines between; numbers stay as they are written."""
+    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 2")
+    shown = F.concat(F.lit('{"key": '), "l_orderkey", F.lit(', "line": '), "l_linenumber", F.lit(', "quantity": '), F.format_string("%.2f", F.col("l_quantity").cast("double")), F.lit(', "deep": {"n": 1.50}}'))
+    note = F.when(F.col("l_orderkey") % 3 == 0, F.concat(F.lit(" // "), shown)).when(F.col("l_orderkey") % 3 == 1, "  ").otherwise("")
+    li.select(F.explode(F.array(shown, note)).alias("value")).write.text(path := scratch(spark, "notes"))
+    return files.read_json(spark, path).drop(files.ORD)
+
+
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, found = scratch(spark, "out") + ".csv", []
     for _ in range(3):
@@ -567,7 +610,7 @@ def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "normalize_place": normalize_place, "tone_canonical_docs": tone_canonical_docs, "tone_changed_count": tone_changed_count,
+    "normalize_place": normalize_place, "tone_canonical_docs": tone_canonical_docs, "tone_dictionary_docs": tone_dictionary_docs, "tone_changed_count": tone_changed_count,
     "mapping_key": mapping_key, "mapping_file": mapping_file, "mapping_grouped_values": mapping_grouped_values, "unit_sets": unit_sets,
     "lookup_exact": lookup_kind("exact"), "lookup_fallback_unique": lookup_kind("fallback"), "lookup_ambiguous": lookup_kind("ambiguous"), "lookup_counts": lookup_counts,
     "convert_single_group": convert_single_group, "convert_multi_group_status": convert_multi_group_status, "convert_no_province": convert_no_province,
@@ -579,7 +622,7 @@ QUERIES = {
     "sql_literal_format": sql_literal_format, "sql_dump_roundtrip": sql_dump_roundtrip, "csv_roundtrip": csv_roundtrip, "json_roundtrip": json_roundtrip,
     "detect_candidates": detect_candidates, "detect_groups": detect_groups, "group_cases": group_cases, "percent_half_even": percent_half_even,
     "json_array_roundtrip": json_array_roundtrip, "json_column_order": json_column_order, "csv_encodings": csv_encodings, "file_infos": file_infos,
-    "header_repair": header_repair, "output_names": output_names, "sql_statement_roundtrip": sql_statement_roundtrip, "task_records": task_records, "task_state": task_state,
+    "header_repair": header_repair, "header_repair_units": header_repair_units, "ndjson_notes": ndjson_notes, "detect_cases": detect_cases, "greedy_wide": greedy_wide, "output_names": output_names, "sql_statement_roundtrip": sql_statement_roundtrip, "task_records": task_records, "task_state": task_state,
     "task_row_edit": task_row_edit, "task_row_lookup": task_row_lookup, "task_filtered": task_filtered, "download_success": download("success"), "download_error": download("error"),
     "group_preview": group_preview, "edit_fields_merged": edit_fields_merged, "child_cascade": child_cascade, "compose_marks": compose_marks,
     "excel_roundtrip": excel_roundtrip, "sqlite_sample": sqlite_sample, "union_chunks": union_chunks, "set_difference": set_difference, "iso_timestamps": iso_timestamps,
