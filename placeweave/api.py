@@ -8,7 +8,7 @@ import uuid
 from dataclasses import asdict
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from .operators import convert as conversion
@@ -106,11 +106,13 @@ class AddressEngine:
             fields = AddressGroup.__dataclass_fields__
             chosen = [AddressGroup(**{f: g.get(f) for f in fields}) for g in groups]
             done = self.convert(self.read(task["filename"]), chosen, options)
-            done.write.parquet(where := f"{self.folder}/records/{task_id}-{uuid.uuid4().hex}")
-            found = status.counts(self.spark.read.parquet(where)).first()
-            result = {"total_rows": found["total"], "success_count": found["success"], "fail_count": found["fail"], "records": where}
+            # Counted while the records are written; they are not read again.
+            seen = Observation(f"counts-{task_id}")
+            done.observe(seen, *status.tallies()).write.parquet(where := f"{self.folder}/records/{task_id}-{uuid.uuid4().hex}")
+            total, success = seen.get["total"], seen.get["success"]
+            result = {"total_rows": total, "success_count": success, "fail_count": total - success, "records": where}
             message = f"HOÀN THÀNH trong {elapsed(began)}, Sẵn sàng xem kết quả và chỉnh sửa!"
-            self.tasks.update(task_id, status="preview_ready", progress=found["percent"], message=message, columns=self.output_columns(done), step=2, result=result)
+            self.tasks.update(task_id, status="preview_ready", progress=status.share(success, total), message=message, columns=self.output_columns(done), step=2, result=result)
         except Exception as e:  # whatever went wrong belongs to the task
             self.tasks.update(task_id, status="failed", message=f"Lỗi: {str(e).splitlines()[0] if str(e) else type(e).__name__}", progress=0)
         return self.tasks.get(task_id)
@@ -125,20 +127,37 @@ class AddressEngine:
         """The task's converted records with all its edits."""
         return self.apply_edits(task_id, self.spark.read.parquet(self._task(task_id, ready=True)["result"]["records"]))
 
-    def _recount(self, task_id: str, step: int = 2) -> dict:
+    def recount(self, task_id: str) -> dict:
+        """Counts of all records with their edits, from the records themselves."""
         found = status.counts(self.records(task_id), empty=100.0).first()
-        result = self._task(task_id)["result"] | {"success_count": found["success"], "fail_count": found["fail"]}
-        self.tasks.update(task_id, step=step, result=result)
         return {"total_rows": found["total"], "success_count": found["success"], "fail_count": found["fail"], "progress": found["percent"]}
 
+    def row(self, task_id: str, row_id):
+        """The record with this id and its edits laid over, or None: only the files that can hold it are read, and its own edits."""
+        result = self._task(task_id, ready=True)["result"]
+        found = edits.row_by_id(self.spark.read.parquet(result["records"]), row_id)
+        number = edits.number_of(row_id)
+        if number is not None:
+            made = self.tasks.edits_of(task_id, number - 1)
+            found = edits.overlay(found, made, self.output_columns(found))
+        return found.first()
+
     def update_row(self, task_id: str, row_id, fields: dict[str, str | None]) -> dict:
-        """Lay fields over the row with this id, which is then a success; the row as it was is kept."""
-        row = edits.row_by_id(self.records(task_id), row_id).first()
+        """Lay fields over the row with this id, which is then a success; the row as it was is kept.
+
+        The counts are those of the task before, changed by the row's status before and after.
+        """
+        row = self.row(task_id, row_id)
         if row is None:
             raise NotFound(f"{task_id}: no row with id {row_id}")
         self.tasks.add_edit(task_id, int(row["id"]) - 1, {k: None if v is None else str(v) for k, v in fields.items()}, row.asDict())
         updated = row.asDict() | fields | {status.STATUS: status.SUCCESS}
-        return {"id": row_id, "row_index": int(row["id"]) - 1, "updated_row": updated, "step": 2} | self._recount(task_id)
+        result = self._task(task_id)["result"]
+        gained = row[status.STATUS] != status.SUCCESS
+        result = result | {"success_count": result["success_count"] + gained, "fail_count": result["fail_count"] - gained}
+        self.tasks.update(task_id, step=2, result=result)
+        counts = {c: result[c] for c in ("total_rows", "success_count", "fail_count")}
+        return {"id": row_id, "row_index": int(row["id"]) - 1, "updated_row": updated, "step": 2} | counts | {"progress": status.share(counts["success_count"], counts["total_rows"], 100.0)}
 
     def filtered_data(self, task_id: str, mode: str = "all") -> DataFrame:
         """success, error, or all records of the task."""

@@ -32,9 +32,16 @@ def overlay(base: DataFrame, edits: DataFrame, columns: list[str] | None = None)
     return joined.select("id", *[cell(c) if c in base.columns else F.lit("").alias(c) for c in columns])
 
 
+def number_of(row_id) -> int | None:
+    """The id that reads as row_id when written as text, if any does."""
+    shown = str(row_id)
+    return int(shown) if shown.removeprefix("-").isdecimal() and shown == str(int(shown)) else None
+
+
 def row_by_id(df: DataFrame, row_id) -> DataFrame:
-    """The row with this id, compared as text; no row where there is none."""
-    return df.filter(F.col("id").cast("string") == str(row_id)).limit(1)
+    """The row with this id, compared as text; no row where there is none. As a number, so that files whose ids lie elsewhere are not read."""
+    number = number_of(row_id)
+    return df.filter(F.lit(False) if number is None else F.col("id") == number).limit(1)
 
 
 def merged(edits: DataFrame, keys: list[str], fields: str, *newest_first) -> DataFrame:

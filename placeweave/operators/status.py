@@ -42,8 +42,17 @@ def percent(part: Column, whole: Column, empty: float = 0.0) -> Column:
     return F.when(whole == 0, F.lit(empty)).otherwise((tenths + F.when(up, 1).otherwise(0)) / F.lit(10.0))
 
 
+def share(part: int, whole: int, empty: float = 0.0) -> float:
+    """percent of two numbers."""
+    return round(part / whole * 100, 1) if whole else empty
+
+
+def tallies() -> list[Column]:
+    """total and success, as aggregates that can also be observed while rows are written."""
+    return [F.count("*").alias("total"), F.count_if(is_success()).alias("success")]
+
+
 def counts(df: DataFrame, empty: float = 0.0) -> DataFrame:
     """total, success, fail, percent (empty input: the given percentage)."""
-    ok, total = F.count_if(is_success()), F.count("*")
-    found = df.agg(total.alias("total"), ok.alias("success"))
+    found = df.agg(*tallies())
     return found.select("total", "success", (F.col("total") - F.col("success")).alias("fail"), percent(F.col("success"), F.col("total"), empty).alias("percent"))

@@ -156,6 +156,9 @@ ORACLE_SQL = {
       UNION ALL SELECT 'pending', 0, 1, '', -1, -1, -1 UNION ALL SELECT 'failed', 0, 1, '', -1, -1, -1""",
     "task_row_edit": f"""{CONVERTED}, rows AS (SELECT {RECORDS}, province, ward, "statusState" FROM converted)
       SELECT id, CASE id WHEN 3 THEN 'P' ELSE province END AS province, CASE id WHEN 3 THEN 'second' ELSE ward END AS ward, CASE WHEN id IN (3, 5) THEN 'Thành công' ELSE "statusState" END AS "statusState" FROM rows WHERE id <= 20""",
+    "task_edit_counts": f"""{CONVERTED}, n AS (SELECT count(*) AS total, count(*) FILTER (WHERE "statusState" = 'Thành công') AS was FROM converted)
+      SELECT CAST(step AS INTEGER) AS step, total, was + gained AS success, total - was - gained AS fail, round(100.0 * (was + gained) / total, 1)::DOUBLE AS percent
+      FROM n, (VALUES (0, 1), (1, 2), (2, 3), (3, 3), (4, 3), (5, 3)) t(step, gained)""",
     "task_row_lookup": f"{CONVERTED} SELECT c_custkey, ward FROM converted WHERE c_custkey = 7",
     "task_filtered": f"""{CONVERTED} SELECT CAST(c_custkey AS VARCHAR) AS c_custkey, ward, "statusState" FROM converted WHERE "statusState" <> 'Thành công'""",
     "download_success": f"""{CONVERTED} SELECT * EXCLUDE ("statusState") REPLACE (CAST(c_custkey AS VARCHAR) AS c_custkey) FROM converted WHERE "statusState" = 'Thành công'""",

@@ -542,6 +542,16 @@ def task_row_edit(spark: SparkSession, sf_dir: str) -> DataFrame:
     raise AssertionError("a missing row must not be found")
 
 
+def task_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts kept after each of several edits, an edited row and a row that was right among them, and a recount of all records."""
+    engine, task_id = _engine(spark, sf_dir)
+    wrong = [r["id"] for r in engine.filtered_data(task_id, "error").select("id").orderBy("id").limit(3).collect()]
+    right = engine.filtered_data(task_id, "success").select("id").orderBy("id").first()["id"]
+    told = [engine.update_row(task_id, i, {"ward": f"w{i}"}) for i in (*wrong, wrong[0], right)]
+    rows = [(step, t["total_rows"], t["success_count"], t["fail_count"], t["progress"]) for step, t in enumerate([*told, engine.recount(task_id)])]
+    return spark.createDataFrame(rows, "step int, total long, success long, fail long, percent double")
+
+
 def task_row_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _converted(spark, sf_dir).withColumn("id", F.col("c_custkey"))
     return edits.row_by_id(base, "7").select("c_custkey", "ward")
@@ -623,7 +633,7 @@ QUERIES = {
     "detect_candidates": detect_candidates, "detect_groups": detect_groups, "group_cases": group_cases, "percent_half_even": percent_half_even,
     "json_array_roundtrip": json_array_roundtrip, "json_column_order": json_column_order, "csv_encodings": csv_encodings, "file_infos": file_infos,
     "header_repair": header_repair, "header_repair_units": header_repair_units, "ndjson_notes": ndjson_notes, "detect_cases": detect_cases, "greedy_wide": greedy_wide, "output_names": output_names, "sql_statement_roundtrip": sql_statement_roundtrip, "task_records": task_records, "task_state": task_state,
-    "task_row_edit": task_row_edit, "task_row_lookup": task_row_lookup, "task_filtered": task_filtered, "download_success": download("success"), "download_error": download("error"),
+    "task_row_edit": task_row_edit, "task_edit_counts": task_edit_counts, "task_row_lookup": task_row_lookup, "task_filtered": task_filtered, "download_success": download("success"), "download_error": download("error"),
     "group_preview": group_preview, "edit_fields_merged": edit_fields_merged, "child_cascade": child_cascade, "compose_marks": compose_marks,
     "excel_roundtrip": excel_roundtrip, "sqlite_sample": sqlite_sample, "union_chunks": union_chunks, "set_difference": set_difference, "iso_timestamps": iso_timestamps,
 }

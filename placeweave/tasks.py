@@ -96,7 +96,8 @@ class TaskStore:
     def add_edit(self, task_id: str, row_index: int, edited: dict[str, str | None], original: dict | None = None) -> None:
         shown = None if original is None else json.dumps(plain(original), ensure_ascii=False)
         row = (task_id, row_index, edited, shown, datetime.now(timezone.utc), time.time_ns())
-        self.spark.createDataFrame([row], EDITS).write.mode("append").parquet(self.edits)
+        # A folder for each task: the edits of others are never read.
+        self.spark.createDataFrame([row], EDITS).write.mode("append").partitionBy("task_id").parquet(self.edits)
 
     def _edits(self, task_id: str) -> DataFrame:
         try:
@@ -107,9 +108,10 @@ class TaskStore:
         gone = log.agg(F.max(F.when(F.col("body").isNull(), F.col("seq")))).first()[0]
         return made if gone is None else made.filter(F.col("seq") > gone)
 
-    def edits_of(self, task_id: str) -> DataFrame:
-        """One edit per row: later ones add to and replace fields of earlier ones; one without fields still marks its row."""
-        return merged(self._edits(task_id), ["row_index"], "edited", F.desc("edited_at"), F.desc("seq"))
+    def edits_of(self, task_id: str, row_index: int | None = None) -> DataFrame:
+        """One edit per row (or of the one row): later ones add to and replace fields of earlier ones; one without fields still marks its row."""
+        made = self._edits(task_id)
+        return merged(made if row_index is None else made.filter(F.col("row_index") == row_index), ["row_index"], "edited", F.desc("edited_at"), F.desc("seq"))
 
     def original_of(self, task_id: str, row_index: int) -> dict | None:
         """The row as it was before its first edit."""
