@@ -117,13 +117,13 @@ def merge_by(sketches: DataFrame, key: str, k: int = K, salts: int = 64) -> Data
     A key with any share of all rows is first merged in `salts` groups per input partition chunk;
     what the last merge gets for a key is at most `salts` sketches. Null keys form one key.
     """
-    def partial(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for name, part in b.groupby(key, dropna=False, sort=False):
-                whole = np.unique(np.concatenate([load(f) for f in part["fingerprint"]]))[:k]
-                rows.append((None if pd.isna(name) else name, dump(whole, k)))
-            yield pd.DataFrame(rows, columns=[key, "fingerprint"])
+            merged: dict = {}  # keys stay as they are: pandas would round long ones beside a null
+            for name, shown in zip(b[key].to_pylist(), b["fingerprint"].to_pylist(), strict=True):
+                whole = np.concatenate([merged[name], load(shown)]) if name in merged else load(shown)
+                merged[name] = np.unique(whole)[:k]
+            yield pa.RecordBatch.from_arrays([pa.array(list(merged), b.schema.field(key).type), pa.array([dump(w, k) for w in merged.values()], pa.string())], names=[key, "fingerprint"])
 
     def final(rows: pd.DataFrame) -> pd.DataFrame:
         whole = np.unique(np.concatenate([load(f) for f in rows["fingerprint"]]))[:k]
@@ -131,7 +131,7 @@ def merge_by(sketches: DataFrame, key: str, k: int = K, salts: int = 64) -> Data
 
     kind = sketches.schema[key].dataType.simpleString()
     schema = f"`{key}` {kind}, fingerprint string"
-    small = sketches.select(key, "fingerprint").mapInPandas(partial, schema)
+    small = sketches.select(key, "fingerprint").mapInArrow(partial, schema)
     salted = small.withColumn("_salt", F.pmod(F.xxhash64("fingerprint"), F.lit(salts)))
     return salted.groupBy(key, "_salt").applyInPandas(final, schema).groupBy(key).applyInPandas(final, schema)
 

@@ -212,7 +212,9 @@ def weighted_odds(n_clean: Column, n_toxic: Column, clean: str = "clean", toxic:
     both = F.col(clean) + F.col(toxic)
     prior = F.greatest(F.lit(LEAST_PRIOR), F.lit(PRIOR_WORDS) * both / (n_clean + n_toxic))
     a, b = F.col(toxic) + prior, F.col(clean) + prior
-    odds = F.log(a / (n_toxic + PRIOR_WORDS - a)) - F.log(b / (n_clean + PRIOR_WORDS - b))
+    # What is left for all other words; none where a vocabulary has one word only.
+    other = lambda n, x: F.greatest(F.lit(LEAST_PRIOR), n + PRIOR_WORDS - x)
+    odds = F.log(a / other(n_toxic, a)) - F.log(b / other(n_clean, b))
     z2 = odds * odds / (1 / a + 1 / b)
     weight = 1 / (1 + F.exp(F.least(F.lit(700.0), (SURE**2 - z2) / 2)))
     return F.round(odds * weight / STEP) * STEP

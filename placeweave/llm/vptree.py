@@ -255,6 +255,9 @@ def valid(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 FOUND = "query_id long, vec_id long, score double"
+#: Rows drawn for each one that a router needs, and the fineness of the share that is drawn.
+DRAWN = 1.5
+SHARE_STEPS = 1 << 30
 
 
 def _matrix(v: pd.Series) -> np.ndarray:
@@ -267,10 +270,16 @@ def _routers(points: DataFrame, shard_vectors: int) -> tuple[dict[int, Router],
     stats = points.groupBy("width").agg(F.count("*").alias("n"), F.max(squares).alias("top")).collect()  # a row for each length
     leaves = {r["width"]: max(1, min(MAX_LEAVES, -(-r["n"] // shard_vectors))) for r in stats}
     top = {r["width"]: float(r["top"]) * (1 + 1e-12) for r in stats}
-    most = LEAF_SAMPLE * max(leaves.values(), default=1)
-    number = F.row_number().over(Window.partitionBy("width").orderBy(F.xxhash64("h", F.lit("sample")), "id"))
-    sample = points.select("width", "id", "h", "v").withColumn("n", number).filter(F.col("n") <= most).toPandas()
-    return {w: Router(_matrix(part["v"]), leaves[w], top[w]) for w, part in sample.groupby("width")}, top
+    # A hash of the row tells whether it is drawn, so no task sees more rows than its own; some more than
+    # LEAF_SAMPLE a leaf are drawn, so that hardly ever fewer come.
+    shares = [(r["width"], min(1.0, DRAWN * LEAF_SAMPLE * leaves[r["width"]] / r["n"])) for r in stats]
+    drawn = F.pmod(F.xxhash64("h", "id", F.lit("sample")), F.lit(SHARE_STEPS))
+    known = points.sparkSession.createDataFrame([(w, max(1, round(s * SHARE_STEPS))) for w, s in shares], "width int, below int")
+    sample = points.select("width", "id", "h", "v").join(F.broadcast(known), "width").filter(drawn < F.col("below")).select("width", "v").toPandas()
+    routers = {w: Router(_matrix(part["v"]), leaves[w], top[w]) for w, part in sample.groupby("width")}
+    if len(routers) < len(leaves):
+        raise RuntimeError("no vector was drawn of some length")
+    return routers, top
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float = 0.6, id_col: str = "vec_id", vec_col: str = "embedding", shard_vectors: int = SHARD_VECTORS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
@@ -312,8 +321,9 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
             known.setdefault(r["leaf"], []).extend([] if r["at"] is None else [value])
         subs[r["width"], r["leaf"]] = max(1, round(r["n"] / shard_vectors))
 
-    divided = F.coalesce(*[F.when((F.col("width") == w) & (F.col("leaf") == leaf), n) for (w, leaf), n in subs.items() if n > 1], F.lit(1))
-    sharded = routed.withColumn("sub", F.pmod("h", divided).cast("int"))
+    # A row for each leaf, of which there are MAX_LEAVES for a length at most.
+    divided = spark.createDataFrame([(w, leaf, n) for (w, leaf), n in subs.items()], "width int, leaf int, parts int")
+    sharded = routed.join(F.broadcast(divided), ["width", "leaf"]).withColumn("sub", F.pmod("h", "parts").cast("int"))
 
     def grow(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         tree = Shard(_matrix(rows["v"]), rows["id"].to_numpy(), top[key[0]])
@@ -350,6 +360,8 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, factor: float =
 
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     first = search(asked.select("id", "v", "width", F.lit(float("-inf")).alias("floor")), True)
+    if len(subs) == len(routers):  # one leaf for each length: everything has been visited
+        return first.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
     kth = first.withColumn("n", rank).filter(F.col("n") == k).select(F.col("query_id").alias("id"), F.col("score").alias("kth"))
     floored = asked.join(kth, "id", "left").select("id", "v", "width", F.coalesce("kth", F.lit(float("-inf"))).alias("floor"))
     found = first.unionByName(search(floored, False))
