@@ -70,6 +70,16 @@ def test_merge_by_key(spark):
         assert got[k] == fingerprint.dump(want)
 
 
+def test_merge_by_long_keys_beside_null(spark):
+    keys = [2**53 + 1, None, 2**53 + 3, -(2**62) - 1]
+    rows = [(k, fingerprint.dump(fingerprint.sketch(f"{k} a b c d e f {i}"))) for i in range(9) for k in keys]
+    got = {r.k: r.fingerprint for r in fingerprint.merge_by(spark.createDataFrame(rows, "k long, fingerprint string").coalesce(1), "k").collect()}
+    assert set(got) == set(keys)
+    for k in keys:
+        want = np.unique(np.concatenate([fingerprint.load(f) for n, f in rows if n == k]))[: fingerprint.K]
+        assert got[k] == fingerprint.dump(want)
+
+
 # 2: SentencePiece
 def test_pieces_round_trip_and_parity(docs, empty):
     got = pieces.encode_documents(docs, public_tokenizers.path("piece_bpe_32k.model")).toPandas()
@@ -604,6 +614,33 @@ def test_each_placement_makes_the_sum_smallest(early):
     assert n == len(gaps)
 
 
+def test_search_over_many_leaves_draws_a_bounded_sample(spark, monkeypatch):
+    """More leaves than Spark's own group limit would cover; the driver gets some rows a leaf, not all."""
+    rng = np.random.default_rng(16)
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(rng.normal(size=(6000, 4)))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    drawn, made = [], vptree.Router
+
+    def router(x, leaves, top):
+        drawn.append((len(x), leaves))
+        return made(x, leaves, top)
+
+    monkeypatch.setattr(vptree, "Router", router)
+    got = vptree.nearest(df, df.filter("vec_id % 500 = 0"), k=20, factor=1.0, shard_vectors=100).toPandas()
+    (size, leaves), = drawn
+    assert leaves == 60 and vptree.LEAF_SAMPLE * leaves <= size <= 2 * vptree.LEAF_SAMPLE * leaves < 6000
+    want = nearest_by_force(rows, [r for r in rows if r[0] % 500 == 0], 20)
+    for q, part in got.sort_values("rank").groupby("query_id"):
+        assert part["vec_id"].tolist() == [i for i, _ in want[q]]
+
+
+def test_one_word_vocabulary(spark):
+    docs = spark.createDataFrame([(i, "same") for i in range(12)], "doc_id long, text string")
+    sample = spark.createDataFrame([(i, i % 2) for i in range(12)], "id long, y int")
+    scored = toxicity.score(docs, toxicity.fit(docs, sample)).toPandas()
+    assert len(scored) == 12 and scored["score"].between(0, 1).all()
+
+
 def test_search_with_awkward_rows(spark):
     """Vectors of two lengths, an id twice, a vector that a third of all rows share, shards divided by a hash."""
     rng = np.random.default_rng(15)

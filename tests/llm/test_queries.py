@@ -145,7 +145,8 @@ def test_op6_and_op9(spark, found, texts, name, label, n, rest):
     assert (got["held_out"] == [zlib.crc32(str(i).encode()) % n == rest for i in got["doc_id"]]).all()
     labels = common.read(spark, SF, "labels").toPandas()
     both = got.merge(labels, on="doc_id")
-    assert (both["predicted"] == both[label]).mean() > 0.8
+    # Of each class, so that one answer for all would fail.
+    assert both[label].nunique() == 2 and (both["predicted"] == both[label]).groupby(both[label]).mean().min() > 0.3
 
 
 def test_op7(found, texts):
@@ -155,6 +156,8 @@ def test_op7(found, texts):
         data = texts[r.doc_id].encode()
         assert (r.size, r.text_crc32) == (len(data) + 16, zlib.crc32(data))
     assert got.groupby("text_crc32")["shard"].nunique().max() == 1 and set(got["shard"]) <= set(range(40))
+    filled, whole = got.groupby("shard")["size"].sum(), got.groupby("text_crc32")["size"].sum()
+    assert len(filled) == 40 and filled.max() <= max(filled.mean() + whole.median(), whole.max())  # near equal, but for a group beyond a share
     for _, part in got.groupby("shard"):
         assert sorted(part["slot"]) == list(range(len(part)))
 
