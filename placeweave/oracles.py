@@ -69,6 +69,21 @@ FOUND = f"""WITH {MAPPING}, {ADDRESSES}, found AS (
     CASE WHEN exact > 0 OR near = 1 THEN any_ord END AS ord
   FROM found f
 )"""
+#: One ward holds half of the addresses; each other one is a customer's own.
+HOT_WARD = """WITH places AS (SELECT * FROM nation JOIN region ON n_regionkey = r_regionkey), mapping AS (
+  SELECT r_name AS p, n_name AS d, c_name AS w FROM customer JOIN places ON c_nationkey = n_nationkey WHERE c_custkey % 2 = 1
+  UNION ALL SELECT r_name, n_name, 'Big market' FROM places
+), facts AS (
+  SELECT c_custkey, CASE WHEN c_custkey % 5 = 0 THEN 'Bad ' || c_custkey ELSE r_name END AS p,
+    CASE WHEN c_custkey % 3 = 0 THEN 'Bad ' || c_custkey ELSE n_name END AS d, CASE WHEN c_custkey % 2 = 0 THEN 'Big market' ELSE c_name END AS w
+  FROM customer JOIN places ON c_nationkey = n_nationkey
+), found AS (
+  SELECT c_custkey, count(*) FILTER (WHERE m.p = f.p AND m.d = f.d) AS exact, count(m.w) AS near,
+    any_value('New ' || m.w || ' ' || m.d) FILTER (WHERE m.p = f.p AND m.d = f.d) AS sure, any_value('New ' || m.w || ' ' || m.d) AS one
+  FROM facts f LEFT JOIN mapping m ON m.w = f.w AND (m.p = f.p OR m.d = f.d) GROUP BY c_custkey
+)
+SELECT c_custkey, CASE WHEN exact > 0 THEN 'exact' WHEN near = 1 THEN 'fallback' WHEN near > 1 THEN 'ambiguous' ELSE 'miss' END AS how,
+  CASE WHEN exact > 0 THEN sure WHEN near = 1 THEN one END AS new_ward FROM found"""
 CONVERTED = f"""{FOUND}, converted AS (
   SELECT c_custkey, coalesce(new_idp, '') AS province_id_group1, coalesce(new_province, province) AS province,
     coalesce(new_idw, '') AS ward_id_group1, coalesce(new_ward, ward) AS ward,
@@ -186,6 +201,7 @@ ORACLE_SQL = {
     "mapping_grouped_values": f"WITH {MAPPING} SELECT p, w, count(*) AS n, string_agg(new_ward, '|' ORDER BY ord) AS wards FROM mapping GROUP BY p, w",
     "unit_sets": f"WITH {MAPPING}, {UNITS} SELECT kind, value FROM units",
     **{f"lookup_{name}": f"{FOUND} SELECT c_custkey, new_ward FROM looked l LEFT JOIN mapping m ON l.ord = m.ord WHERE how = '{kind}'" for name, kind in (("exact", "exact"), ("fallback_unique", "fallback"), ("ambiguous", "ambiguous"))},
+    "lookup_hot_ward": HOT_WARD,
     "lookup_counts": f"{FOUND} SELECT how, count(*) AS n FROM looked GROUP BY how",
     "convert_single_group": f"{CONVERTED} SELECT * FROM converted",
     "convert_multi_group_status": f"""{CONVERTED}, second AS (

@@ -29,6 +29,7 @@ class Mapping:
     by_district: DataFrame
     units: DataFrame
     keys: int
+    most: int = BROADCAST_KEYS
 
     def close(self) -> None:
         """Release the prepared table; the mapping stays usable and is then computed again."""
@@ -40,9 +41,10 @@ class Mapping:
     def __exit__(self, *_) -> None:
         self.close()
 
-    def small(self, df: DataFrame) -> DataFrame:
-        """A broadcast only behind the counted number of keys."""
-        return F.broadcast(df) if self.keys <= BROADCAST_KEYS else df
+    @property
+    def is_small(self) -> bool:
+        """Whether the lookup tables may be broadcast: by the counted number of keys."""
+        return self.keys <= self.most
 
     def most_values(self) -> int:
         return self.exact.agg(F.coalesce(F.max(F.size("vals")), F.lit(0))).first()[0]
@@ -75,8 +77,8 @@ def unit_sets(rows: DataFrame) -> DataFrame:
     return rows.select(F.explode(pairs).alias("u")).select("u.*").filter(F.col("value") != "").distinct()
 
 
-def build(rows: DataFrame, materialise: bool = True) -> Mapping:
-    """rows: ord and the columns of FIELDS. Nulls count as ''."""
+def build(rows: DataFrame, materialise: bool = True, most: int = BROADCAST_KEYS) -> Mapping:
+    """rows: ord and the columns of FIELDS. Nulls count as ''. most: the keys up to which lookups broadcast."""
     rows = rows.select("ord", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in FIELDS])
     exact = grouped(rows)
     if materialise:
@@ -87,7 +89,7 @@ def build(rows: DataFrame, materialise: bool = True) -> Mapping:
         one = F.when(F.count("*") == 1, F.first("vals"))
         return exact.groupBy("w", part).agg(F.count("*").alias("n"), one.alias("vals"))
 
-    return Mapping(exact, near("p"), near("d"), unit_sets(rows), exact.count())
+    return Mapping(exact, near("p"), near("d"), unit_sets(rows), exact.count(), most)
 
 
 def key_of(c: str | None) -> Column:

@@ -124,6 +124,28 @@ def lookup_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _looked_up(spark, sf_dir).groupBy("how").agg(F.count("*").alias("n"))
 
 
+def _hot_ward(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Addresses of which one ward holds half, spoiled parts all different, and a mapping that has a key for each customer."""
+    c, n, r = (table(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    places = n.join(r, n["n_regionkey"] == r["r_regionkey"])
+    joined = c.join(places, c["c_nationkey"] == n["n_nationkey"])
+    key, hot = F.col("c_custkey"), F.lit("Big market")
+    own = joined.filter(key % 2 == 1).select(key.cast("long").alias("ord"), "r_name", "n_name", F.col("c_name").alias("ward"))
+    every = own.unionByName(places.select((-F.col("n_nationkey").cast("long") - 1).alias("ord"), "r_name", "n_name", hot.alias("ward")))
+    units = {"id_province": "r_name", "id_district": "n_name", "id_ward": "ward", "province": "r_name", "district": "n_name", "ward": "ward", "new_province": "r_name", "new_id_province": "r_name"}
+    rows = every.select("ord", *[F.col(v).alias(k) for k, v in units.items()], F.concat(F.lit("New "), "ward", F.lit(" "), "n_name").alias("new_ward"), F.concat(F.lit("W"), "ord").alias("new_id_ward"))
+    bad = lambda name, k: F.when(key % k == 0, F.concat(F.lit("Bad "), key)).otherwise(F.col(name))
+    return rows, joined.select("c_custkey", bad("r_name", 5).alias("province"), bad("n_name", 3).alias("district"), F.when(key % 2 == 0, hot).otherwise(F.col("c_name")).alias("ward"))
+
+
+def lookup_hot_ward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A mapping beyond its broadcast bound: the lookup by shuffle, no task of which gathers the hot ward."""
+    rows, facts = _hot_ward(spark, sf_dir)
+    keys = facts.select("c_custkey", *[text.place_key(F.col(c)).alias(k) for c, k in (("province", "_p"), ("district", "_d"), ("ward", "_w"))])
+    with mappings.build(rows, most=0) as mapping:
+        return lookup(keys, mapping, how="how").select("c_custkey", "how", F.try_element_at("_vals", F.lit(1))["ward"].alias("new_ward"))
+
+
 def convert_single_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _converted(spark, sf_dir)
 
@@ -622,7 +644,7 @@ def iso_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "normalize_place": normalize_place, "tone_canonical_docs": tone_canonical_docs, "tone_dictionary_docs": tone_dictionary_docs, "tone_changed_count": tone_changed_count,
     "mapping_key": mapping_key, "mapping_file": mapping_file, "mapping_grouped_values": mapping_grouped_values, "unit_sets": unit_sets,
-    "lookup_exact": lookup_kind("exact"), "lookup_fallback_unique": lookup_kind("fallback"), "lookup_ambiguous": lookup_kind("ambiguous"), "lookup_counts": lookup_counts,
+    "lookup_exact": lookup_kind("exact"), "lookup_fallback_unique": lookup_kind("fallback"), "lookup_ambiguous": lookup_kind("ambiguous"), "lookup_counts": lookup_counts, "lookup_hot_ward": lookup_hot_ward,
     "convert_single_group": convert_single_group, "convert_multi_group_status": convert_multi_group_status, "convert_no_province": convert_no_province,
     "convert_options_wide": convert_options_wide, "unit_membership": unit_membership, "detect_threshold": detect_threshold, "numeric_convertible": numeric_convertible,
     "status_counts": status_counts, "progress": progress, "filter_success": filter_mode("success"), "filter_error": filter_mode("error"), "filter_all": filter_mode("all"),
