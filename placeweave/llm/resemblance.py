@@ -8,10 +8,16 @@ number of unrelated texts in a cell would grow with the corpus; with them a cell
 share passages. Within a cell, pairs whose fingerprints lie within the radii are joined to
 families; families are all that leaves a cell, never its pairs.
 
-Every family is then verified by its own texts, each text read once: a link is a Jaccard
-resemblance of at least 0.8 between two sets of shingles, and pairs already connected need no look.
-Large families are divided into blocks and every pair of blocks is compared, so no link within a
-family is lost and no task holds more than two blocks. The search for families goes by chance: two
+Cells and families are searched with representatives first: one is compared with all others, and
+what it joins to the largest component so far needs no look of its own, as links between two members
+of a component change nothing. So a crowd of copies of one text costs a few passes over it, not the
+square of its size; only members outside the largest component are compared with everything.
+
+Every family is then verified by its own texts: a link is a Jaccard resemblance of at least 0.8
+between two sets of shingles. Large families are divided into blocks. The first block is compared
+with all blocks; then those members that are outside the largest component found, with all blocks.
+No link between different components is lost and no task holds more than two blocks. The cells come
+from the fingerprint's bits directly, without pivot tables. The search for families goes by chance: two
 texts at distance d (bits) and resemblance r share a given cell with probability
 r^2 * C(64-d, GROUP) / C(64, GROUP), and there are 64 / GROUP * ORDERS of them.
 
@@ -46,6 +52,8 @@ CELLS = ORDERS * (BITS // GROUP)
 #: A block of a family: texts and shingles, about. They set how the work is dealt, never what is compared.
 BLOCK_TEXTS = 1024
 BLOCK_SHINGLES = 1 << 20
+#: Rows of a cell above which representatives are compared first.
+CROWD = 64
 #: Members of families (one number each) up to which their list is broadcast; beyond, texts meet it by a shuffle.
 BROADCAST_MEMBERS = 500_000
 
@@ -107,10 +115,34 @@ def describe(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     return plain.mapInPandas(run, "id long, text_hash long, node long, size long, fp long, five long, cells array<long>")
 
 
+def near_in_cell(size: np.ndarray, fp: np.ndarray, five: np.ndarray) -> np.ndarray:
+    """A label per row, equal for rows that pairs within the radii connect; rows are sorted by size.
+
+    Each row that is compared is compared with all; rows that are never compared all lie in one component.
+    """
+    label, seen = np.arange(len(size)), np.zeros(len(size), dtype=bool)
+    i = len(size) // 2
+    while True:
+        seen[i] = True
+        lo = np.searchsorted(size, (RESEMBLANCE - 1e-9) * size[i])
+        hi = np.searchsorted(size, size[i] / (RESEMBLANCE - 1e-9), side="right")
+        near = (np.bitwise_count(fp[lo:hi] ^ fp[i]) <= RADIUS) & (np.bitwise_count(five[lo:hi] ^ five[i]) <= RADIUS_FIVE)
+        joined = np.zeros(len(size), dtype=bool)
+        joined[label[lo:hi][near]] = True
+        joined = joined[label]
+        label[joined] = label[joined].min()
+        left = np.flatnonzero(~seen & (label != np.bincount(label).argmax()))
+        if not len(left):
+            return label
+        i = left[0]
+
+
 def near_in_cells(cell: np.ndarray, size: np.ndarray, fp: np.ndarray, five: np.ndarray) -> list[tuple[int, int]]:
     """Links that connect, in each cell, all pairs within the radii; rows are sorted by cell and size."""
     root = np.arange(len(cell))
-    at, k = np.arange(len(cell)), 1
+    _, first, count = np.unique(cell, return_index=True, return_counts=True)
+    large = np.repeat(count > CROWD, count)
+    at, k = np.flatnonzero(~large), 1
     while len(at):
         at = at[at + k < len(cell)]
         # Sizes ascend: once the next one is too large, so are all after it.
@@ -125,6 +157,8 @@ def near_in_cells(cell: np.ndarray, size: np.ndarray, fp: np.ndarray, five: np.n
                 part = root[lo:hi]
                 part[part == max(a, b)] = min(a, b)
         k += 1
+    for lo, n in zip(first[count > CROWD].tolist(), count[count > CROWD].tolist(), strict=True):
+        root[lo : lo + n] = lo + near_in_cell(size[lo : lo + n], fp[lo : lo + n], five[lo : lo + n])
     moved = np.flatnonzero(root != np.arange(len(cell)))
     return list(zip(moved.tolist(), root[moved].tolist(), strict=True))
 
@@ -147,15 +181,18 @@ def families(nodes: DataFrame) -> DataFrame:
     return connected(common.materialise(links, "candidates"))
 
 
-def verified_links(sizes: np.ndarray, fp: np.ndarray, five: np.ndarray, sets: list[np.ndarray], side: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect all pairs of resembling sets: any two positions if side is all False, else only pairs across."""
+def verified_links(sizes: np.ndarray, fp: np.ndarray, five: np.ndarray, sets: list[np.ndarray], side: np.ndarray, known: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect all pairs of resembling sets: any two positions if side is all False, else only pairs across.
+
+    known: labels of components found before; pairs of one label need no look.
+    """
     order = np.argsort(sizes, kind="stable")
     sets = [sets[k] for k in order]
     sizes, fp, five, side = sizes[order], fp[order], five[order], side[order]
     vocabulary, flat = np.unique(np.concatenate(sets), return_inverse=True) if sets else (np.empty(0), np.empty(0, int))
     starts = np.concatenate([[0], np.cumsum(sizes)])
     mark = np.zeros(len(vocabulary), dtype=bool)
-    root, across, out = np.arange(len(sets)), bool(side.any()), []
+    root, across, out = np.arange(len(sets)) if known is None else np.unique(known[order], return_inverse=True)[1], bool(side.any()), []
     ends = np.searchsorted(sizes, sizes / (RESEMBLANCE - 1e-9), side="right")
     for i, end in enumerate(ends.tolist()):
         near = np.arange(i + 1, end)
@@ -181,6 +218,47 @@ def verified_links(sizes: np.ndarray, fp: np.ndarray, five: np.ndarray, sets: li
     return out
 
 
+def _compared(sent: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of each family's meetings (i, j): across the sides where a meeting has two, else among all."""
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        sets = [shingles(words_of(t)) for t in rows["t"]]
+        sizes = np.array([len(s) for s in sets])
+        bits = [rows[c].to_numpy().view(np.uint64) for c in ("fp", "five")]
+        found = verified_links(sizes, *bits, sets, rows["side"].to_numpy(bool), rows["known"].to_numpy())
+        name = rows["node"].to_numpy()
+        return pd.DataFrame({"a": [name[x] for x, _ in found], "b": [name[y] for _, y in found]}, dtype="int64")
+
+    return sent.join(texts, "text_hash").groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
+
+
+def _first_links(dealt: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each family's first block, compared with itself and with every other block."""
+    every = ["node", "text_hash", "size", "fp", "five", "family"]
+    fixed = [F.col("node").alias("known"), F.lit(0).alias("i")]
+    there = dealt.select(*every, *fixed, F.col("own").alias("j"), F.lit(False).alias("side"))
+    first = dealt.filter("own = 0 and blocks > 1").select(*every, *fixed, F.explode(F.sequence(F.lit(1), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("side"))
+    return _compared(there.unionByName(first), texts)
+
+
+def _later_links(dealt: DataFrame, links: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links between components: members outside a family's largest one, compared with all its blocks."""
+    every = ["node", "text_hash", "size", "fp", "five", "family", "known"]
+    several = dealt.filter("blocks > 1").join(connected(links).withColumnRenamed("root", "known"), "node", "left")
+    several = common.materialise(several.withColumn("known", F.coalesce("known", "node")), "labelled")
+    largest = several.groupBy("family", "known").agg(F.count("*").alias("n")).groupBy("family").agg(F.max_by("known", F.struct("n", "known")).alias("largest"))
+    rest = common.materialise(several.join(largest, "family").filter("known <> largest and own <> 0"), "outside")
+    if rest.isEmpty():
+        return links.limit(0)
+    rounds = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("size") / BLOCK_SHINGLES)).cast("int")
+    dealt_again = rest.groupBy("family").agg(rounds.alias("rounds"))
+    again = several.join(dealt_again, "family")
+    there = again.select(*every, F.explode(F.sequence(F.lit(0), F.col("rounds") - 1)).alias("i"), F.col("own").alias("j"), F.lit(False).alias("side"))
+    part = F.pmod(F.xxhash64("node", F.lit(SEED + 1)), "rounds").cast("int")
+    asked = rest.join(dealt_again, "family").select(*every, part.alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("side"))
+    return _compared(there.unionByName(asked), texts).filter("a <> b")
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row of docs: id, text_hash, fp, root (one for all that chains of verified links connect)."""
     marked = common.materialise(describe(docs, id_col, text_col), "described")
@@ -196,21 +274,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = docs.select(F.xxhash64(text).alias("text_hash"), text.alias("t")).join(wanted, "text_hash", "left_semi")
     texts = texts.groupBy("text_hash").agg(F.min("t").alias("t"))
     own = F.pmod(F.xxhash64("node", F.lit(SEED)), "blocks").cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = dealt.select("node", "text_hash", "size", "fp", "five", "family", own.alias("own"), other.alias("other"))
-    sent = sent.select("node", "text_hash", "size", "fp", "five", "family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own")
-
-    def compare(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        sets = [shingles(words_of(t)) for t in rows["t"]]
-        sizes = np.array([len(s) for s in sets])
-        side = (rows["own"] != key[1]).to_numpy()
-        bits = [rows[c].to_numpy().view(np.uint64) for c in ("fp", "five")]
-        found = verified_links(sizes, *bits, sets, side) if key[1] == key[2] or side.any() and not side.all() else []
-        name = rows["node"].to_numpy()
-        return pd.DataFrame({"a": [name[x] for x, _ in found], "b": [name[y] for _, y in found]}, dtype="int64")
-
-    links = sent.join(texts, "text_hash").groupBy("family", "i", "j").applyInPandas(compare, "a long, b long")
-    roots = connected(common.materialise(links, "verified"))
+    dealt = dealt.withColumn("own", own)
+    links = common.materialise(_first_links(dealt, texts), "verified")
+    links = links.unionByName(common.materialise(_later_links(dealt, links, texts), "verified"))
+    roots = connected(links)
     return marked.join(roots, "node", "left").select("id", "text_hash", "fp", F.coalesce("root", "node").alias("root"))
 
 
