@@ -121,20 +121,19 @@ def near_in_cell(size: np.ndarray, fp: np.ndarray, five: np.ndarray) -> np.ndarr
     Each row that is compared is compared with all; rows that are never compared all lie in one component.
     """
     label, seen = np.arange(len(size)), np.zeros(len(size), dtype=bool)
-    i = len(size) // 2
-    while True:
+    todo = np.array([len(size) // 2])
+    while len(todo):
+        i, todo = todo[0], todo[1:]
         seen[i] = True
         lo = np.searchsorted(size, (RESEMBLANCE - 1e-9) * size[i])
         hi = np.searchsorted(size, size[i] / (RESEMBLANCE - 1e-9), side="right")
         near = (np.bitwise_count(fp[lo:hi] ^ fp[i]) <= RADIUS) & (np.bitwise_count(five[lo:hi] ^ five[i]) <= RADIUS_FIVE)
-        joined = np.zeros(len(size), dtype=bool)
-        joined[label[lo:hi][near]] = True
-        joined = joined[label]
-        label[joined] = label[joined].min()
-        left = np.flatnonzero(~seen & (label != np.bincount(label).argmax()))
-        if not len(left):
-            return label
-        i = left[0]
+        names = np.unique(label[lo:hi][near])
+        if len(names) > 1:
+            label[np.isin(label, names)] = names[0]
+        if len(names) > 1 or seen.sum() == 1:  # who is outside changes only with the labels
+            todo = np.flatnonzero(~seen & (label != np.bincount(label).argmax()))
+    return label
 
 
 def near_in_cells(cell: np.ndarray, size: np.ndarray, fp: np.ndarray, five: np.ndarray) -> list[tuple[int, int]]:
