@@ -123,9 +123,32 @@ class AddressEngine:
             raise NotFound(task_id)
         return task
 
+    def _records(self, result: dict) -> DataFrame:
+        """The records as they are written, with the edits settled so far."""
+        if not result.get("files"):
+            return self.spark.read.parquet(result["records"])
+        names = self.spark.read.parquet(result["files"]).collect()  # as many as Spark's own listing holds
+        return self.spark.read.parquet(*[r["file"] for r in names])
+
+    def settle(self, task_id: str) -> int:
+        """Lay the task's edits so far into its records; returns how many files were written anew or left out.
+
+        Edits stay in their log, so a row's original is still known; laying one over again changes nothing.
+        """
+        result = self._task(task_id, ready=True)["result"]
+        base = self._records(result)
+        before = set(edits.files_of(base))
+        files_now = edits.settle(base, self.tasks.edits_of(task_id), f"{self.folder}/records/{task_id}-{uuid.uuid4().hex}")
+        changed = before.symmetric_difference(files_now)
+        if changed:
+            listed = f"{self.folder}/listed/{task_id}-{uuid.uuid4().hex}"
+            self.spark.createDataFrame([(f,) for f in files_now], "file string").coalesce(1).write.parquet(listed)
+            self.tasks.update(task_id, result=self._task(task_id)["result"] | {"files": listed})
+        return len(changed)
+
     def records(self, task_id: str) -> DataFrame:
         """The task's converted records with all its edits."""
-        return self.apply_edits(task_id, self.spark.read.parquet(self._task(task_id, ready=True)["result"]["records"]))
+        return self.apply_edits(task_id, self._records(self._task(task_id, ready=True)["result"]))
 
     def recount(self, task_id: str) -> dict:
         """Counts of all records with their edits, from the records themselves."""
@@ -135,7 +158,7 @@ class AddressEngine:
     def row(self, task_id: str, row_id):
         """The record with this id and its edits laid over, or None: only the files that can hold it are read, and its own edits."""
         result = self._task(task_id, ready=True)["result"]
-        found = edits.row_by_id(self.spark.read.parquet(result["records"]), row_id)
+        found = edits.row_by_id(self._records(result), row_id)
         number = edits.number_of(row_id)
         if number is not None:
             made = self.tasks.edits_of(task_id, number - 1)

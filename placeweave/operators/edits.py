@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,3 +57,36 @@ def merged(edits: DataFrame, keys: list[str], fields: str, *newest_first) -> Dat
 def cascade(children: DataFrame, parents: DataFrame, keys: list[str]) -> DataFrame:
     """The children whose parent is still there."""
     return children.join(parents.select(*keys).distinct(), keys, "left_semi")
+
+
+def path_of(uri: str) -> str:
+    """A file's path for the reader: listings escape it, and write an empty host as // or not at all."""
+    return unquote(uri).replace(":///", ":/", 1)
+
+
+def files_of(df: DataFrame) -> list[str]:
+    return [path_of(f) for f in df.inputFiles()]
+
+
+def settle(base: DataFrame, edits: DataFrame, folder: str) -> list[str]:
+    """Lay edits (row_index, edited) into the files of base, read from Parquet, and return the files that now hold its rows.
+
+    Only files with edited rows are written anew, into folder; the others are neither read (but for
+    their ids, where those can be an edit's) nor changed. No file is deleted, so a reader of the old
+    ones is not disturbed. Without an edit of a row that exists, the files stay the same.
+    """
+    spark, files = base.sparkSession, files_of(base)
+    low, high = edits.agg(F.min("row_index") + 1, F.max("row_index") + 1).first()
+    if low is None:
+        return files
+    wanted = edits.select((F.col("row_index") + 1).cast("long").alias("_id"))
+    there = base.select("id", F.col("_metadata.file_path").alias("_file")).filter(F.col("id").between(low, high))
+    touched = {path_of(r["_file"]) for r in there.join(wanted, F.col("id") == F.col("_id"), "left_semi").select("_file").distinct().collect()}
+    if not touched:
+        return files
+    kept = [f for f in files if f not in touched]
+    if len(kept) + len(touched) != len(files):
+        raise ValueError("files are named differently by the reader and by their rows")
+    part = spark.read.schema(base.schema).parquet(*sorted(touched))
+    overlay(part, edits).select(*base.columns).write.parquet(folder)
+    return kept + files_of(spark.read.schema(base.schema).parquet(folder))

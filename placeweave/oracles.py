@@ -202,6 +202,10 @@ ORACLE_SQL = {
     "unit_sets": f"WITH {MAPPING}, {UNITS} SELECT kind, value FROM units",
     **{f"lookup_{name}": f"{FOUND} SELECT c_custkey, new_ward FROM looked l LEFT JOIN mapping m ON l.ord = m.ord WHERE how = '{kind}'" for name, kind in (("exact", "exact"), ("fallback_unique", "fallback"), ("ambiguous", "ambiguous"))},
     "lookup_hot_ward": HOT_WARD,
+    "edits_settled": """WITH newest AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+      SELECT CAST(o_orderkey AS BIGINT) AS id, CASE WHEN user_id IS NULL THEN o_orderpriority ELSE event_type END AS priority,
+        CASE WHEN user_id IS NULL THEN o_orderstatus ELSE 'Thành công' END AS "statusState"
+      FROM orders LEFT JOIN (SELECT * FROM newest WHERE rn = 1) ON o_orderkey = user_id + 1""",
     "lookup_counts": f"{FOUND} SELECT how, count(*) AS n FROM looked GROUP BY how",
     "convert_single_group": f"{CONVERTED} SELECT * FROM converted",
     "convert_multi_group_status": f"""{CONVERTED}, second AS (

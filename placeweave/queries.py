@@ -606,6 +606,16 @@ def edit_fields_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("user_id", F.size("edited").cast("long").alias("fields"), F.array_join(F.array_sort(F.map_keys("edited")), "|").alias("names"))
 
 
+def edits_settled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders in files by id, and the newest event of each user laid into those files that hold its order."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderpriority").alias("priority"), F.col("o_orderstatus").alias(status.STATUS))
+    orders.repartitionByRange("id").write.parquet(path := scratch(spark, "orders"))
+    newest = edits.latest(table(spark, sf_dir, "events"), ["user_id"], F.desc("ts"), F.desc("event_id"))
+    made = newest.select(F.col("user_id").alias("row_index"), F.create_map(F.lit("priority"), F.col("event_type")).alias("edited"))
+    now = edits.settle(spark.read.parquet(path), made, scratch(spark, "settled"))
+    return spark.read.parquet(*now)
+
+
 def child_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items of the orders that are left."""
     left = table(spark, sf_dir, "orders").filter("o_orderkey % 4 = 0").select(F.col("o_orderkey").alias("l_orderkey"))
@@ -656,6 +666,6 @@ QUERIES = {
     "json_array_roundtrip": json_array_roundtrip, "json_column_order": json_column_order, "csv_encodings": csv_encodings, "file_infos": file_infos,
     "header_repair": header_repair, "header_repair_units": header_repair_units, "ndjson_notes": ndjson_notes, "detect_cases": detect_cases, "greedy_wide": greedy_wide, "output_names": output_names, "sql_statement_roundtrip": sql_statement_roundtrip, "task_records": task_records, "task_state": task_state,
     "task_row_edit": task_row_edit, "task_edit_counts": task_edit_counts, "task_row_lookup": task_row_lookup, "task_filtered": task_filtered, "download_success": download("success"), "download_error": download("error"),
-    "group_preview": group_preview, "edit_fields_merged": edit_fields_merged, "child_cascade": child_cascade, "compose_marks": compose_marks,
+    "group_preview": group_preview, "edit_fields_merged": edit_fields_merged, "edits_settled": edits_settled, "child_cascade": child_cascade, "compose_marks": compose_marks,
     "excel_roundtrip": excel_roundtrip, "sqlite_sample": sqlite_sample, "union_chunks": union_chunks, "set_difference": set_difference, "iso_timestamps": iso_timestamps,
 }
