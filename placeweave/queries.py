@@ -372,8 +372,8 @@ def _several(df: DataFrame) -> DataFrame:
 
 
 def csv_breaks_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """documents as CSV, whose texts hold line breaks and quotes, read by many tasks."""
-    d = table(spark, sf_dir, "documents")
+    """documents as CSV, whose texts hold line breaks and quotes, read by many tasks. Spark reads the table's files by size, so doc_id sets the order."""
+    d = table(spark, sf_dir, "documents").orderBy(F.col("doc_id").asc_nulls_last())
     rows = d.select(F.col("doc_id").cast("string").alias("doc_id"), F.concat(F.lit('"a"\n\n,'), "text", F.lit("\n")).alias("text"), "source")
     sinks.write_csv(rows, path := scratch(spark, "csv"))
     back = _small_blocks(spark, path, files.read_csv)

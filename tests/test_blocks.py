@@ -190,3 +190,14 @@ def test_dumps_split_and_keep_their_order(spark, tmp_path, small_blocks):
     (tmp_path / "n.sql").write_text("INSERT INTO t VALUES (4);")
     with pytest.raises(sqldump.DumpError, match="column list"):
         files.read_sql(spark, str(tmp_path / "n.sql"))
+
+
+def test_breaks_split_takes_documents_in_the_order_of_their_ids(spark, tmp_path):
+    from placeweave import queries
+
+    # The later file is the larger one, which Spark reads first.
+    for at, ids, size in ((0, range(20), 10), (1, range(20, 200), 3000)):
+        rows = [(i, f"{i}\n\"x\", " * (1 + size // 10), "s") for i in reversed(ids)]
+        spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.mode("append" if at else "overwrite").parquet(str(tmp_path / "documents.parquet"))
+    found = {int(r.doc_id): r.place for r in queries.csv_breaks_split(spark, str(tmp_path)).collect()}
+    assert found == {i: i + 1 for i in range(200)}
