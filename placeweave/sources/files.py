@@ -13,8 +13,8 @@ import sqlite3
 import tempfile
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import islice
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -182,20 +182,45 @@ def _cells(df: DataFrame, names: list[str]) -> DataFrame:
     return df.select(*[F.col("cells")[i].alias(n) for i, n in enumerate(names)], ORD)
 
 
+#: Rows of a sheet that a task passes on at once.
+SHEET_BATCH = 10_000
+
+
 def read_excel(spark: SparkSession, path: str) -> DataFrame:
-    """Active sheet, first row as header; absent cells are ''. A workbook is one task."""
-    def parse(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            for data in b["content"]:
-                rows = xlsx.read(bytes(data))
-                yield pd.DataFrame({ORD: range(len(rows)), "cells": rows})
+    """Active sheets of the workbooks at path, in order of their names; the first row of each is the header, the same in all; absent cells are ''.
+
+    A workbook is one task, which passes its rows on as it reads them.
+    """
+    books = spark.read.format("binaryFile").load(path).select("path", "content")
+    ranks = {p: i for i, p in enumerate(sorted(r["path"] for r in books.select("path").collect()))}  # a row for each workbook
 
-    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(parse, ROWS)
-    head = raw.filter(F.col(ORD) == 0).limit(1).collect()
-    if not head:
+    def tell(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, data in zip(b["path"].to_pylist(), b["content"], strict=True):
+                rows = xlsx.read(data.as_py())
+                header = next(rows, None)
+                width = max(map(len, rows), default=0)
+                yield pa.RecordBatch.from_arrays([pa.array([ranks[own]], pa.int64()), pa.array([width], pa.int64()), pa.array([header], pa.list_(pa.string()))], names=["rank", "width", "header"])
+
+    told = books.mapInArrow(tell, "rank long, width long, header array<string>").filter("header is not null").orderBy("rank").collect()
+    if not told:
         raise ValueError("the sheet is empty")
-    names = unique_names(head[0]["cells"])
-    return _cells(raw.filter(F.col(ORD) > 0), names).na.fill("")
+    width = max(max(r["width"], len(r["header"])) for r in told)
+    headers = [r["header"] + [None] * (width - len(r["header"])) for r in told]
+    if any(h != headers[0] for h in headers):
+        raise ValueError("the workbooks have different headers")
+
+    def parse(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for own, data in zip(b["path"].to_pylist(), b["content"], strict=True):
+                rows, first = xlsx.read(data.as_py()), ranks[own] << blocks.PLACE_BITS
+                next(rows, None)
+                at = first + 1
+                while some := [r + [None] * (width - len(r)) for r in islice(rows, SHEET_BATCH)]:
+                    yield pa.RecordBatch.from_arrays([pa.array(range(at, at + len(some)), pa.int64()), pa.array(some, pa.list_(pa.string()))], names=[ORD, "cells"])
+                    at += len(some)
+
+    return _cells(books.mapInArrow(parse, ROWS), unique_names(headers[0])).na.fill("")
 
 
 def read_sql(spark: SparkSession, path: str, unescape: bool = False) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_literal
@@ -113,12 +114,54 @@ def put(spark: SparkSession, local: str, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).copyFromLocalFile(False, True, source, target)
 
 
-def write_excel(df: DataFrame, path: str) -> str:
-    """One workbook, streamed partition by partition through a file of the driver's; returns the real path."""
+#: Rows of one workbook and characters of its cells, about, where a table is written as several.
+BOOK_ROWS = 200_000
+BOOK_CHARS = 1 << 27
+
+
+def _books(names: list[str], rows: Iterable[Row], least: int) -> Iterator[tuple[bytearray]]:
+    """Workbooks of a partition's rows, `least` at least. The line break that the text writer puts behind each is its archive's comment."""
+    rows, made = iter(rows), 0
+    ahead = next(rows, None)
+    while ahead is not None or made < least:
+        chars = 0
+
+        def some() -> Iterator[Row]:
+            nonlocal ahead, chars
+            for _ in range(BOOK_ROWS):
+                if ahead is None or chars > BOOK_CHARS:
+                    return
+                chars += sum(len(str(v)) for v in ahead)
+                yield ahead
+                ahead = next(rows, None)
+
+        xlsx.write(out := io.BytesIO(), names, some(), b"\n")
+        made += 1
+        yield (bytearray(out.getbuffer()[:-1]),)
+
+
+def write_excel(df: DataFrame, path: str, one_file: bool | None = None) -> str:
+    """One workbook where a sheet holds all rows, streamed partition by partition through a file of the driver's; returns the real path.
+
+    More rows, or one_file=False, make a folder of workbooks, written side by side; in order of their
+    names they are the table, and `read_excel` reads them so.
+    """
     path = os.path.splitext(path)[0] + ".xlsx"
-    with tempfile.NamedTemporaryFile(suffix=".xlsx") as f:
-        xlsx.write(f.name, df.columns, (list(r) for r in df.toLocalIterator()))
-        put(df.sparkSession, f.name, path)
+    spark, names = df.sparkSession, df.columns
+    one_file = df.count() < xlsx.SHEET_ROWS if one_file is None else one_file
+    if one_file or not df.rdd.getNumPartitions():
+        with tempfile.NamedTemporaryFile(suffix=".xlsx") as f:
+            xlsx.write(f.name, names, (list(r) for r in df.toLocalIterator()))
+            put(spark, f.name, path)
+        return path
+    books = df.rdd.mapPartitionsWithIndex(lambda i, rows: _books(names, rows, int(i == 0)))
+    whole = spark.createDataFrame(books, "book binary").select(F.col("book").cast("string"))
+    whole.write.mode("overwrite").options(maxRecordsPerFile=1, compression="none", lineSep="\n").text(path)  # a file each
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for found in store.listStatus(folder):
+        if (own := found.getPath()).getName().endswith(".txt"):
+            store.rename(own, folder.suffix("/" + own.getName().removesuffix(".txt") + ".xlsx"))
     return path
 
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from placeweave.api import AddressEngine, NotFound
-from placeweave.operators import detect, status
+from placeweave.operators import detect, ordering, status
 from placeweave.operators.convert import AddressGroup
 from placeweave.plans import mapping as mappings
 from placeweave.sources import files, sinks, xlsx
@@ -149,3 +149,22 @@ def test_distinct_addresses_are_looked_up_alike(spark, mapping):
     plain = sorted(map(tuple, conversion.convert(df, groups, mapping).collect()))
     for most in (100, 2):  # with the list, and with more addresses than it takes
         assert sorted(map(tuple, conversion.convert(df, groups, mapping, distinct_keys=most).collect())) == plain
+
+
+def test_excel_of_more_rows_than_a_sheet_holds(spark, tmp_path):
+    n = 1_048_576  # one too many, with the header
+    df = spark.range(0, n, 1, 3).select(F.col("id").alias("k"), F.when(F.col("id") % 3 != 0, F.lit("a<\n\"é")).alias("t"))
+    back = files.read_excel(spark, sinks.write_excel(df, str(tmp_path / "t.xlsx")))
+    assert back.columns == ["k", "t", files.ORD]
+    wrong = ordering.numbered(back, files.ORD, "place").filter("k <> place - 1 or t <> if(k % 3 = 0, '', 'a<\n\"é')")
+    assert back.count() == n and wrong.isEmpty()
+    names = sorted(p.name for p in (tmp_path / "t.xlsx").iterdir() if p.name.startswith("part"))
+    assert len(names) == 6 and all(p.endswith(".xlsx") for p in names)
+    with zipfile.ZipFile(tmp_path / "t.xlsx" / names[-1]) as z:
+        assert z.testzip() is None
+    # Whatever fits a sheet is one file as before, also without rows; asked for parts, no rows are one workbook.
+    none = df.filter("k < 0")
+    for how in (None, False):
+        empty = files.read_excel(spark, sinks.write_excel(none, str(tmp_path / f"e{how}.xlsx"), one_file=how))
+        assert empty.columns == ["k", "t", files.ORD] and empty.isEmpty()
+        assert (tmp_path / f"e{how}.xlsx").is_file() == (how is None)
