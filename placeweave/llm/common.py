@@ -20,6 +20,10 @@ LOWEST = -(2**63)
 SAMPLE_PER_RANGE = 64
 #: Bytes of one Arrow batch to a Python worker, so that long rows don't gather there.
 ARROW_BATCH_BYTES = 16 << 20
+#: Rows that Spark decodes from Parquet at once, and bytes of a row group that a task gathers as it writes; the
+#: next reader of that table holds as much. By default 4,096 rows (whole texts) and 128 MB, in every task.
+READ_ROWS = 256
+ROW_GROUP_BYTES = 16 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -27,7 +31,10 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """Bound what a task holds of whole texts at once: read, sent to a Python worker and written."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH_BYTES))
+    spark.conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READ_ROWS))
+    spark.conf.set("parquet.block.size", str(ROW_GROUP_BYTES))
 
 
 def shared_dir(spark: SparkSession) -> str:
